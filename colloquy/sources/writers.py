@@ -1,0 +1,84 @@
+"""Sinks. Every write replaces its own target, so a repeated job leaves the same result."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquy.operators.ratings import RATING_KEYS, latest_ratings
+from colloquy.schemas import METRICS
+
+LOW_BUCKET = "low"
+
+
+def write_chat_corpus(examples: DataFrame, path: str) -> None:
+    """JSON lines, one example per line."""
+    examples.write.mode("overwrite").json(path)
+
+
+def scored_dialogues(pairs: DataFrame, ratings: DataFrame, key: str = "dialogue_id") -> DataFrame:
+    """Nested rating rows ``(key, pair_id, prompt, response, evaluation)``, one per pair.
+
+    A pair keeps its own row, so the size of a dialogue sets no limit; ``nest_dialogues`` makes
+    one document per dialogue where dialogues are known to be small.
+    """
+    blank = F.struct(F.lit("").alias("quantitative"), F.lit("").alias("qualitative"))
+
+    def verdict(metric: str):
+        of_metric = F.when(F.col("metric_type") == metric, F.struct("quantitative", "qualitative"))
+        return F.coalesce(F.max(of_metric), blank).alias(metric)
+
+    per_pair = ratings.groupBy(key, "pair_num").agg(F.struct(*[verdict(m) for m in METRICS]).alias("evaluation"))
+    joined = pairs.join(per_pair, (pairs[key] == per_pair[key]) & (pairs["pair_id"] == per_pair["pair_num"]), "left")
+    unrated = F.struct(*[blank.alias(m) for m in METRICS])
+    return joined.select(
+        pairs[key], "pair_id", "prompt", "response", F.coalesce("evaluation", unrated).alias("evaluation")
+    )
+
+
+def write_scored_dialogues(scored: DataFrame, path: str) -> None:
+    scored.write.mode("overwrite").json(path)
+
+
+def route_low_rated(transcripts: DataFrame, verdicts: DataFrame, path: str, key: str = "dialogue") -> None:
+    """Write transcripts below ``path``/rating_bucket=<verdict>; the source is left alone."""
+    (
+        transcripts.join(verdicts.select(key, F.col("verdict").alias("rating_bucket")), key, "left")
+        .withColumn("rating_bucket", F.coalesce("rating_bucket", F.lit("unrated")))
+        .write.mode("overwrite")
+        .partitionBy("rating_bucket")
+        .parquet(path)
+    )
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    summary.write.mode("overwrite").csv(path, header=True)
+
+
+def write_run_log(log: DataFrame, path: str) -> None:
+    """Metrics as CSV and the full history as JSON."""
+    log.write.mode("overwrite").csv(f"{path}/metrics", header=True)
+    log.write.mode("overwrite").json(f"{path}/history")
+
+
+def append_rating_load(ratings: DataFrame, path: str, load_id: int) -> None:
+    """Add one load to the rating store; writing the same load again replaces it.
+
+    Loads are immutable side by side, so no upsert rewrites the store and a lost executor or a
+    repeated batch cannot damage earlier loads.
+    """
+    ratings.write.mode("overwrite").parquet(f"{path}/load={load_id}")
+
+
+def current_ratings(
+    spark: SparkSession, path: str, keys: Sequence[str] = RATING_KEYS, value: str = "score"
+) -> DataFrame:
+    """The store as of its last load."""
+    return latest_ratings(spark.read.parquet(path), keys, value, "load")
+
+
+def compact_rating_store(spark: SparkSession, path: str, new_path: str, load_id: int) -> None:
+    """Fold all loads into one, in a new place."""
+    append_rating_load(current_ratings(spark, path), new_path, load_id)
