@@ -173,9 +173,9 @@ def expected_and_missing(
 def dialogue_average(
     scores: DataFrame, key: str = "dialogue", *, metrics: Sequence[str] = ("tone", "logic"), text: str = "score_text"
 ) -> DataFrame:
-    """Mean and number of the valid scores of each dialogue."""
+    """Mean and number of the valid scores of each dialogue that has a name."""
     valid = F.when(F.col("metric_type").isin(*metrics), coerce_score(F.col(text), "digits"))
-    return scores.groupBy(key).agg(F.avg(valid).alias("avg_score"), F.count(valid).alias("n_scores"))
+    return scores.filter(F.col(key) != "").groupBy(key).agg(F.avg(valid).alias("avg_score"), F.count(valid).alias("n_scores"))
 
 
 def low_rated_verdict(averages: DataFrame, files: DataFrame, key: str = "dialogue", limit: float = LOW_RATED) -> DataFrame:

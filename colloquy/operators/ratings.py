@@ -29,6 +29,7 @@ _PAIR_START = r"(?Umd)^(?=[\s\x1c-\x1f&&[^\n]]*【ペア)"
 _CATEGORY_START = r"(?Umd)^(?=[\s\x1c-\x1f&&[^\n]]*(?:" + "|".join(CATEGORY_LABELS.values()) + "))"
 _PAIR_NUMBER = r"^【ペア\s*([0-9０-９]+)"
 
+MAX_WIDE_PAIRS = 500
 RATING_KEYS = ("dialogue_id", "metric_type", "pair_num")
 
 
@@ -204,8 +205,18 @@ def pair_columns(n_pairs: int, metrics: Sequence[str] = METRICS) -> list[str]:
     return [f"{m}_pair{n}" for n in range(1, n_pairs + 1) for m in metrics]
 
 
-def ratings_wide(long: DataFrame, keys: Sequence[str], n_pairs: int, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """One row per dialogue with a ``metric_pairN`` column each."""
+def ratings_wide(
+    long: DataFrame, keys: Sequence[str], metrics: Sequence[str] = METRICS, n_pairs: int | None = None
+) -> DataFrame:
+    """One row per dialogue with a ``metric_pairN`` column each.
+
+    Without ``n_pairs`` the highest pair number in the data decides, so no pair is left out; one
+    number is read for that. ``MAX_WIDE_PAIRS`` guards against a table with absurdly many columns.
+    """
+    if n_pairs is None:
+        n_pairs = int(long.agg(F.coalesce(F.max("pair_num"), F.lit(0))).first()[0])
+    if n_pairs > MAX_WIDE_PAIRS:
+        raise ValueError(f"{n_pairs} pairs make no wide table; stay with long ratings")
     named = long.withColumn("metric_pair", F.concat("metric_type", F.lit("_pair"), F.col("pair_num").cast("string")))
     return named.groupBy(*keys).pivot("metric_pair", pair_columns(n_pairs, metrics)).agg(F.first("score"))
 
