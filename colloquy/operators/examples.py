@@ -257,13 +257,12 @@ def pattern_hits(
     Every row is reduced to one number per pattern before the aggregation, so the shuffle carries
     one row per task.
     """
+
+    def sentences_with(pattern: str) -> Column:
+        return F.coalesce(F.size(F.filter("_s", lambda s: s.contains(pattern))), F.lit(0))
+
     hits = df.select(_sentences(F.col(text), end).alias("_s"))
-    hits = hits.select(
-        *[
-            F.coalesce(F.size(F.filter("_s", lambda s, p=p: s.contains(p))), F.lit(0)).alias(f"_p{i}")
-            for i, p in enumerate(patterns)
-        ]
-    )
+    hits = hits.select(*[sentences_with(p).alias(f"_p{i}") for i, p in enumerate(patterns)])
     totals = hits.agg(
         *[
             F.struct(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import py_strip, token_count
 from colloquy.operators import spans
 from colloquy.operators.examples import TURN_CLOSE, TURN_OPEN
-from colloquy.operators.transcripts import format_pairs
+from colloquy.operators.transcripts import PAIR_CLOSE, PAIR_OPEN, format_pairs
 
 # Placeholders in order of replacement, and the text of a failed completion.
 USER_PLACEHOLDERS = ("INITIAL_QUESTION", "PERSONA", "OTHERS", "TRANSFORM")
@@ -109,7 +109,7 @@ def _alternates(messages: Column) -> Column:
 
 def checked_context(messages: Column) -> Column:
     """The queue if it alternates user, model from its head; else its last message if from the user."""
-    last = F.element_at(messages, -1)
+    last = F.try_element_at(messages, F.lit(-1))
     return (
         F.when(_alternates(messages), messages)
         .when(last["role"] == "user", F.array(last))
@@ -155,7 +155,7 @@ def flatten_history(
     def line(m: Column) -> Column:
         said = m["content"]
         if unquote:
-            said = F.when(said.contains('"'), F.element_at(F.split(said, '"'), -2)).otherwise(said)
+            said = F.when(said.contains('"'), F.try_element_at(F.split(said, '"'), F.lit(-2))).otherwise(said)
         quote = F.lit('"')
         model = F.concat(F.lit(model_label), quote, m["content"], quote) if quote_model else F.concat(
             F.lit(model_label), m["content"]
@@ -183,7 +183,11 @@ def flip_roles(messages: Column, mapping: Mapping[str, str], default: str) -> Co
 
 
 def build_judge_request(
-    pairs: Column, rubric: Column, answer_fields: Sequence[str], user_prefix: str = "", assistant_prefix: str = ""
+    pairs: Column,
+    rubric: Column,
+    answer_fields: Sequence[str],
+    fields: tuple[str, str] = ("user", "assistant"),
+    prefixes: tuple[str, str] = ("", ""),
 ) -> Column:
     """Judge request of one document: rubric, an empty form per pair, then the pairs.
 
@@ -193,7 +197,7 @@ def build_judge_request(
         F.transform(
             pairs,
             lambda _, i: F.concat(
-                F.lit("\n【ペア"), (i + 1).cast("string"), F.lit("】\n" + "".join(f"{f}\n" for f in answer_fields))
+                F.lit("\n" + PAIR_OPEN), (i + 1).cast("string"), F.lit(PAIR_CLOSE + "\n" + "".join(f"{f}\n" for f in answer_fields))
             ),
         ),
         "",
@@ -203,7 +207,7 @@ def build_judge_request(
     for name, value in (
         ("PAIR_COUNT", count),
         ("ANSWER_FORM", form),
-        ("PAIRS", format_pairs(pairs, user_prefix, assistant_prefix)),
+        ("PAIRS", format_pairs(pairs, fields, prefixes)),
     ):
         text = F.replace(text, F.lit(placeholder(name)), value)
     return text

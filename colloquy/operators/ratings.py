@@ -39,7 +39,7 @@ def _after_colon(line: Column) -> Column:
 
 
 def _last(array: Column) -> Column:
-    return F.when(F.size(array) > 0, F.element_at(array, -1))
+    return F.try_element_at(array, F.lit(-1))
 
 
 def _pair_number(block_lines: Column, ordinal: Column) -> Column:

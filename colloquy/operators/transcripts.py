@@ -122,8 +122,9 @@ def extract_pairs(log: Column) -> Column:
             F.get(stripped_lines(e), F.lit(0)).alias("user"),
             F.array_join(
                 stripped_lines(
-                    F.element_at(
-                        F.filter(F.split(e, _ASSISTANT_START), lambda a: py_strip(a).startswith(ASSISTANT)), -1
+                    F.try_element_at(
+                        F.filter(F.split(e, _ASSISTANT_START), lambda a: py_strip(a).startswith(ASSISTANT)),
+                        F.lit(-1),
                     )
                 ),
                 " ",
@@ -147,18 +148,20 @@ def pair_turns(turns: Column) -> Column:
     return F.when(n >= 1, made).otherwise(F.filter(made, lambda _: F.lit(False)))
 
 
-def format_pairs(pairs: Column, user_prefix: str = "", assistant_prefix: str = "") -> Column:
-    """Numbered blocks of an array of (user, assistant) structs, ready for a judge request."""
+def format_pairs(
+    pairs: Column, fields: tuple[str, str] = ("user", "assistant"), prefixes: tuple[str, str] = ("", "")
+) -> Column:
+    """Numbered blocks of an array of pairs, ready for a judge request."""
     return F.array_join(
         F.transform(
             pairs,
             lambda p, i: F.concat(
                 F.lit("\n" + PAIR_OPEN),
                 (i + 1).cast("string"),
-                F.lit(PAIR_CLOSE + "\n" + user_prefix),
-                p[0],
-                F.lit("\n" + assistant_prefix),
-                p[1],
+                F.lit(PAIR_CLOSE + "\n" + prefixes[0]),
+                p[fields[0]],
+                F.lit("\n" + prefixes[1]),
+                p[fields[1]],
                 F.lit("\n"),
             ),
         ),
