@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.functions.text import SPACE, py_strip, token_count, token_id, tokens
+from colloquy.functions.text import let, py_strip, token_count, token_id, tokens
 
 # Two utterances per window, the 3rd to the 26th utterance of a dialogue.
 WINDOWS = tuple((start, start + 1) for start in range(3, 27, 2))
@@ -302,45 +301,44 @@ def pattern_span_mask(
     sized = F.transform(
         sentences, lambda s: F.struct(s.alias("s"), count(F.concat(s, F.lit(end))).alias("step"))
     )
+    # sentences with the number of tokens in front of them
     placed = F.aggregate(
-        F.col("_sized"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        sized,
+        F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:string,start:int>>").alias("out")),
         lambda acc, x: F.struct(
-            (acc["at"] + x["step"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")
+            (acc["pos"] + x["step"]).alias("pos"),
+            F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), acc["pos"].alias("start")))).alias("out"),
         ),
-        lambda acc: acc["starts"],
+        lambda acc: acc["out"],
     )
 
-    def spans_for(pattern: str) -> Column:
-        width = count(F.lit(pattern))
-        hits = F.filter(F.arrays_zip("_sized", "_starts"), lambda z: z["_sized"]["s"].contains(pattern))
+    def spans_for(found: Column, pattern: str) -> Column:
+        width = token_width[pattern]
 
         def span(z: Column) -> Column:
-            sentence = z["_sized"]["s"]
             if anchor == "tail":
-                before = count(sentence) - width
+                before = count(z["s"]) - width
             else:
-                before = count(F.substring_index(sentence, pattern, 1))
-            at = z["_starts"] + before
-            return F.struct((at - pad).alias("lo"), (at + width + pad).alias("hi"))
+                before = count(F.substring_index(z["s"], pattern, 1))
+            return F.struct(
+                (z["start"] + before - pad).alias("lo"), (z["start"] + before + width + pad).alias("hi")
+            )
 
-        return F.transform(hits, span)
+        return F.transform(F.filter(found, lambda z: z["s"].contains(pattern)), span)
 
-    spans = reduce(F.concat, [spans_for(p) for p in patterns])
+    token_width = {p: count(F.lit(p)) for p in patterns}
+    spans = let(placed, lambda found: F.concat(*[spans_for(found, p) for p in patterns]))
     last = F.size(mask) - 1
-    marked = F.transform(
-        F.col(mask),
-        lambda old, i: F.when(
-            (i == 0) | (i == last) | F.exists("_spans", lambda s: (i >= s["lo"]) & (i < s["hi"])), 1
-        ).otherwise(old),
-    )
-    return (
-        df.withColumn("_sized", sized)
-        .withColumn("_starts", placed)
-        .withColumn("_spans", spans)
-        .withColumn(mask, marked)
-        .drop("_sized", "_starts", "_spans")
+    marked = let(
+        spans,
+        lambda held: F.transform(
+            F.col(mask),
+            lambda old, i: F.when(
+                (i == 0) | (i == last) | F.exists(held, lambda s: (i >= s["lo"]) & (i < s["hi"])), 1
+            ).otherwise(old),
+        ),
     )
+    return df.withColumn(mask, marked)
 
 
 def shuffle_key(seed: int, *keys: str) -> Column:

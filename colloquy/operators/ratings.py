@@ -100,27 +100,28 @@ def parse_four_metric(answers: DataFrame, *keys: str, text: str = "answer") -> D
     Pairs are numbered in the order of their headers. A category stays in force until the next one,
     also across a pair header. Fields that the answer leaves out are empty strings.
     """
-    pieces = F.split(F.col(text), _PAIR_START)
-
     def last_category(piece: Column) -> Column:
         return _category(_last(F.filter(stripped_lines(piece), lambda x: _category(x).isNotNull())))
 
-    state = "struct<category:string,before:array<string>>"
+    # every piece of the answer with the category in force where it starts
+    state = "struct<category:string,out:array<struct<piece:string,before:string>>>"
     carried = F.aggregate(
-        F.transform(F.col("_pieces"), last_category),
-        F.struct(F.lit(None).cast("string").alias("category"), F.array().alias("before")).cast(state),
-        lambda acc, category: F.struct(
-            F.coalesce(category, acc["category"]).alias("category"),
-            F.concat(acc["before"], F.array(acc["category"])).alias("before"),
+        F.split(F.col(text), _PAIR_START),
+        F.struct(F.lit(None).cast("string").alias("category"), F.array().alias("out")).cast(state),
+        lambda acc, piece: F.struct(
+            F.coalesce(last_category(piece), acc["category"]).alias("category"),
+            F.concat(
+                acc["out"], F.array(F.struct(piece.alias("piece"), acc["category"].alias("before")))
+            ).alias("out"),
         ).cast(state),
-        lambda acc: acc["before"],
+        lambda acc: acc["out"],
     )
 
-    def sections(piece: Column, before: Column) -> Column:
+    def sections(entry: Column) -> Column:
         return F.transform(
-            F.split(piece, _CATEGORY_START),
+            F.split(entry["piece"], _CATEGORY_START),
             lambda s: F.struct(
-                F.coalesce(_category(py_strip(s)), before).alias("category"), stripped_lines(s).alias("lines")
+                F.coalesce(_category(py_strip(s)), entry["before"]).alias("category"), stripped_lines(s).alias("lines")
             ),
         )
 
@@ -133,27 +134,19 @@ def parse_four_metric(answers: DataFrame, *keys: str, text: str = "answer") -> D
         )
         return F.coalesce(_after_colon(_last(own)), F.lit(""))
 
-    headed = F.filter(
-        F.transform(
-            F.col("_pieces"),
-            lambda p, i: F.struct(py_strip(p).startswith(PAIR_OPEN).alias("opened"), sections(p, F.get("_carried", i)).alias("parts")),
-        ),
-        lambda p: p["opened"],
-    )
+    headed = F.transform(F.filter(carried, lambda e: py_strip(e["piece"]).startswith(PAIR_OPEN)), sections)
     ratings = F.array(
         *[
             F.struct(
                 F.lit(m).alias("metric_type"),
-                field(F.col("_p.parts"), m, SCORE_LABEL).alias("quantitative"),
-                field(F.col("_p.parts"), m, COMMENT_LABEL).alias("qualitative"),
+                field(F.col("_parts"), m, SCORE_LABEL).alias("quantitative"),
+                field(F.col("_parts"), m, COMMENT_LABEL).alias("qualitative"),
             )
             for m in METRICS
         ]
     )
     return (
-        answers.select(*keys, pieces.alias("_pieces"))
-        .withColumn("_carried", carried)
-        .select(*keys, F.posexplode(headed).alias("_at", "_p"))
+        answers.select(*keys, F.posexplode(headed).alias("_at", "_parts"))
         .select(*keys, (F.col("_at") + 1).alias("pair_num"), F.inline(ratings))
     )
 

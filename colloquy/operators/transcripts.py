@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import fold_newlines, lines, py_strip, stripped_lines
+from colloquy.functions.text import fold_newlines, let, lines, py_strip, stripped_lines
 
 # Markers and labels of the transcript format.
 LOG_MARKER = "=== Dialogue Log ==="
@@ -83,13 +83,11 @@ def split_sections(content: Column) -> Column:
 
 
 def _utterance(block: Column, prefix: str) -> Column:
-    block_lines = lines(F.substr(block, F.lit(len(prefix) + 1)))
-    first = py_strip(F.get(block_lines, F.lit(0)))
-    rest = F.filter(
-        F.transform(F.slice(block_lines, 2, F.greatest(F.size(block_lines) - 1, F.lit(0))), py_strip),
-        lambda line: line != "",
-    )
-    return F.array_join(F.concat(F.array(first), rest), "\n")
+    def joined(block_lines: Column) -> Column:
+        rest = F.filter(F.slice(block_lines, 2, F.size(block_lines)), lambda line: line != "")
+        return F.array_join(F.concat(F.slice(block_lines, 1, 1), rest), "\n")
+
+    return let(F.transform(lines(F.substr(block, F.lit(len(prefix) + 1))), py_strip), joined)
 
 
 def parse_turns(log: Column) -> Column:
