@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,15 +13,6 @@ SPACE = r"[\s\x1c-\x1f]"
 TOKEN = "[0-9A-Za-z_À-ɏ]+|[^0-9A-Za-z_À-ɏ\\s 　]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once.
-
-    An array that a lambda refers to is otherwise inlined into the lambda by the optimizer and
-    computed again for every element.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def py_strip(text: Column) -> Column:
     """``str.strip()`` with Unicode white space, U+3000 included."""
     return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.functions.text import let, py_strip, token_count, token_id, tokens
+from colloquy.functions.plan import let, with_computed
+from colloquy.functions.text import py_strip, token_count, token_id, tokens
 
 # Two utterances per window, the 3rd to the 26th utterance of a dialogue.
 WINDOWS = tuple((start, start + 1) for start in range(3, 27, 2))
@@ -158,30 +159,27 @@ def classify_examples(
     """
     format_ok = F.coalesce(valid_messages(F.col("messages")), F.lit(False))
     order_ok = alternating(F.col("messages"))
-    early = examples.withColumn(
-        "_early", F.when(~format_ok, "format").when(F.size("messages") < 2, "empty").when(~order_ok, "order")
-    )
-    early = early.withColumn(
-        "text", F.when(F.col("_early").isNull(), render_chat(paired_messages(F.col("messages"))))
-    )
-    count = token_count if tokenizer is None else length_udf(tokenizer)
+    reason = F.when(~format_ok, "format").when(F.size("messages") < 2, "empty").when(~order_ok, "order")
+    early = with_computed(examples, _early=reason)
+    passed = F.col("_early").isNull()
+    rendered = with_computed(early, text=F.when(passed, render_chat(paired_messages(F.col("messages")))))
     if tokenizer is None:
-        counted = early.withColumn("n_tokens", F.when(F.col("_early").isNull(), count(F.col("text"))))
+        counted = with_computed(rendered, n_tokens=F.when(passed, token_count(F.col("text"))))
     else:
-        counted = early.withColumn(
-            "n_tokens", F.when(F.col("_early").isNull(), count(F.coalesce("text", F.lit(""))))
-        )
-    return counted.withColumn(
-        "reject_reason",
-        F.coalesce("_early", F.when(F.col("n_tokens") > max_tokens, "length")),
-    ).drop("_early")
+        lengths = length_udf(tokenizer)(F.coalesce("text", F.lit("")))
+        counted = rendered.withColumn("_n", lengths).withColumn("n_tokens", F.when(passed, F.col("_n"))).drop("_n")
+    too_long = F.when(F.col("n_tokens") > max_tokens, "length")
+    return counted.withColumn("reject_reason", F.coalesce("_early", too_long)).drop("_early")
 
 
 def within_token_budget(
     df: DataFrame, text: str = "text", max_tokens: int = MAX_TOKENS, tokenizer: TokenizerFactory | None = None
 ) -> DataFrame:
-    count = token_count if tokenizer is None else length_udf(tokenizer)
-    return df.withColumn("n_tokens", count(F.col(text))).filter(F.col("n_tokens") <= max_tokens)
+    if tokenizer is None:
+        sized = with_computed(df, n_tokens=token_count(F.col(text)))
+    else:
+        sized = df.withColumn("n_tokens", length_udf(tokenizer)(F.col(text)))
+    return sized.filter(F.col("n_tokens") <= max_tokens)
 
 
 def reject_report(classified: DataFrame) -> DataFrame:
@@ -209,7 +207,7 @@ def tokenize_pad(df: DataFrame, text: str = "text", max_len: int = MAX_TOKENS) -
     kept = F.slice(ids, 1, max_len)
     missing = F.lit(max_len) - F.size("_kept")
     return (
-        df.withColumn("_kept", kept)
+        with_computed(df, _kept=kept)
         .withColumn("input_ids", F.concat("_kept", F.array_repeat(F.lit(PAD_ID), missing)))
         .withColumn(
             "attention_mask",

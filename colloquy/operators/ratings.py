@@ -29,7 +29,7 @@ _PAIR_START = r"(?Umd)^(?=[\s\x1c-\x1f&&[^\n]]*【ペア)"
 _CATEGORY_START = r"(?Umd)^(?=[\s\x1c-\x1f&&[^\n]]*(?:" + "|".join(CATEGORY_LABELS.values()) + "))"
 _PAIR_NUMBER = r"^【ペア\s*([0-9０-９]+)"
 
-MAX_WIDE_PAIRS = 500
+WIDE_PAIRS = 2
 RATING_KEYS = ("dialogue_id", "metric_type", "pair_num")
 
 
@@ -199,19 +199,18 @@ def pair_columns(n_pairs: int, metrics: Sequence[str] = METRICS) -> list[str]:
 
 
 def ratings_wide(
-    long: DataFrame, keys: Sequence[str], metrics: Sequence[str] = METRICS, n_pairs: int | None = None
+    long: DataFrame, keys: Sequence[str], metrics: Sequence[str] = METRICS, n_pairs: int = WIDE_PAIRS
 ) -> DataFrame:
-    """One row per dialogue with a ``metric_pairN`` column each.
+    """Rows ``(keys, part)`` with a ``metric_pairN`` column for each of ``n_pairs`` pairs.
 
-    Without ``n_pairs`` the highest pair number in the data decides, so no pair is left out; one
-    number is read for that. ``MAX_WIDE_PAIRS`` guards against a table with absurdly many columns.
+    A dialogue with more pairs continues in the next part, where pair numbers start again at 1, so
+    the width never grows with the data.
     """
-    if n_pairs is None:
-        n_pairs = int(long.agg(F.coalesce(F.max("pair_num"), F.lit(0))).first()[0])
-    if n_pairs > MAX_WIDE_PAIRS:
-        raise ValueError(f"{n_pairs} pairs make no wide table; stay with long ratings")
-    named = long.withColumn("metric_pair", F.concat("metric_type", F.lit("_pair"), F.col("pair_num").cast("string")))
-    return named.groupBy(*keys).pivot("metric_pair", pair_columns(n_pairs, metrics)).agg(F.first("score"))
+    number = F.col("pair_num") - 1
+    named = long.withColumn("part", F.floor(number / n_pairs).cast("bigint")).withColumn(
+        "metric_pair", F.concat("metric_type", F.lit("_pair"), (number % n_pairs + 1).cast("string"))
+    )
+    return named.groupBy(*keys, "part").pivot("metric_pair", pair_columns(n_pairs, metrics)).agg(F.first("score"))
 
 
 def is_fully_rated(pairs: Column, metrics: Sequence[str] = METRICS) -> Column:

@@ -13,6 +13,7 @@ never holds more than ``span`` rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -27,20 +28,26 @@ def _span_start(order: Column, span: int) -> Column:
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, span: int = SPAN
 ) -> DataFrame:
-    """Inclusive running total of ``value`` along ``order`` within ``keys``, as column ``out``."""
+    """Inclusive running total of ``value`` along ``order`` within ``keys``, as column ``out``.
+
+    Rows without a key stay, with a null total.
+    """
     keys = list(keys)
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     valued = df.withColumn("_value", value).withColumn("_span", _span_start(F.col(order), span))
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    # A key that fits one span carries nothing, so this side is small however many keys there are.
     carried = (
         valued.groupBy(*keys, "_span")
         .agg(F.sum("_value").alias("_total"))
-        .select(*keys, "_span", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carried"))
+        .select(*keys, "_span", F.sum("_total").over(before).alias("_carried"))
+        .filter("_carried is not null")
     )
     within = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         valued.withColumn("_inside", F.sum("_value").over(within))
         .join(carried, [*keys, "_span"], "left")
-        .withColumn(out, F.col("_inside") + F.col("_carried"))
+        .withColumn(out, F.when(keyed, F.col("_inside") + F.coalesce("_carried", F.lit(0))))
         .drop("_value", "_span", "_inside", "_carried")
     )
 

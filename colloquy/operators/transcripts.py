@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import fold_newlines, let, lines, py_strip, stripped_lines
+from colloquy.functions.plan import exploded, let
+from colloquy.functions.text import fold_newlines, lines, py_strip, stripped_lines
 
 # Markers and labels of the transcript format.
 LOG_MARKER = "=== Dialogue Log ==="
@@ -203,12 +204,23 @@ def with_pairs(transcripts: DataFrame, content: str = "content") -> DataFrame:
 
 def explode_turns(parsed: DataFrame, *keys: str, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
     """Long ``(keys, turn, speaker, text)`` view; ``turn`` counts on across the segments of a dialogue."""
-    offset = F.col("segment") * segment_turns if "segment" in parsed.columns else F.lit(0)
-    return parsed.select(*keys, offset.alias("_first"), F.posexplode("turns").alias("_at", "_turn")).select(
+    segmented = "segment" in parsed.columns
+    first = F.col("segment") * segment_turns if segmented else F.lit(0)
+    return exploded(parsed, "turns", *keys, *(["segment"] if segmented else [])).select(
         *keys,
-        (F.col("_first") + F.col("_at")).cast("bigint").alias("turn"),
-        F.col("_turn.speaker").alias("speaker"),
-        F.col("_turn.text").alias("text"),
+        (first + F.col("_pos")).cast("bigint").alias("turn"),
+        F.col("_item.speaker").alias("speaker"),
+        F.col("_item.text").alias("text"),
+    )
+
+
+def explode_pairs(paired: DataFrame, *keys: str) -> DataFrame:
+    """Long ``(keys, pair_num, user, assistant)`` view of ``pairs``, numbered from 1 in each document."""
+    return exploded(paired, "pairs", *keys).select(
+        *keys,
+        (F.col("_pos") + 1).alias("pair_num"),
+        F.col("_item.user").alias("user"),
+        F.col("_item.assistant").alias("assistant"),
     )
 
 

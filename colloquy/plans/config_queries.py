@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from colloquy.functions import names as N
 from colloquy.operators import config_table as C
 from colloquy.operators import transcripts as X
-from colloquy.plans.inputs import CONFIG, RATINGS, SPOKEN, ratings, run_config, score_rows, SCORES, table
+from colloquy.plans.inputs import CONFIG, RATINGS, SPOKEN, ratings, run_config, table
 from colloquy.plans.registry import query
-from colloquy.plans.rating_queries import two_metric_answers, _GAP
+from colloquy.plans.rating_queries import GAP, two_metric_answers
 from colloquy.plans.transcript_queries import CLEAN_TEXT, documents_of
 from colloquy.session import shared_path
 from colloquy.sources.writers import current_ratings
@@ -46,16 +46,13 @@ def drop_duplicates_keep_first(spark, sf_dir):
     )
 
 
-def _known_parts(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-
-
 @query(
-    """SELECT event_id, user_id, user_id IN (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0) AS known FROM events"""
+    """SELECT event_id, user_id, user_id IN (SELECT s_suppkey FROM supplier) AS known FROM events"""
 )
 def check_catalog_ids(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id")
-    kept, unknown = C.check_catalog_ids(events, _known_parts(spark, sf_dir).filter("id % 3 <> 0"), "user_id")
+    catalog = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    kept, unknown = C.check_catalog_ids(events, catalog, "user_id")
     return kept.withColumn("known", F.lit(True)).unionByName(unknown.withColumn("known", F.lit(False)))
 
 
@@ -139,12 +136,12 @@ def stream_transcripts(spark, sf_dir):
 
 @query(
     f"""WITH {RATINGS} SELECT dialogue_id, metric_type, pair_num, score FROM ratings
-WHERE metric_type IN ('tone', 'logic') AND NOT {_GAP}"""
+WHERE metric_type IN ('tone', 'logic') AND NOT {GAP}"""
 )
 def stream_ratings(spark, sf_dir):
     """Judge answers arrive as files and end up in the rating store."""
     answers, store = shared_path(spark, "answers"), shared_path(spark, "store")
     two_metric_answers(spark, sf_dir).write.parquet(answers)
-    source = spark.readStream.schema("dialogue_id bigint, answer string").parquet(answers)
+    source = spark.readStream.schema("dialogue_id bigint, part bigint, answer string").parquet(answers)
     J.stream_ratings(source, store, shared_path(spark, "store-checkpoint")).awaitTermination()
     return current_ratings(spark, store)

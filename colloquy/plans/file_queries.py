@@ -32,21 +32,18 @@ from colloquy.sources import readers as S
 from colloquy.sources import writers as W
 
 
-@query(f"WITH {SPOKEN} SELECT dialogue_id, turn, speaker, {CLEAN_TEXT} AS text FROM spoken WHERE dialogue_id % 7 <> 0")
+@query(f"WITH {SPOKEN} SELECT dialogue_id, turn, speaker, {CLEAN_TEXT} AS text FROM spoken")
 def transcript_files(spark, sf_dir):
-    """One text file per dialogue, with CRLF line ends; the header tells which dialogue it is.
-
-    Every seventh document has the short header, which names no dialogue.
-    """
+    """One text file per document, with CRLF line ends; the header tells which dialogue it is."""
     path = shared_path(spark, "transcripts")
-    header = X.transcript_header(header_settings(F.col("dialogue_id")))
-    docs = X.render_transcripts(dialogue_turns(spark, sf_dir), header)
+    settings = header_settings(F.col("dialogue_id")) | {"user_prompt_title": F.lit("title")}
+    docs = X.render_transcripts(dialogue_turns(spark, sf_dir), X.transcript_header(settings))
     crlf = F.replace("content", F.lit("\n"), F.lit("\r\n"))
     docs.select(crlf.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     files = S.read_transcripts(spark, path)
     number = F.regexp_extract("content", r"(?m)^- Initial Question ID: (\d+)$", 1).try_cast("bigint")
     parsed = X.with_turns(files.withColumn("dialogue_id", number))
-    return X.explode_turns(parsed, "dialogue_id").filter("dialogue_id is not null")
+    return X.explode_turns(parsed, "dialogue_id")
 
 
 @query(
@@ -73,19 +70,19 @@ def run_config_csv(spark, sf_dir):
 
 @query(
     f"WITH {SCORES} "
-    + """SELECT dialogue_id::VARCHAR AS dialogue_id, 'base' AS model_version, 'base' AS checkpoint,
-  metric_type || '_pair' || pair_num AS metric_pair, metric_type, pair_num, number_score::DOUBLE AS score
+    + """SELECT dialogue_id::VARCHAR AS dialogue_id, ((pair_num - 1) // 2)::VARCHAR AS part, 'base' AS model_version, 'base' AS checkpoint,
+  metric_type || '_pair' || (pair_num - 1) % 2 + 1 AS metric_pair, metric_type, (pair_num - 1) % 2 + 1 AS pair_num, number_score::DOUBLE AS score
 FROM scores WHERE number_score IS NOT NULL"""
 )
 def ratings_csv(spark, sf_dir):
     """The wide table through CSV: cells are text, and NA stands for a missing key."""
     path = shared_path(spark, "wide")
     cells = score_rows(spark, sf_dir).withColumnRenamed("score_text", "score")
-    wide = R.ratings_wide(cells, ["dialogue_id"], metrics=("tone", "logic"))
+    wide = R.ratings_wide(cells, ["dialogue_id"], ("tone", "logic"), n_pairs=2)
     keyed = wide.select("*", F.lit("NA").alias("model_version"), F.lit("").alias("checkpoint"))
     keyed.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     read = A.fill_default_keys(S.read_ratings_wide(spark, path))
-    return A.melt_ratings(read, ["dialogue_id", "model_version", "checkpoint"])
+    return A.melt_ratings(read, ["dialogue_id", "part", "model_version", "checkpoint"])
 
 
 @query("SELECT 'nations' AS kind, n_nationkey AS id, n_name AS label, n_name || ' text' AS content, n_regionkey AS region FROM nation")

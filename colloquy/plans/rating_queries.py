@@ -4,42 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from colloquy.functions.plan import exploded
 from colloquy.functions.scores import coerce_score as coerce
 from colloquy.operators import ratings as R
 from colloquy.operators import transcripts as X
-from colloquy.plans.inputs import RATINGS, SCORES, pair_values, rating_pairs, ratings, score_rows, table
+
+from colloquy.plans.inputs import RATINGS, SCORES, pair_lengths, rating_pairs, ratings, score_rows, table
 from colloquy.plans.registry import query
+from colloquy.plans.transcript_queries import documents_of
 from colloquy.schemas import METRICS
 from colloquy.session import shared_path
 from colloquy.sources.writers import append_rating_load, compact_rating_store, current_ratings
 
 # A pair lacks its logic score where this holds.
-_GAP = "(dialogue_id + 2 * pair_num) % 7 = 3"
+GAP = "(dialogue_id + 2 * pair_num) % 7 = 3"
+ANSWER_PAIRS = X.SEGMENT_TURNS // 2
 
 
 def _answer_blocks(rows, *block):
-    """One answer per dialogue from one text block per pair; a judge answer covers one document."""
+    """Answers ``(dialogue_id, part, answer)`` from one text block per pair.
+
+    An answer covers at most ``ANSWER_PAIRS`` pairs, as many as a transcript document holds.
+    """
     return (
-        rows.groupBy("dialogue_id")
+        rows.withColumn("part", F.expr(f"cast((pair_num - 1) div {ANSWER_PAIRS} as bigint)"))
+        .groupBy("dialogue_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("pair_num", F.concat(*block).alias("b")))).alias("_b"))
-        .select("dialogue_id", F.array_join(F.transform("_b", lambda b: b["b"]), "\n").alias("answer"))
+        .select("dialogue_id", "part", F.array_join(F.transform("_b", lambda b: b["b"]), "\n").alias("answer"))
     )
 
 
+def _four_metric(spark, sf_dir):
+    """Parsed answers with pairs numbered across the parts of a dialogue."""
+    parsed = R.parse_four_metric(four_metric_answers(spark, sf_dir), "dialogue_id", "part")
+    return parsed.withColumn("pair_num", F.col("part") * ANSWER_PAIRS + F.col("pair_num"))
+
+
 def two_metric_answers(spark, sf_dir):
     tone, logic = F.col("tone").cast("string"), F.col("logic").cast("string")
     number = F.col("pair_num").cast("string")
     return _answer_blocks(
         rating_pairs(spark, sf_dir),
         F.lit("　【ペア"), number, F.lit("】\n口調：　"), tone, F.lit(" ：second\n"),
-        F.when(F.expr(_GAP), "").otherwise(F.concat(F.lit("論理性："), logic, F.lit("\n"))),
+        F.when(F.expr(GAP), "").otherwise(F.concat(F.lit("論理性："), logic, F.lit("\n"))),
         F.lit("コメント：fine：really\n"),
     )
 
 
 @query(
     f"""WITH {RATINGS} SELECT dialogue_id, pair_num, metric_type, score::BIGINT::VARCHAR AS quantitative
-FROM ratings WHERE metric_type IN ('tone', 'logic') AND NOT {_GAP}"""
+FROM ratings WHERE metric_type IN ('tone', 'logic') AND NOT {GAP}"""
 )
 def parse_two_metric(spark, sf_dir):
     return R.parse_two_metric(two_metric_answers(spark, sf_dir), "dialogue_id")
@@ -47,8 +61,8 @@ def parse_two_metric(spark, sf_dir):
 
 @query(
     f"""WITH {RATINGS}, c AS (SELECT dialogue_id, metric_type, score, row_number()
-    OVER (PARTITION BY dialogue_id, metric_type ORDER BY pair_num) AS pair_num
-  FROM ratings WHERE metric_type IN ('tone', 'logic') AND NOT {_GAP})
+    OVER (PARTITION BY dialogue_id, (pair_num - 1) // 512, metric_type ORDER BY pair_num) AS pair_num
+  FROM ratings WHERE metric_type IN ('tone', 'logic') AND NOT {GAP})
 SELECT dialogue_id, pair_num, metric_type, score::BIGINT::VARCHAR AS quantitative FROM c"""
 )
 def parse_two_metric_compact(spark, sf_dir):
@@ -61,7 +75,7 @@ def four_metric_answers(spark, sf_dir):
     for metric in METRICS:
         block += [
             F.lit(f"{R.CATEGORY_LABELS[metric]}\n"),
-            F.when(F.expr(_GAP) & F.lit(metric == "format"), "").otherwise(
+            F.when(F.expr(GAP) & F.lit(metric == "format"), "").otherwise(
                 F.concat(F.lit("スコア："), F.col(metric).cast("string"), F.lit("\n"))
             ),
             F.lit("コメント："), F.lit(f"{metric} of "), number, F.lit("：cut off\n\n"),
@@ -71,54 +85,46 @@ def four_metric_answers(spark, sf_dir):
 
 @query(
     f"""WITH {RATINGS} SELECT dialogue_id, pair_num, metric_type,
-  CASE WHEN metric_type = 'format' AND {_GAP} THEN '' ELSE score::BIGINT::VARCHAR END AS quantitative,
+  CASE WHEN metric_type = 'format' AND {GAP} THEN '' ELSE score::BIGINT::VARCHAR END AS quantitative,
   metric_type || ' of ' || pair_num AS qualitative FROM ratings"""
 )
 def parse_four_metric(spark, sf_dir):
-    return R.parse_four_metric(four_metric_answers(spark, sf_dir), "dialogue_id")
+    return _four_metric(spark, sf_dir).drop("part")
 
 
 @query(
     f"""WITH {RATINGS} SELECT p.dialogue_id, p.pair_num, length(p.user_text) AS n_user, r.metric_type, r.score
-FROM pairs p LEFT JOIN (SELECT * FROM ratings WHERE NOT {_GAP}) r USING (dialogue_id, pair_num)"""
+FROM pairs p LEFT JOIN (SELECT * FROM ratings WHERE NOT {GAP}) r USING (dialogue_id, pair_num)"""
 )
 def join_ratings(spark, sf_dir):
-    rated = rating_pairs(spark, sf_dir)
-    pairs = _pair_lengths(spark, sf_dir)
-    long = ratings(spark, sf_dir).filter(~F.expr(_GAP)).select("dialogue_id", "pair_num", "metric_type", "score")
-    assert set(rated.columns) >= {"dialogue_id", "pair_num"}
+    pairs = pair_lengths(spark, sf_dir).select("dialogue_id", "pair_num", F.col("user_len").alias("n_user"))
+    long = ratings(spark, sf_dir).filter(~F.expr(GAP)).select("dialogue_id", "pair_num", "metric_type", "score")
     return R.join_ratings(pairs, long, "dialogue_id", "pair_num")
 
 
-def _pair_lengths(spark, sf_dir):
-    from colloquy.plans.inputs import pair_lengths
-
-    return pair_lengths(spark, sf_dir).select("dialogue_id", "pair_num", F.col("user_len").alias("n_user"))
-
-
 @query(
-    f"""WITH {RATINGS}, n AS (SELECT dialogue_id, count(*) AS n_pairs, greatest(count(*) - dialogue_id % 2, 0) AS n_rated
-  FROM pairs GROUP BY 1)
+    f"""WITH {RATINGS}, n AS (SELECT dialogue_id, (pair_num - 1) // 512 AS part, max(pair_num) - dialogue_id % 2 AS n_rated
+  FROM pairs GROUP BY 1, 2)
 SELECT dialogue_id, pair_num, 'Assistant: ' || replace(assistant_text, chr(10), ' ') AS answer, tone::VARCHAR AS rating
-FROM n JOIN pairs USING (dialogue_id) JOIN rating_pairs USING (dialogue_id, pair_num) WHERE pair_num <= n_rated"""
+FROM (SELECT *, (pair_num - 1) // 512 AS part FROM pairs) JOIN n USING (dialogue_id, part)
+  JOIN rating_pairs USING (dialogue_id, pair_num) WHERE pair_num <= n_rated"""
 )
 def attach_ratings(spark, sf_dir):
-    """Pairs of a transcript zipped with the parsed tone scores; odd dialogues lack their last score."""
-    from colloquy.plans.transcript_queries import documents_of
-
-    pairs = X.with_pairs(documents_of(spark, sf_dir)).select("dialogue_id", "pairs")
-    tone = R.parse_four_metric(four_metric_answers(spark, sf_dir), "dialogue_id").filter("metric_type = 'tone'")
-    scores = tone.groupBy("dialogue_id").agg(
+    """Pairs of each document zipped with its tone scores; odd dialogues lack the last score of a document."""
+    pairs = X.with_pairs(documents_of(spark, sf_dir)).select("dialogue_id", F.col("segment").alias("part"), "pairs")
+    tone = R.parse_four_metric(four_metric_answers(spark, sf_dir), "dialogue_id", "part").filter("metric_type = 'tone'")
+    scores = tone.groupBy("dialogue_id", "part").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("pair_num", "quantitative"))), lambda r: r["quantitative"]
         ).alias("r")
     )
     short = F.slice("r", 1, F.greatest(F.size("r") - (F.col("dialogue_id") % 2).cast("int"), F.lit(0)))
-    zipped = R.attach_ratings(F.col("pairs"), short)
-    return (
-        pairs.join(scores, "dialogue_id")
-        .select("dialogue_id", F.posexplode(zipped).alias("pos", "z"))
-        .select("dialogue_id", (F.col("pos") + 1).alias("pair_num"), F.col("z.pair.assistant").alias("answer"), "z.rating")
+    zipped = pairs.join(scores, ["dialogue_id", "part"]).withColumn("z", R.attach_ratings(F.col("pairs"), short))
+    return exploded(zipped, "z", "dialogue_id", "part").select(
+        "dialogue_id",
+        (F.col("part") * ANSWER_PAIRS + F.col("_pos") + 1).alias("pair_num"),
+        F.col("_item.pair.assistant").alias("answer"),
+        F.col("_item.rating").alias("rating"),
     )
 
 
@@ -140,17 +146,17 @@ def coerce_score(spark, sf_dir):
 
 
 def _loads(spark, sf_dir):
-    """A first load without every third dialogue, and a second one that corrects every second."""
+    """A first load, and a second one that corrects part of it and adds the rest."""
     rated = ratings(spark, sf_dir).select("dialogue_id", "metric_type", "pair_num", "score")
     first = rated.filter("dialogue_id % 3 <> 2")
     score = F.when(F.col("pair_num") % 4 != 3, F.col("score") + 1)
-    second = rated.filter("dialogue_id % 2 = 0").withColumn("score", score)
+    second = rated.filter("dialogue_id % 2 = 0 or dialogue_id % 3 = 2").withColumn("score", score)
     return first, second
 
 
 _UPSERTED = """upserted AS (SELECT dialogue_id, metric_type, pair_num,
-    CASE WHEN dialogue_id % 2 = 0 AND pair_num % 4 <> 3 THEN score + 1 WHEN dialogue_id % 3 <> 2 THEN score END AS score
-  FROM ratings WHERE dialogue_id % 3 <> 2 OR dialogue_id % 2 = 0)"""
+    CASE WHEN (dialogue_id % 2 = 0 OR dialogue_id % 3 = 2) AND pair_num % 4 <> 3 THEN score + 1
+         WHEN dialogue_id % 3 <> 2 THEN score END AS score FROM ratings)"""
 
 
 @query(f"WITH {RATINGS}, {_UPSERTED} SELECT * FROM upserted")
@@ -171,35 +177,33 @@ def rating_store(spark, sf_dir):
 
 
 _WIDE = ", ".join(
-    f"max(score) FILTER (metric_type = '{m}' AND pair_num = {n}) AS {m}_pair{n}" for n in (1, 2, 3, 4) for m in METRICS
+    f"max(score) FILTER (metric_type = '{m}' AND pair_num % 2 = {n % 2}) AS {m}_pair{n}" for n in (1, 2) for m in METRICS
 )
 
 
-@query(f"WITH {RATINGS} SELECT dialogue_id, model_version, checkpoint, {_WIDE} FROM ratings GROUP BY 1, 2, 3")
+@query(
+    f"""WITH {RATINGS} SELECT dialogue_id, model_version, checkpoint, (pair_num - 1) // 2 AS part, {_WIDE}
+FROM ratings GROUP BY 1, 2, 3, 4"""
+)
 def ratings_wide(spark, sf_dir):
-    wide = R.ratings_wide(ratings(spark, sf_dir), ["dialogue_id", "model_version", "checkpoint"], n_pairs=4)
-    return wide
+    return R.ratings_wide(ratings(spark, sf_dir), ["dialogue_id", "model_version", "checkpoint"])
 
 
 @query(
-    f"""WITH {RATINGS}, d AS (SELECT DISTINCT dialogue_id FROM spoken)
-SELECT dialogue_id, coalesce(bool_and(NOT {_GAP}), true) AS fully_rated FROM d LEFT JOIN pairs USING (dialogue_id) GROUP BY 1"""
+    f"""WITH {RATINGS} SELECT dialogue_id, (pair_num - 1) // 512 AS part, bool_and(NOT {GAP}) AS fully_rated
+FROM pairs GROUP BY 1, 2"""
 )
 def fully_rated(spark, sf_dir):
-    parsed = R.parse_four_metric(four_metric_answers(spark, sf_dir), "dialogue_id")
+    """Whether every pair of an answer has all four scores."""
+    parsed = R.parse_four_metric(four_metric_answers(spark, sf_dir), "dialogue_id", "part")
     verdict = F.struct("quantitative", "qualitative")
-    per_pair = parsed.groupBy("dialogue_id", "pair_num").agg(
+    per_pair = parsed.groupBy("dialogue_id", "part", "pair_num").agg(
         F.struct(*[F.max(F.when(F.col("metric_type") == m, verdict)).alias(m) for m in METRICS]).alias("evaluation")
     )
-    per_dialogue = per_pair.groupBy("dialogue_id").agg(F.collect_list(F.struct("pair_num", "evaluation")).alias("pairs"))
-    everyone = table(spark, sf_dir, "conversations").filter("role <> 'system'").select(
-        F.col("conv_id").alias("dialogue_id")
-    ).distinct()
-    nothing = F.filter("pairs", lambda _: F.lit(False))
-    joined = everyone.join(per_dialogue, "dialogue_id", "left")
-    return joined.select(
-        "dialogue_id", F.coalesce(R.is_fully_rated(F.col("pairs")), F.size(F.coalesce(nothing, F.array())) == 0).alias("fully_rated")
+    documents = per_pair.groupBy("dialogue_id", "part").agg(
+        F.collect_list(F.struct("pair_num", "evaluation")).alias("pairs")
     )
+    return documents.select("dialogue_id", "part", R.is_fully_rated(F.col("pairs")).alias("fully_rated"))
 
 
 @query(

@@ -23,6 +23,13 @@ def documents_of(spark, sf_dir):
     return X.render_transcripts(dialogue_turns(spark, sf_dir))
 
 
+def numbered_pairs(spark, sf_dir):
+    """Strictly parsed pairs ``(dialogue_id, pair_num, user, assistant)``, numbered across segments."""
+    pairs = X.explode_pairs(X.with_pairs(documents_of(spark, sf_dir)), "dialogue_id", "segment")
+    number = F.col("segment") * (X.SEGMENT_TURNS // 2) + F.col("pair_num")
+    return pairs.select("dialogue_id", number.alias("pair_num"), "user", "assistant")
+
+
 @query(f"WITH {SPOKEN} SELECT dialogue_id, turn, speaker, {CLEAN_TEXT} AS text FROM spoken")
 def transcript_round_trip(spark, sf_dir):
     return X.explode_turns(X.with_turns(documents_of(spark, sf_dir)), "dialogue_id")
@@ -74,13 +81,7 @@ def split_sections(spark, sf_dir):
   'Assistant: ' || {_JOINED.format(c="assistant_text")} AS assistant_line FROM pairs"""
 )
 def extract_pairs(spark, sf_dir):
-    pairs = X.with_pairs(documents_of(spark, sf_dir))
-    return pairs.select("dialogue_id", F.posexplode("pairs").alias("at", "p")).select(
-        "dialogue_id",
-        (F.col("at") + 1).alias("pair_num"),
-        F.col("p.user").alias("user_line"),
-        F.col("p.assistant").alias("assistant_line"),
-    )
+    return numbered_pairs(spark, sf_dir).withColumnsRenamed({"user": "user_line", "assistant": "assistant_line"})
 
 
 @query(
@@ -105,28 +106,20 @@ def format_pairs(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SPOKEN} SELECT dialogue_id, CASE WHEN dialogue_id % 5 = 0 THEN '=== Dialogue Log ===' ELSE '' END
-  || '=== Dialogue Log ===' || chr(10) || chr(10)
-  || CASE WHEN dialogue_id % 5 = 0 THEN string_agg(speaker || ': ' || replace(text, ' ', '（' || turn || '）') || '（x' || chr(10) || chr(10), '' ORDER BY turn)
-     ELSE string_agg(speaker || ': ' || replace(text, ' ', '') || '（x' || chr(10) || chr(10), '' ORDER BY turn) END AS content
-FROM spoken GROUP BY 1 HAVING count(*) = 1 OR dialogue_id % 5 = 0
-UNION ALL
-SELECT dialogue_id, '=== Dialogue Log ===' || chr(10) || chr(10) ||
-  string_agg(speaker || ': ' || replace(text, ' ', '') || chr(10) || chr(10), '' ORDER BY turn) AS content
-FROM spoken GROUP BY 1 HAVING count(*) > 1 AND dialogue_id % 5 <> 0"""
+    f"""WITH {SPOKEN} SELECT dialogue_id, dialogue_id % 5 = 0 AS doubled, string_agg(speaker || ': '
+  || CASE WHEN dialogue_id % 5 = 0 THEN replace(text, ' ', '（' || turn || '）') || '（x' ELSE replace(text, ' ', '') END
+  || chr(10) || chr(10), '' ORDER BY turn) AS body FROM spoken GROUP BY 1"""
 )
 def strip_parentheticals(spark, sf_dir):
-    """Blanks turned into remarks, which go; documents with two markers and unclosed remarks stay."""
+    """Blanks turned into remarks, which go; a document with two markers is left as it is."""
     turns = dialogue_turns(spark, sf_dir)
-    last = turns.groupBy("dialogue_id").agg(F.count("*").alias("n"))
+    doubled = F.col("dialogue_id") % 5 == 0
     remark = F.concat(F.lit("（"), F.col("turn").cast("string"), F.lit("）"))
-    keep_open = (F.col("dialogue_id") % 5 == 0) | (F.col("n") == 1)
-    remarked = turns.join(last, "dialogue_id").withColumn(
-        "text", F.concat(F.replace("text", F.lit(" "), remark), F.when(keep_open, "（x").otherwise(""))
-    )
-    docs = X.render_transcripts(remarked)
-    doubled = F.concat(F.when(F.col("dialogue_id") % 5 == 0, X.LOG_MARKER).otherwise(""), "content")
-    return docs.select("dialogue_id", X.strip_parentheticals(doubled).alias("content"))
+    remarked = F.concat(F.replace("text", F.lit(" "), remark), F.when(doubled, "（x").otherwise(""))
+    docs = X.render_transcripts(turns.withColumn("text", remarked))
+    content = X.strip_parentheticals(F.concat(F.when(doubled, X.LOG_MARKER).otherwise(""), "content"))
+    head = F.when(doubled, 2 * len(X.LOG_MARKER)).otherwise(len(X.LOG_MARKER)) + 3
+    return docs.select("dialogue_id", doubled.alias("doubled"), F.substr(content, head).alias("body"))
 
 
 @query(
