@@ -201,10 +201,8 @@ def profile_examples(df: DataFrame, size: Column) -> DataFrame:
 
 def tokenize_pad(df: DataFrame, text: str = "text", max_len: int = MAX_TOKENS) -> DataFrame:
     """``input_ids`` and ``attention_mask`` of exactly ``max_len`` under the built-in token rule."""
-    ids = F.concat(
-        F.array(F.lit(BOS_ID)), F.transform(tokens(F.col(text)), lambda t: token_id(t, VOCAB, RESERVED_IDS))
-    )
-    kept = F.slice(ids, 1, max_len)
+    first = F.slice(tokens(F.col(text)), 1, max_len - 1)
+    kept = F.concat(F.array(F.lit(BOS_ID)), F.transform(first, lambda t: token_id(t, VOCAB, RESERVED_IDS)))
     missing = F.lit(max_len) - F.size("_kept")
     return (
         with_computed(df, _kept=kept)
@@ -288,29 +286,28 @@ def pattern_span_mask(
 
     ``anchor="tail"`` places a hit at the end of its sentence wherever it stands in it;
     ``anchor="actual"`` places it where the pattern first occurs. Positions count tokens of the
-    sentences before, blank sentences left out. A non-blank sentence takes at least one token, so
-    the sentences past the mask length cannot reach into the mask and are not counted.
+    sentences before, blank sentences left out. Sentences that start past the mask length and the
+    widest pattern cannot reach into the mask and are not counted.
     """
     if anchor not in ("tail", "actual"):
         raise ValueError(f"unknown anchor {anchor!r}")
-    longest = max(len(p) for p in patterns)
-    reach = F.size(mask) + longest + pad
-    sentences = F.slice(_sentences(F.col(text), end), 1, reach)
-    sized = F.transform(
-        sentences, lambda s: F.struct(s.alias("s"), count(F.concat(s, F.lit(end))).alias("step"))
-    )
-    # sentences with the number of tokens in front of them
+    token_width = {p: count(F.lit(p)) for p in patterns}
+    reach = F.size(mask) + max(len(p) for p in patterns) + pad
+    # sentences that can reach the mask, with the number of tokens in front of them
     placed = F.aggregate(
-        sized,
+        _sentences(F.col(text), end),
         F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:string,start:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + x["step"]).alias("pos"),
-            F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), acc["pos"].alias("start")))).alias("out"),
-        ),
+        lambda acc, s: F.when(
+            acc["pos"] < reach,
+            F.struct(
+                (acc["pos"] + count(F.concat(s, F.lit(end)))).alias("pos"),
+                F.concat(acc["out"], F.array(F.struct(s.alias("s"), acc["pos"].alias("start")))).alias("out"),
+            ),
+        ).otherwise(acc),
         lambda acc: acc["out"],
     )
 
-    def spans_for(found: Column, pattern: str) -> Column:
+    def positions_for(found: Column, pattern: str) -> Column:
         width = token_width[pattern]
 
         def span(z: Column) -> Column:
@@ -318,22 +315,21 @@ def pattern_span_mask(
                 before = count(z["s"]) - width
             else:
                 before = count(F.substring_index(z["s"], pattern, 1))
-            return F.struct(
-                (z["start"] + before - pad).alias("lo"), (z["start"] + before + width + pad).alias("hi")
-            )
+            first = F.greatest(z["start"] + before - pad, F.lit(0))
+            last = F.least(z["start"] + before + width + pad, F.size(mask)) - 1
+            return F.when(first <= last, F.sequence(first, last))
 
-        return F.transform(F.filter(found, lambda z: z["s"].contains(pattern)), span)
+        hits = F.transform(F.filter(found, lambda z: z["s"].contains(pattern)), span)
+        return F.flatten(F.filter(hits, lambda p: p.isNotNull()))
 
-    token_width = {p: count(F.lit(p)) for p in patterns}
-    spans = let(placed, lambda found: F.concat(*[spans_for(found, p) for p in patterns]))
-    last = F.size(mask) - 1
+    ends = F.array(F.lit(0), F.size(mask) - 1)
+    positions = let(
+        placed, lambda found: F.array_distinct(F.concat(ends, *[positions_for(found, p) for p in patterns]))
+    )
     marked = let(
-        spans,
+        positions,
         lambda held: F.transform(
-            F.col(mask),
-            lambda old, i: F.when(
-                (i == 0) | (i == last) | F.exists(held, lambda s: (i >= s["lo"]) & (i < s["hi"])), 1
-            ).otherwise(old),
+            F.col(mask), lambda old, i: F.when(F.array_contains(held, i), 1).otherwise(old)
         ),
     )
     return df.withColumn(mask, marked)
