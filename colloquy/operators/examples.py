@@ -293,15 +293,20 @@ def pattern_span_mask(
         raise ValueError(f"unknown anchor {anchor!r}")
     token_width = {p: count(F.lit(p)) for p in patterns}
     reach = F.size(mask) + max(len(p) for p in patterns) + pad
+    def size_of(sentence: Column) -> Column:
+        return count(sentence) if anchor == "tail" else F.lit(0)
+
     # sentences that can reach the mask, with the number of tokens in front of them
     placed = F.aggregate(
         _sentences(F.col(text), end),
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:string,start:int>>").alias("out")),
+        F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:string,start:int,size:int>>").alias("out")),
         lambda acc, s: F.when(
             acc["pos"] < reach,
             F.struct(
                 (acc["pos"] + count(F.concat(s, F.lit(end)))).alias("pos"),
-                F.concat(acc["out"], F.array(F.struct(s.alias("s"), acc["pos"].alias("start")))).alias("out"),
+                F.concat(
+                    acc["out"], F.array(F.struct(s.alias("s"), acc["pos"].alias("start"), size_of(s).alias("size")))
+                ).alias("out"),
             ),
         ).otherwise(acc),
         lambda acc: acc["out"],
@@ -311,12 +316,12 @@ def pattern_span_mask(
         width = token_width[pattern]
 
         def span(z: Column) -> Column:
-            if anchor == "tail":
-                before = count(z["s"]) - width
-            else:
-                before = count(F.substring_index(z["s"], pattern, 1))
-            first = F.greatest(z["start"] + before - pad, F.lit(0))
-            last = F.least(z["start"] + before + width + pad, F.size(mask)) - 1
+            inside = z["size"] - width if anchor == "tail" else count(F.substring_index(z["s"], pattern, 1))
+            return let(z["start"] + inside, around)
+
+        def around(hit: Column) -> Column:
+            first = F.greatest(hit - pad, F.lit(0))
+            last = F.least(hit + width + pad, F.size(mask)) - 1
             return F.when(first <= last, F.sequence(first, last))
 
         hits = F.transform(F.filter(found, lambda z: z["s"].contains(pattern)), span)
