@@ -327,17 +327,24 @@ def pattern_span_mask(
         hits = F.transform(F.filter(found, lambda z: z["s"].contains(pattern)), span)
         return F.flatten(F.filter(hits, lambda p: p.isNotNull()))
 
-    ends = F.array(F.lit(0), F.size(mask) - 1)
-    positions = let(
-        placed, lambda found: F.array_distinct(F.concat(ends, *[positions_for(found, p) for p in patterns]))
-    )
-    marked = let(
-        positions,
-        lambda held: F.transform(
-            F.col(mask), lambda old, i: F.when(F.array_contains(held, i), 1).otherwise(old)
+    last = F.size(mask) - 1
+    covered = let(
+        placed,
+        lambda found: F.array_distinct(
+            F.concat(F.array(F.lit(0), last), *[positions_for(found, p) for p in patterns])
         ),
     )
-    return df.withColumn(mask, marked)
+
+    def flags(held: Column) -> Column:
+        def flagged(positions: Column, flag: int) -> Column:
+            return F.transform(positions, lambda i: F.struct(i.alias("i"), F.lit(flag).alias("flag")))
+
+        # one entry per position, brought into order by a sort instead of a search per position
+        open_positions = F.array_except(F.sequence(F.lit(0), last), held)
+        return F.sort_array(F.concat(flagged(held, 1), flagged(open_positions, 0)))
+
+    merged = F.zip_with(mask, let(covered, flags), lambda old, f: F.when(f["flag"] == 1, 1).otherwise(old))
+    return df.withColumn(mask, F.when(F.size(mask) > 0, merged).otherwise(F.col(mask)))
 
 
 def shuffle_key(seed: int, *keys: str) -> Column:

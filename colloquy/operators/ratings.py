@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.plan import let
 from colloquy.functions.scores import coerce_score
 from colloquy.functions.text import is_blank, py_strip, stripped_lines
 from colloquy.schemas import METRICS
@@ -101,7 +102,8 @@ def parse_four_metric(answers: DataFrame, *keys: str, text: str = "answer") -> D
     also across a pair header. Fields that the answer leaves out are empty strings.
     """
     def last_category(piece: Column) -> Column:
-        return _category(_last(F.filter(stripped_lines(piece), lambda x: _category(x).isNotNull())))
+        named = F.filter(stripped_lines(piece), lambda x: _category(x).isNotNull())
+        return let(_last(named), _category)
 
     # every piece of the answer with the category in force where it starts
     state = "struct<category:string,out:array<struct<piece:string,before:string>>>"
@@ -121,7 +123,7 @@ def parse_four_metric(answers: DataFrame, *keys: str, text: str = "answer") -> D
         return F.transform(
             F.split(entry["piece"], _CATEGORY_START),
             lambda s: F.struct(
-                F.coalesce(_category(py_strip(s)), entry["before"]).alias("category"), stripped_lines(s).alias("lines")
+                F.coalesce(let(py_strip(s), _category), entry["before"]).alias("category"), stripped_lines(s).alias("lines")
             ),
         )
 
