@@ -15,6 +15,11 @@ def turns_from_name(name: Column) -> Column:
     return F.split_part(last, F.lit("."), F.lit(1)).try_cast("int")
 
 
+def keyword_from_name(name: Column) -> Column:
+    """Keyword of ``dialogue_<keyword>_<stamp>_<turns>.txt``, null for other names."""
+    return F.nullif(F.regexp_extract(name, r"^dialogue_(.*)_[0-9]{8}_[0-9]{6}_[^_]*\.txt$", 1), F.lit(""))
+
+
 def artifact_ids(path: Column, default_checkpoint: str = BASE) -> Column:
     """``struct(model_version, checkpoint)`` of a model path.
 

@@ -241,9 +241,10 @@ def best_checkpoint(scored: DataFrame) -> DataFrame:
 
 
 def best_checkpoint_rows(ratings: DataFrame, best: DataFrame) -> DataFrame:
-    """All base ratings, and those of tuned models at their best checkpoint."""
-    tuned = ratings.join(best.select(MODEL, CHECKPOINT), [MODEL, CHECKPOINT], "left_semi")
-    return ratings.filter(F.col(MODEL) == BASE).unionByName(tuned)
+    """All base ratings, and those of tuned models at their best checkpoint; ratings are read once."""
+    chosen = best.select(MODEL, CHECKPOINT, F.lit(True).alias("_chosen"))
+    marked = ratings.join(chosen, [MODEL, CHECKPOINT], "left")
+    return marked.filter((F.col(MODEL) == BASE) | F.col("_chosen")).select(*ratings.columns)
 
 
 def score_quartiles(ratings: DataFrame, *keys: str) -> DataFrame:

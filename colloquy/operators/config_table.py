@@ -8,14 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.names import checkpoint_number
+from colloquy.functions.names import checkpoint_number, keyword_from_name, turns_from_name
 from colloquy.functions.text import is_blank
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]):
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def flag_duplicates(rows: DataFrame, *keys: str, out: str = "is_duplicate") -> DataFrame:
     """Mark every member of a duplicate key group; null keys equal each other.
 
@@ -72,6 +68,8 @@ def latest_checkpoint(listing: DataFrame, *keys: str, name: str = "name") -> Dat
     )
 
 
-def latest_file(files: DataFrame, *keys: str, name: str = "file_name", modified: str = "modified") -> DataFrame:
-    """Newest file per key; the greater name wins a tie."""
-    return files.groupBy(*keys).agg(F.max(F.struct(modified, name)).getField(name).alias(name))
+def latest_file(files: DataFrame, name: str = "file_name", modified: str = "modified") -> DataFrame:
+    """Newest transcript per keyword and turn count, both read from its name; the greater name wins a tie."""
+    keyed = files.withColumn("keyword", keyword_from_name(F.col(name))).withColumn("turns", turns_from_name(F.col(name)))
+    newest = F.max(F.struct(modified, name)).getField(name)
+    return keyed.filter("keyword is not null and turns is not null").groupBy("keyword", "turns").agg(newest.alias(name))

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.operators import spans
+from colloquy.schemas import RUN_EVENT
 
 SAVE_STEPS = 50
 
 
 def run_log_rows(raw: DataFrame, line: str = "line") -> DataFrame:
     """Typed log rows of raw JSON log events; keys an event does not carry are null."""
-    schema = "run_id bigint, ts timestamp, step bigint, loss double, learning_rate double, epoch double"
-    return raw.select(F.from_json(line, schema).alias("e")).select("e.*")
+    return raw.select(F.from_json(line, RUN_EVENT).alias("e")).select("e.*")
 
 
 def run_summary(log: DataFrame, *keys: str, step: str = "step") -> DataFrame:

@@ -110,15 +110,15 @@ def latest_checkpoint(spark, sf_dir):
     return C.latest_checkpoint(listing, "user_id")
 
 
-@query("SELECT event_type, user_id, arg_max('dialogue_' || event_type || '_' || event_id || '.txt', ts) AS file_name FROM events GROUP BY 1, 2")
+@query(
+    """SELECT event_type AS keyword, user_id AS turns,
+  arg_max('dialogue_' || event_type || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '_' || user_id || '.txt', ts) AS file_name
+FROM events GROUP BY 1, 2"""
+)
 def latest_file(spark, sf_dir):
-    files = table(spark, sf_dir, "events").select(
-        "event_type",
-        "user_id",
-        F.concat(F.lit("dialogue_"), "event_type", F.lit("_"), F.col("event_id").cast("string"), F.lit(".txt")).alias("file_name"),
-        F.col("ts").alias("modified"),
-    )
-    return C.latest_file(files, "event_type", "user_id")
+    name = N.transcript_file_name(F.col("event_type"), F.col("ts"), F.col("user_id"))
+    files = table(spark, sf_dir, "events").select(name.alias("file_name"), F.col("ts").alias("modified"))
+    return C.latest_file(files)
 
 
 @query(f"WITH {SPOKEN} SELECT dialogue_id, turn, speaker, {CLEAN_TEXT} AS text FROM spoken")

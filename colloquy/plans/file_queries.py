@@ -11,7 +11,6 @@ from colloquy.operators import transcripts as X
 from colloquy.plans.example_queries import _CHAT, _MESSAGES, _long, chat_examples
 from colloquy.plans.inputs import (
     CONFIG,
-    PAIRS,
     RATINGS,
     RUN_LOG,
     SCORES,
@@ -26,7 +25,6 @@ from colloquy.plans.inputs import (
 )
 from colloquy.plans.registry import query
 from colloquy.plans.transcript_queries import CLEAN_TEXT, documents_of, header_settings
-from colloquy.schemas import METRICS, SCORED_DIALOGUE
 from colloquy.session import shared_path
 from colloquy.sources import readers as S
 from colloquy.sources import writers as W
@@ -85,20 +83,18 @@ def ratings_csv(spark, sf_dir):
     return A.melt_ratings(read, ["dialogue_id", "part", "model_version", "checkpoint"])
 
 
-@query("SELECT 'nations' AS kind, n_nationkey AS id, n_name AS label, n_name || ' text' AS content, n_regionkey AS region FROM nation")
+@query("SELECT 'questions' AS kind, p_partkey AS id, p_name AS title, p_name || ' text' AS content FROM part")
 def catalog_json(spark, sf_dir):
-    """One catalog object per region, read back item by item."""
+    """Catalog objects of up to a thousand items, one per file, read back item by item."""
     path = shared_path(spark, "catalog")
     item = F.struct(
-        F.col("n_nationkey").alias("id"),
-        F.col("n_name").alias("label"),
-        F.concat("n_name", F.lit(" text")).alias("content"),
+        F.col("p_partkey").alias("id"),
+        F.col("p_name").alias("title"),
+        F.concat("p_name", F.lit(" text")).alias("content"),
     )
-    grouped = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(item).alias("nations"))
-    grouped.select("nations").write.option("maxRecordsPerFile", 1).json(path)
-    catalog = S.read_catalog(spark, path, "nations")
-    regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region"))
-    return catalog.join(regions, "id").select("kind", "id", "label", "content", "region")
+    catalogs = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 1000")).agg(F.collect_list(item).alias("questions"))
+    catalogs.select("questions").write.option("maxRecordsPerFile", 1).json(path)
+    return S.read_catalog(spark, path, "questions").select("kind", "id", "title", "content")
 
 
 @query(f"WITH {SPOKEN}, {_CHAT} {_MESSAGES}")
@@ -108,31 +104,32 @@ def chat_corpus_files(spark, sf_dir):
     return _long(S.read_chat_corpus(spark, path, json_lines=True))
 
 
-@query(
-    f"""WITH {RATINGS} SELECT p.dialogue_id, p.pair_num AS pair_id, p.user_text AS prompt, p.assistant_text AS response,
-  CASE WHEN dialogue_id % 4 = 0 THEN '' ELSE tone::VARCHAR END AS tone, CASE WHEN dialogue_id % 4 = 0 THEN '' ELSE logic::VARCHAR END AS logic
-FROM pairs p JOIN rating_pairs USING (dialogue_id, pair_num)"""
-)
-def scored_pairs_json(spark, sf_dir):
-    """Pairs with nested ratings as JSON lines; every fourth dialogue is unrated."""
-    path = shared_path(spark, "scored")
+def _scored_pairs(spark, sf_dir):
+    """Pairs with nested ratings; every fourth dialogue is unrated."""
     pairs = pair_values(dialogue_turns(spark, sf_dir), "text").select(
         "dialogue_id",
         F.col("pair_num").alias("pair_id"),
         F.col("user_text").alias("prompt"),
         F.col("assistant_text").alias("response"),
     )
-    parsed = ratings(spark, sf_dir).filter("dialogue_id % 4 <> 0").select(
-        "dialogue_id",
-        "pair_num",
-        "metric_type",
-        F.col("score").cast("bigint").cast("string").alias("quantitative"),
-        F.lit("").alias("qualitative"),
+    score = F.when(F.col("dialogue_id") % 4 != 0, F.col("score").cast("bigint").cast("string")).otherwise("")
+    parsed = ratings(spark, sf_dir).select(
+        "dialogue_id", "pair_num", "metric_type", score.alias("quantitative"), F.lit("").alias("qualitative")
     )
-    scored = W.scored_dialogues(pairs, parsed)
+    return W.scored_dialogues(pairs, parsed)
+
+
+@query(
+    f"""WITH {RATINGS} SELECT p.dialogue_id, p.pair_num AS pair_id, p.user_text AS prompt, p.assistant_text AS response,
+  CASE WHEN dialogue_id % 4 = 0 THEN '' ELSE tone::VARCHAR END AS tone, CASE WHEN dialogue_id % 4 = 0 THEN '' ELSE logic::VARCHAR END AS logic
+FROM pairs p JOIN rating_pairs USING (dialogue_id, pair_num)"""
+)
+def scored_pairs_json(spark, sf_dir):
+    """One nested row per pair as JSON lines."""
+    path = shared_path(spark, "scored")
+    scored = _scored_pairs(spark, sf_dir)
     W.write_scored_dialogues(scored, path)
-    read = spark.read.schema(scored.schema).json(path)
-    return read.select(
+    return spark.read.schema(scored.schema).json(path).select(
         "dialogue_id",
         "pair_id",
         "prompt",
@@ -143,36 +140,36 @@ def scored_pairs_json(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PAIRS} SELECT dialogue_id, pair_num AS pair_id, user_text AS prompt, assistant_text AS response,
-  min(pair_num) OVER (PARTITION BY dialogue_id) = 1 AS rated FROM pairs"""
+    f"""WITH {RATINGS} SELECT dialogue_id, model_version, p.pair_num AS pair_id, user_text AS prompt, assistant_text AS response,
+  CASE WHEN dialogue_id % 4 = 0 THEN '' ELSE tone::VARCHAR END AS tone, dialogue_id % 4 <> 0 AS rated
+FROM pairs p JOIN rating_pairs USING (dialogue_id, pair_num)"""
 )
 def scored_dialogue_documents(spark, sf_dir):
-    """Nested documents as the judge stage stores them, each covering one pair, and the rated check on them."""
+    """Nested dialogue documents, one file each, and the rated check on them."""
     path = shared_path(spark, "scored-documents")
-    verdict = F.struct(F.lit("3").alias("quantitative"), F.lit("ok").alias("qualitative"))
-    pair = F.struct(
-        F.col("pair_num").alias("pair_id"),
-        F.struct(F.col("user_text").alias("content")).alias("claude"),
-        F.struct(F.col("assistant_text").alias("content")).alias("gemma"),
-        F.struct(*[verdict.alias(m) for m in METRICS]).alias("evaluation"),
-    )
-    docs = pair_values(dialogue_turns(spark, sf_dir), "text").select(
-        F.struct(F.col("dialogue_id").alias("question_id"), F.lit("base").alias("model_version")).alias("metadata"),
-        F.array(pair).alias("pairs"),
+    metadata = run_config(spark, sf_dir).select(
+        "dialogue_id",
+        F.struct(
+            F.col("dialogue_id").alias("question_id"),
+            F.element_at(
+                F.array(F.lit("base"), F.lit("tuned_a"), F.lit("tuned_b")), (F.col("dialogue_id") % 3 + 1).cast("int")
+            ).alias("model_version"),
+        ).alias("metadata"),
     )
-    docs.write.json(path)
-    assert set(SCORED_DIALOGUE.fieldNames()) == set(docs.columns)
-    # JSON lines hold one document per line; a folder of single documents is read with read_scored_dialogues
-    read = spark.read.schema(SCORED_DIALOGUE).json(path)
+    W.write_scored_dialogues(W.nest_dialogues(_scored_pairs(spark, sf_dir), metadata), path, one_per_file=True)
+    read = S.read_scored_dialogues(spark, path)
     return read.select(
         F.col("metadata.question_id").alias("dialogue_id"),
+        F.col("metadata.model_version").alias("model_version"),
         R.is_fully_rated(F.col("pairs")).alias("rated"),
         F.explode("pairs").alias("p"),
     ).select(
         "dialogue_id",
+        "model_version",
         F.col("p.pair_id").alias("pair_id"),
         F.col("p.claude.content").alias("prompt"),
         F.col("p.gemma.content").alias("response"),
+        F.col("p.evaluation.tone.quantitative").alias("tone"),
         "rated",
     )
 

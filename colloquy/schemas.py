@@ -23,8 +23,6 @@ RUN_CONFIG_TYPES = {
 }
 METRICS = ("tone", "approach", "format", "logic")
 
-TURN = T.StructType([T.StructField("speaker", T.StringType()), T.StructField("text", T.StringType())])
-
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 
 CHAT_EXAMPLE = T.StructType(
@@ -44,6 +42,7 @@ CATALOG_ITEM = T.StructType(
     ]
 )
 
+# Fixed values: "claude" and "gemma" name the two sides of a pair in stored dialogues.
 _content = T.StructType([T.StructField("content", T.StringType())])
 _verdict = T.StructType(
     [T.StructField("quantitative", T.StringType()), T.StructField("qualitative", T.StringType())]

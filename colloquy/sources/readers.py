@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from colloquy.functions.scores import null_token
 from colloquy.functions.text import fold_newlines
-from colloquy.schemas import CATALOG_ITEM, CHAT_EXAMPLE, RUN_CONFIG_TYPES, SCORED_DIALOGUE
+from colloquy.schemas import CATALOG_ITEM, CHAT_EXAMPLE, DEVICE_LOG, RUN_CONFIG_TYPES, SCORED_DIALOGUE
 
 TRANSCRIPT_GLOB = "*.txt"
 
@@ -84,6 +84,11 @@ def read_chat_corpus(spark: SparkSession, path: str, json_lines: bool = False) -
     return spark.read.schema(CHAT_EXAMPLE).json(path, multiLine=not json_lines)
 
 
+def read_device_log(spark: SparkSession, path: str) -> DataFrame:
+    """Training history JSON with nested device readings."""
+    return spark.read.schema(DEVICE_LOG).json(path, multiLine=True)
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``(file_name, path, modified)`` without reading contents."""
     return (

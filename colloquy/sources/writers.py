@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from colloquy.operators.ratings import RATING_KEYS, latest_ratings
 from colloquy.schemas import METRICS
 
-LOW_BUCKET = "low"
+DOCUMENT_PAIRS = 512
 
 
 def write_chat_corpus(examples: DataFrame, path: str) -> None:
@@ -21,8 +21,7 @@ def write_chat_corpus(examples: DataFrame, path: str) -> None:
 def scored_dialogues(pairs: DataFrame, ratings: DataFrame, key: str = "dialogue_id") -> DataFrame:
     """Nested rating rows ``(key, pair_id, prompt, response, evaluation)``, one per pair.
 
-    A pair keeps its own row, so the size of a dialogue sets no limit; ``nest_dialogues`` makes
-    one document per dialogue where dialogues are known to be small.
+    ``nest_dialogues`` makes the stored documents of them.
     """
     blank = F.struct(F.lit("").alias("quantitative"), F.lit("").alias("qualitative"))
 
@@ -38,8 +37,30 @@ def scored_dialogues(pairs: DataFrame, ratings: DataFrame, key: str = "dialogue_
     )
 
 
-def write_scored_dialogues(scored: DataFrame, path: str) -> None:
-    scored.write.mode("overwrite").json(path)
+def nest_dialogues(scored: DataFrame, metadata: DataFrame, key: str = "dialogue_id") -> DataFrame:
+    """Documents ``(metadata, pairs)`` as ``read_scored_dialogues`` reads them.
+
+    ``metadata`` holds one struct per dialogue. A dialogue beyond ``DOCUMENT_PAIRS`` pairs continues
+    in further documents with the same metadata.
+    """
+    pair = F.struct(
+        F.col("pair_id").cast("bigint").alias("pair_id"),
+        F.struct(F.col("prompt").alias("content")).alias("claude"),
+        F.struct(F.col("response").alias("content")).alias("gemma"),
+        "evaluation",
+    )
+    documents = (
+        scored.withColumn("_part", F.floor((F.col("pair_id") - 1) / DOCUMENT_PAIRS))
+        .groupBy(key, "_part")
+        .agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+    )
+    return documents.join(metadata.select(key, "metadata"), key).select("metadata", "pairs")
+
+
+def write_scored_dialogues(documents: DataFrame, path: str, one_per_file: bool = False) -> None:
+    """Nested documents as JSON lines, or as one JSON file each."""
+    writer = documents.write.mode("overwrite")
+    (writer.option("maxRecordsPerFile", 1) if one_per_file else writer).json(path)
 
 
 def route_low_rated(transcripts: DataFrame, verdicts: DataFrame, path: str, key: str = "dialogue") -> None:

@@ -1,11 +1,13 @@
 """Sources, sinks and streaming jobs on real files."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import runlog as L
+from colloquy.operators.config_table import latest_file
 from colloquy.operators import transcripts as X
 from colloquy.plans.jobs import prepare_examples
 from colloquy.session import shared_path
@@ -76,10 +78,14 @@ def test_chat_corpus_array_and_lines(spark, tmp_path):
 
 
 def test_listing_and_latest(spark, tmp_path):
-    for name in ("dialogue_k_1_2.txt", "dialogue_k_2_2.txt"):
+    names = ["dialogue_a_b_20240101_000000_2.txt", "dialogue_a_b_20240102_000000_2.txt", "dialogue_a_b_20240101_000000_3.txt"]
+    for i, name in enumerate([*names, "dialogue_a_x.txt", "other.txt"]):
         write(tmp_path / "l" / name, "x")
-    files = S.list_files(spark, str(tmp_path / "l"), "dialogue_k_*_2.txt")
-    assert files.count() == 2 and set(files.columns) == {"file_name", "path", "modified"}
+        os.utime(tmp_path / "l" / name, (1000 - 10 * i, 1000 - 10 * i))
+    files = S.list_files(spark, str(tmp_path / "l"), "dialogue_*.txt")
+    assert files.count() == 4 and set(files.columns) == {"file_name", "path", "modified"}
+    latest = {(r["keyword"], r["turns"]): r["file_name"] for r in latest_file(files).collect()}
+    assert latest == {("a_b", 2): names[0], ("a_b", 3): names[2]}
 
 
 def test_routing_leaves_the_source(spark, tmp_path):
@@ -139,13 +145,16 @@ def test_run_summary_and_moving_average(spark):
     assert means == {1: 3.0, 3: 2.0, 4: 1.5}
 
 
-def test_log_events_and_devices(spark):
+def test_log_events_and_devices(spark, tmp_path):
     raw = spark.createDataFrame([('{"step": 50, "loss": 1.5}',), ("{}",)], "line string")
     assert [(r["step"], r["loss"], r["epoch"]) for r in L.run_log_rows(raw).collect()] == [(50, 1.5, None), (None, None, None)]
     device = "array<struct<timestamp: string, metrics: array<struct<device: int, vram_used: double, utilization: double>>>>"
     nested = spark.createDataFrame([(1, [("t", [(0, 1.0, 50.0), (1, 2.0, 40.0)])])], f"run int, gpu_metrics {device}")
     peaks = L.device_peaks(L.device_metrics(nested, "run"), "run").first()
     assert (peaks["peak_vram"], peaks["peak_utilization"]) == (2.0, 50.0)
+    reading = {"device": 1, "vram_used": 0.5, "utilization": 3.0}
+    write(tmp_path / "h.json", json.dumps({"gpu_metrics": [{"timestamp": "t", "metrics": [reading]}], "other": 1}, indent=2))
+    assert L.device_metrics(S.read_device_log(spark, str(tmp_path / "h.json"))).first()["vram_used"] == 0.5
 
 
 def test_run_log_stream_is_restartable(spark, tmp_path):
