@@ -127,13 +127,12 @@ def score_distribution(
     def percent(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))
 
-    # both sides of this join are one aggregated table: ten rows against one
-    return totals.join(F.broadcast(expected_pairs(config, dialogue)), F.lit(True)).select(
+    return totals.withColumn("_expected", expected_pairs(config, dialogue).scalar()).select(
         "metric_type",
         "score",
         "n",
         percent(F.col("n"), F.col("n_valid")).alias("pct_valid"),
-        percent(F.col("n"), F.col("expected")).alias("pct_expected"),
+        percent(F.col("n"), F.col("_expected")).alias("pct_expected"),
     )
 
 
@@ -161,7 +160,7 @@ def expected_and_missing(
         .select(F.inline(F.array(*metrics)))
     )
     missing = F.col("expected") - F.col("n_valid")
-    return totals.join(F.broadcast(expected_pairs(config, dialogue)), F.lit(True)).select(
+    return totals.withColumn("expected", expected_pairs(config, dialogue).scalar()).select(
         "metric_type",
         "expected",
         "n_valid",

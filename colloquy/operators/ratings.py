@@ -186,9 +186,12 @@ def upsert_ratings(
 
 
 def latest_ratings(loads: DataFrame, keys: Sequence[str], value: str, load: str) -> DataFrame:
-    """Per key the value of the latest load that has one."""
-    order = F.when(F.col(value).isNotNull(), F.struct(load, value))
-    return loads.groupBy(*keys).agg(F.max(order).getField(value).alias(value))
+    """Per key the value of the latest load that has one; a load holds one value per key.
+
+    ``max_by`` over plain columns keeps this a hash aggregation.
+    """
+    order = F.when(F.col(value).isNotNull(), F.col(load))
+    return loads.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
 def unknown_files(new: DataFrame, config: DataFrame, key: str = "dialogue_id") -> DataFrame:

@@ -38,8 +38,11 @@ def run_summary(log: DataFrame, *keys: str, step: str = "step") -> DataFrame:
 def moving_average_loss(
     log: DataFrame, size: int, key: str, order: str, *, value: str = "loss", out: str = "moving_avg_loss"
 ) -> DataFrame:
-    """Mean loss over the last ``size`` log events that carry one. ``order`` is unique within a run."""
-    numbered = spans.with_position(null_safe_series(log, value), [key], order, "_position")
+    """Mean loss over the last ``size`` log events that carry one. ``order`` is unique within a run.
+
+    Steps may lie far apart, so only hot runs are split.
+    """
+    numbered = spans.with_position(null_safe_series(log, value), [key], order, "_position", sparse=True)
     return spans.trailing(numbered, [key], "_position", size, lambda w: {out: F.avg(value).over(w)}).drop("_position")
 
 

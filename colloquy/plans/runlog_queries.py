@@ -17,7 +17,7 @@ def _log(spark, sf_dir):
 
 def _stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = J.state_session(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return run_log(events)
 
 

@@ -16,6 +16,18 @@ from colloquy.operators.transcripts import explode_turns, with_turns
 from colloquy.sources.writers import append_rating_load
 
 
+def state_session(spark: SparkSession) -> SparkSession:
+    """Session for stateful queries: no more state partitions than the cluster has cores.
+
+    Every state partition is committed in every batch, and their number is fixed by the first batch.
+    """
+    session = spark.newSession()
+    wanted = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    session.conf.set("spark.sql.shuffle.partitions", max(wanted, 1))
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return session
+
+
 def stream_turns(documents: DataFrame, out: str, checkpoint: str, *keys: str) -> StreamingQuery:
     """Parse the transcripts that are new since the last run; stateless."""
     turns = explode_turns(with_turns(documents), *keys)
