@@ -8,6 +8,7 @@ from colloquy.functions.text import TOKEN
 from colloquy.operators import examples as E
 from colloquy.operators import prompts as P
 from colloquy.operators import transcripts as X
+from colloquy.plans import jobs
 from colloquy.plans.example_queries import chat_examples
 from colloquy.plans.inputs import CONFIG, SPOKEN, dialogue_turns, numbered_turns, run_config, table
 from colloquy.plans.registry import query
@@ -271,3 +272,74 @@ def open_generation_prompts(spark, sf_dir):
     text = E.render_chat(F.col("messages"))
     answers = chat_examples(spark, sf_dir).select(P.extract_completion(text).alias("answer"))
     return answers.groupBy("answer").agg(F.count("*").alias("n"))
+
+
+def _kinds(spark, sf_dir):
+    """The eight catalogs of a run config, from the nation, region and part tables."""
+    nation, region, part = (table(spark, sf_dir, t) for t in ("nation", "region", "part"))
+
+    def items(source, key, name, before="", after="", label="label"):
+        content = F.concat(F.lit(before), F.col(name), F.lit(after))
+        return source.select(
+            F.col(key).cast("int").alias("id"), F.col(name).alias(label), content.alias("content"), F.col(key).alias("position")
+        )
+
+    return {
+        "question": items(part, "p_partkey", "p_name", "about ", label="title"),
+        "user_prompt": items(region, "r_regionkey", "r_name", after=": {{INITIAL_QUESTION}} {{PERSONA}} {{OTHERS}} {{TRANSFORM}}", label="title"),
+        "persona": items(nation, "n_nationkey", "n_name", "from "),
+        "others": items(region, "r_regionkey", "r_name", "in "),
+        "transform": items(nation, "n_nationkey", "n_name", "as "),
+        "assistant_prompt": items(nation, "n_nationkey", "n_name", after=": {{INITIAL_QUESTION}} {{RESPONSE}} {{UPDATE}}", label="title"),
+        "response": items(nation, "n_nationkey", "n_name", "reply "),
+        "update": items(region, "r_regionkey", "r_name", "update "),
+    }
+
+
+_IDS = {
+    "INITIAL_QUESTION_ID": 1100, "USER_PROMPT_ID": 6, "PERSONA_ID": 26, "OTHERS_ID": 6,
+    "TRANSFORM_ID": 25, "ASSISTANT_PROMPT_ID": 25, "RESPONSE_ID": 24, "UPDATE_ID": 5,
+}
+
+
+@query(
+    f"""WITH {CONFIG} SELECT dialogue_id,
+  CASE WHEN p_name IS NULL OR u.r_name IS NULL OR pe.n_name IS NULL OR o.r_name IS NULL THEN ''
+       ELSE u.r_name || ': about ' || p_name || ' from ' || pe.n_name || ' in ' || o.r_name || ' as ' || tr.n_name END AS user_system_prompt,
+  CASE WHEN p_name IS NULL THEN '' ELSE a.n_name || ': about ' || p_name || ' reply ' || r.n_name || ' update ' || up.r_name END AS assistant_system_prompt
+FROM config LEFT JOIN part ON p_partkey = dialogue_id % 1100 LEFT JOIN region u ON u.r_regionkey = dialogue_id % 6
+  LEFT JOIN nation pe ON pe.n_nationkey = dialogue_id % 26 LEFT JOIN region o ON o.r_regionkey = dialogue_id % 6
+  LEFT JOIN nation tr ON tr.n_nationkey = dialogue_id % 25 LEFT JOIN nation a ON a.n_nationkey = dialogue_id % 25
+  LEFT JOIN nation r ON r.n_nationkey = dialogue_id % 24 LEFT JOIN region up ON up.r_regionkey = dialogue_id % 5
+WHERE dialogue = ''"""
+)
+def dialogue_requests(spark, sf_dir):
+    """The request flow end to end: rows without a dialogue, eight lookups, two prompts."""
+    config = run_config(spark, sf_dir).select(
+        "dialogue_id", "dialogue", *[(F.col("dialogue_id") % n).cast("int").alias(c) for c, n in _IDS.items()]
+    )
+    out = jobs.dialogue_requests(config, _kinds(spark, sf_dir))
+    return out.select("dialogue_id", "user_system_prompt", "assistant_system_prompt")
+
+
+@query(
+    f"""WITH {CONFIG}, b AS (SELECT dialogue_id, count(*) AS n,
+  string_agg(chr(10) || '【ペア' || pair_num || '】' || chr(10) || 'User: ' || string_split(user_text, chr(10))[1] || chr(10)
+    || 'Assistant: ' || replace(assistant_text, chr(10), ' ') || chr(10), '' ORDER BY pair_num) AS block FROM pairs GROUP BY 1)
+SELECT dialogue_id, coalesce(n, 0) || ' pairs' || coalesce(block, '') AS request, NULL::VARCHAR AS answer
+FROM rounds LEFT JOIN b USING (dialogue_id)
+WHERE dialogue_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = dialogue_id)
+UNION ALL SELECT dialogue_id, NULL, 'Verdict' FROM rounds WHERE dialogue_id % 5 = 0"""
+)
+def open_judge_requests(spark, sf_dir):
+    """The rating flow up to the judge: rated and evaluated transcripts are left out, their answers picked up."""
+    evaluated = F.when(F.col("dialogue_id") % 5 == 0, X.attach_evaluation(F.col("content"), F.lit("Verdict")))
+    documents = documents_of(spark, sf_dir).withColumn("content", F.coalesce(evaluated, "content"))
+    store = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("dialogue_id"), F.col("quality").cast("string").alias("score")
+    )
+    requests = jobs.judge_requests(documents, store, "{{PAIR_COUNT}} pairs{{PAIRS}}", [], "dialogue_id")
+    answers = jobs.embedded_answers(documents, "dialogue_id")
+    return requests.select("dialogue_id", "request", F.lit(None).cast("string").alias("answer")).unionByName(
+        answers.select("dialogue_id", F.lit(None).cast("string").alias("request"), "answer")
+    )

@@ -9,6 +9,7 @@ from colloquy.functions.scores import coerce_score as coerce
 from colloquy.operators import ratings as R
 from colloquy.operators import transcripts as X
 
+from colloquy.plans import jobs
 from colloquy.plans.inputs import RATINGS, SCORES, pair_lengths, rating_pairs, ratings, score_rows, table
 from colloquy.plans.registry import query
 from colloquy.plans.transcript_queries import documents_of
@@ -224,3 +225,13 @@ WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = ratings.dialogue_id
 def unknown_files(spark, sf_dir):
     config = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("dialogue_id"))
     return R.unknown_files(ratings(spark, sf_dir), config)
+
+
+@query(
+    f"""WITH {RATINGS} SELECT dialogue_id, metric_type, pair_num,
+  CASE WHEN metric_type IN ('tone', 'logic') AND NOT {GAP} THEN score ELSE 9 END AS score FROM ratings"""
+)
+def rate_answers(spark, sf_dir):
+    """Store of old scores, all 9, after a batch of judge answers."""
+    store = ratings(spark, sf_dir).select("dialogue_id", "metric_type", "pair_num", F.lit(9.0).alias("score"))
+    return jobs.rate_answers(store, two_metric_answers(spark, sf_dir))
