@@ -66,7 +66,7 @@ def windows_from_turns(turns: DataFrame, *keys: str, windows=WINDOWS) -> DataFra
         turns.filter((utterance >= min(s for s, _ in spans)) & (utterance <= max(e for _, e in spans)))
         .withColumn("w", F.explode(inside))
         .groupBy(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "text"))).alias("found"))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("found"))
         .filter(F.size("found") == F.col("end") - F.col("start") + 1)
         .select(
             *keys,

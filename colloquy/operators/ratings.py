@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from colloquy.functions.plan import let
 from colloquy.functions.scores import coerce_score
 from colloquy.functions.text import is_blank, py_strip, stripped_lines
+from colloquy.operators.transcripts import PAIR_OPEN
 from colloquy.schemas import METRICS
 
 # Labels of the judge answer formats.
-PAIR_OPEN = "【ペア"
 TONE_LABEL = "口調："
 LOGIC_LABEL = "論理性："
 SCORE_LABEL = "スコア："

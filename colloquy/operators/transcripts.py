@@ -258,7 +258,7 @@ def render_transcripts(
     ``header`` may use the columns of ``turns`` that are constant within a dialogue.
     """
     head = transcript_header() if header is None else header
-    blocks = F.array_sort(F.collect_list(F.struct("turn", F.concat("speaker", F.lit(": "), "text", F.lit("\n\n")))))
+    blocks = F.sort_array(F.collect_list(F.struct("turn", F.concat("speaker", F.lit(": "), "text", F.lit("\n\n")))))
     body = F.array_join(F.transform(blocks, lambda b: b["col2"]), "")
     return (
         turns.withColumn("segment", F.expr(f"turn div {segment_turns}"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import names as N
 from colloquy.operators import config_table as C
-from colloquy.operators import transcripts as X
 from colloquy.plans.inputs import CONFIG, RATINGS, SPOKEN, ratings, run_config, table
 from colloquy.plans.registry import query
 from colloquy.plans.rating_queries import GAP, two_metric_answers
