@@ -6,6 +6,7 @@ import pytest
 from oracle import compare, duck
 
 import __spark_entry__ as driver
+from colloquy.plans.registry import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no driver tables")
@@ -16,7 +17,7 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, con, name):
     n_rows, differences = compare(driver.queries()[name](spark, SF_DIR), con, driver.oracle_sql()[name])
     assert not differences, "\n".join(differences)
