@@ -32,6 +32,9 @@ BUCKETS = 1 << 20
 HOT = 1 << 16
 #: Bytes of text whose postings one task joins.
 PART_BYTES = 4 << 20
+SLICE = 6 << 20
+#: Sets up to this size have 64 parities; larger ones have 128.
+FOLDED = 64
 _CHUNK = 1 << 14
 _PAIRS = 1 << 21
 
@@ -41,6 +44,23 @@ POSTING = np.dtype([("key", "<u4"), ("set", "<u8"), ("low", "<u8"), ("high", "<u
 LINE = np.dtype([("set", "<u8"), ("other", "<u8"), ("id", "<i8"), ("hash", "<i8"), ("line", "<i4")])
 
 
+def packed(records: np.ndarray) -> bytes:
+    """Records column by column, which compresses better than row by row."""
+    return b"".join(records[name].tobytes() for name in records.dtype.names)
+
+
+def unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    out = np.empty(sum(map(len, blobs)) // kind.itemsize, kind)
+    at = 0
+    for raw in blobs:
+        n, offset = len(raw) // kind.itemsize, 0
+        for name in kind.names:
+            out[name][at : at + n] = np.frombuffer(raw, kind[name], n, offset)
+            offset += n * kind[name].itemsize
+        at += n
+    return out
+
+
 def _mix(x: np.ndarray, by: int) -> np.ndarray:
     """Another 64-bit hash of hashes."""
     x = x * np.uint64(by | 1)
@@ -53,7 +73,7 @@ def word_table(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, np.int64)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             _, codes, words = split(batch.column("text"))
             np.add.at(table, hashes(words) % np.uint64(BUCKETS), np.bincount(codes, minlength=len(words)))
         starts = list(range(0, BUCKETS, _CHUNK))
@@ -88,12 +108,14 @@ def line_sets(texts: pa.Array, table: np.ndarray):
     rank = np.empty(len(words), np.int64)
     rank[by_rank] = np.arange(len(words))
     of_line = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    keys = np.unique(of_line * max(1, len(words)) + rank[codes])
-    of_line, own = np.divmod(keys, max(1, len(words)))
-    own = by_rank[own]
-    real, first, sizes = np.unique(of_line, return_index=True, return_counts=True)
-    if not len(real):
+    keys = np.sort(of_line * max(1, len(words)) + rank[codes])
+    keys = keys[np.diff(keys, prepend=-1) > 0]
+    if not len(keys):
         return None
+    of_line, own = np.divmod(keys, len(words))
+    own = by_rank[own]
+    first = np.flatnonzero(np.diff(of_line, prepend=-1))
+    real, sizes = of_line[first], np.diff(first, append=len(of_line))
     h = word_hash[own]
     one = np.add.reduceat(_mix(h, 0x9E3779B97F4A7C15), first)
     two = np.add.reduceat(_mix(h, 0xC2B2AE3D27D4EB4F), first)
@@ -104,11 +126,15 @@ def line_sets(texts: pa.Array, table: np.ndarray):
     high = np.bitwise_xor.reduceat(np.where(upper, flag, np.uint64(0)), first)
     text = np.searchsorted(starts, real, side="right") - 1
     number = real - starts[text]
-    # Sets of fewer than four words are similar to equal ones only.
+    # A batch posts each of its sets once. Sets of fewer than four words are similar to equal ones only.
+    once = np.zeros(len(real), bool)
+    once[np.unique(one, return_index=True)[1]] = True
     place = np.arange(len(own)) - np.repeat(first, sizes)
-    size = np.repeat(sizes, sizes)
-    post = np.flatnonzero((place <= size - (4 * size + 4) // 5) & (size >= 4))
+    posted = np.where(once & (sizes >= 4), sizes - (4 * sizes + 4) // 5, -1)
+    post = np.flatnonzero(place <= np.repeat(posted, sizes))
     which = np.repeat(np.arange(len(real)), sizes)[post]
+    small = sizes <= FOLDED
+    low, high = np.where(small, low ^ high, low), np.where(small, np.uint64(0), high)
     posting = np.empty(len(post), POSTING)
     for name, values in (("set", one), ("low", low), ("high", high), ("size", sizes)):
         posting[name] = values[which]
@@ -137,10 +163,13 @@ def _celled(posting: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def candidates(posting: np.ndarray) -> np.ndarray:
     """Pairs of set hashes that share a posted word and pass the length, positional and parity filters."""
-    posting = np.unique(posting)
     wide = posting["key"].astype(np.int64) << 31 | posting["size"]
-    posting = posting[np.argsort(wide, kind="stable")]
-    wide = np.sort(wide)
+    order = np.lexsort((posting["set"], wide))
+    posting, wide = posting[order], wide[order]
+    new = np.ones(len(posting), bool)
+    new[1:] = (wide[1:] != wide[:-1]) | (posting["set"][1:] != posting["set"][:-1]) | (posting["low"][1:] != posting["low"][:-1])
+    posting, wide = posting[new], wide[new]
+    low, high = posting["low"].copy(), posting["high"].copy()
     key, size = posting["key"].astype(np.int64) << 31, posting["size"].astype(np.int64)
     until = np.searchsorted(wide, key | (5 * size // 4), side="right")
     partners = until - np.arange(len(posting)) - 1
@@ -160,12 +189,20 @@ def candidates(posting: np.ndarray) -> np.ndarray:
         left = np.minimum(size[a] - posting["place"][a], size[b] - posting["place"][b])
         good = left >= need
         a, b, need = a[good], b[good], need[good]
-        apart = np.bitwise_count(posting["low"][a] ^ posting["low"][b]).astype(np.int64)
-        apart += np.bitwise_count(posting["high"][a] ^ posting["high"][b])
+        # Where the smaller set has 64 parities only, so does the pair.
+        x, y = low[a] ^ low[b], high[a] ^ high[b]
+        folded = size[a] <= FOLDED
+        x, y = np.where(folded, x ^ y, x), np.where(folded, np.uint64(0), y)
+        apart = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y)
         good = (apart <= size[a] + size[b] - 2 * need) & (posting["set"][a] != posting["set"][b])
-        pair = np.stack((posting["set"][a[good]], posting["set"][b[good]]), axis=1)
-        out.append(np.unique(np.sort(pair, axis=1), axis=0))
-    return np.unique(np.concatenate(out), axis=0)
+        x, y = posting["set"][a[good]], posting["set"][b[good]]
+        out.append(_once(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1)))
+    return _once(np.concatenate(out))
+
+
+def _once(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.concatenate((np.ones(min(1, len(pairs)), bool), (pairs[1:] != pairs[:-1]).any(axis=1)))]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -185,33 +222,34 @@ def _lines_and_pairs(keyed: DataFrame, table: np.ndarray, parts: int) -> DataFra
         order = np.argsort(part, kind="stable")
         records, part = records[order], part[order]
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        raw = [r.tobytes() for r in np.split(records, cuts[1:])] if len(records) else []
+        raw = [packed(r) for r in np.split(records, cuts[1:])] if len(records) else []
         return pa.RecordBatch.from_arrays(
             [pa.array([kind] * len(raw), pa.int32()), pa.array(part[cuts], pa.int64()), pa.array(raw, pa.binary())], names=["kind", "part", "blob"]
         )
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "_text"):
+        for batch in text_slices(batches, "_text", SLICE):
             if (found := line_sets(batch.column("_text"), shared.value)) is None:
                 continue
             text, number, one, two, posting = found
             line = np.empty(len(text), LINE)
             line["set"], line["other"], line["line"] = one, two, number
             line["id"], line["hash"] = (batch.column(n).to_numpy(zero_copy_only=False)[text] for n in ("_id", "_hash"))
-            yield blobs(0, np.unique(posting), posting_part(np.unique(posting)["key"]))
+            yield blobs(0, posting, posting_part(posting["key"]))
             yield blobs(1, line, (line["set"] % np.uint64(parts)).astype(np.int64))
 
     def posting_part(key: np.ndarray) -> np.ndarray:
         return (_mix(key.astype(np.uint64), 0x85EBCA77C2B2AE63) % np.uint64(parts)).astype(np.int64)
 
     def join(table: pa.Table) -> pa.Table:
-        raw = b"".join(x.as_py() for x in table.column("blob"))
+        raw = table.column("blob").to_pylist()
         if table.column("kind")[0].as_py() == 0:
-            pair = candidates(np.frombuffer(raw, POSTING)).view(np.int64)
+            pair = candidates(unpacked(raw, POSTING)).view(np.int64)
             none = pa.nulls(len(pair), pa.int64())
             return _as_rows(0, pair[:, 0], pair[:, 1], none, none, none, pa.nulls(len(pair), pa.bool_()))
-        line = np.unique(np.frombuffer(raw, LINE))
+        line = unpacked(raw, LINE)
         line = line[np.lexsort((line["line"], line["hash"], line["id"], line["other"], line["set"]))]
+        line = line[np.concatenate(([True], line[1:] != line[:-1]))]
         first = np.ones(len(line), bool)
         first[1:] = (line["set"][1:] != line["set"][:-1]) | (line["other"][1:] != line["other"][:-1])
         places = [pa.array(line[n].astype(np.int64)) for n in ("id", "hash", "line")]
@@ -261,12 +299,14 @@ def deduped(docs: DataFrame) -> DataFrame:
     """``row`` (all columns), ``n_lines``, ``n_removed`` and ``kept_text`` of each document."""
     keyed = _keyed(docs)
     gone = repeated_lines(keyed).groupBy("_id", "_hash").agg(F.collect_list("line").alias("gone"))
-    lines = F.split("_text", "\n")
-    out = keyed.join(gone, ["_id", "_hash"], "left").select("row", "gone", F.size(lines).cast("bigint").alias("n_lines"))
+    # The texts are shuffled once, within their rows.
+    rows = keyed.select("row", "_id", "_hash").join(gone, ["_id", "_hash"], "left")
     text = F.col("row.text")
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    out = rows.select("row", "gone", F.inline(F.array(F.struct(lines.alias("lines")))))
+    out = out.withColumn("n_lines", F.size("lines").cast("bigint"))
     numbers = F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("gone"))
     kept = F.transform(numbers, lambda i: F.get(F.col("lines"), i))
-    out = out.withColumn("lines", F.split(text, "\n"))
     removed = F.coalesce(F.size("gone"), F.lit(0))
     return out.select(
         "row",

@@ -26,23 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.store import written
-from colloquy.llm.words import WORD, hashes, split, text_slices
+from colloquy.llm.words import WORD, hashes, mixed, split, text_slices
 
 WINDOW = 35
 K = 8
 FILTER = 1 << 24
+SLICE = 4 << 20
 _CHUNK = 1 << 18
 _STEP = 1 << 15
 
 _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
-    return x ^ (x >> np.uint64(32))
-
-
 class Rolling:
     """Hashes of any stretch of a word sequence: differences of prefix sums of a polynomial modulo 2^64."""
 
@@ -54,7 +49,7 @@ class Rolling:
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(powers)[:-1])))
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
-        return _mix((self.sums[start + length] - self.sums[start]) * self.inverse[start])
+        return mixed((self.sums[start + length] - self.sums[start]) * self.inverse[start])
 
 
 class Stretches:
@@ -86,7 +81,7 @@ class Stretches:
         self.text = of_text[self.first]
         self.anchor = kmers[at[first]]
         shape = (at[first] - self.first).astype(np.uint64) << np.uint64(32) | (self.last - self.first).astype(np.uint64)
-        self.context = _mix(self.rolling.of(self.first, self.last - self.first + window) ^ _mix(shape))
+        self.context = mixed(self.rolling.of(self.first, self.last - self.first + window) ^ mixed(shape))
         # Word numbers within the text.
         self.start, self.end = self.first - offsets[self.text], self.last - offsets[self.text]
 
@@ -95,7 +90,7 @@ class Stretches:
         sizes = self.last[which] - self.first[which] + 1
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         at = np.repeat(self.first[which], sizes) + inside
-        other = Rolling(_mix(self.words), _SECOND)
+        other = Rolling(mixed(self.words), _SECOND)
         return np.repeat(which, sizes), np.repeat(self.start[which], sizes) + inside, self.rolling.of(at, self.window), other.of(at, self.window)
 
 
@@ -103,7 +98,7 @@ def edges(keyed: DataFrame, window: int, k: int) -> DataFrame:
     """``anchor`` and whether it ``branches``, for the anchors that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "_text"):
+        for batch in text_slices(batches, "_text", SLICE):
             found = Stretches(batch.column("_text"), window, k)
             columns = [pa.array(x.view(np.int64)) for x in (found.anchor, found.context)]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "context"])
@@ -154,7 +149,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stretches on paths that may not branch (``branches`` false), and windows of edges that may."""
-        for batch in text_slices(batches, "_text"):
+        for batch in text_slices(batches, "_text", SLICE):
             own = Stretches(batch.column("_text"), window, k)
             kind = _passing(bits.value, own.anchor)
             one = np.flatnonzero(kind & 1)
@@ -192,8 +187,10 @@ def deduped(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
         text.alias("_text"),
     )
     spans = repeated_spans(keyed, window, k).groupBy("_id", "_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
-    out = keyed.join(spans, ["_id", "_hash"], "left").select("row", "spans", F.inline(F.array(F.struct(words.alias("words")))))
+    # The texts are shuffled once, within their rows.
+    rows = keyed.select("row", "_id", "_hash").join(spans, ["_id", "_hash"], "left")
+    words = F.regexp_extract_all(F.coalesce("row.text", F.lit("")), F.lit(WORD), F.lit(0))
+    out = rows.select("row", "spans", F.inline(F.array(F.struct(words.alias("words")))))
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"] - 1)))
     numbers = F.sequence(F.lit(0).cast("bigint"), F.size("words").cast("bigint") - 1)
     left = F.when(F.col("spans").isNotNull(), F.transform(F.array_except(numbers, covered), lambda i: F.get("words", i.cast("int"))))

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 #: The six ASCII space characters, as a character class for regular expressions.
 SPACES = r"\x20\x09-\x0D"
@@ -78,7 +77,27 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets, codes, distinct
 
 
-def hashes(distinct: pa.Array, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each distinct word's UTF-8 bytes."""
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(word, seed) for word in distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit values."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(32))
+
+
+_BASE = 0x9E3779B97F4A7C15
+_OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def hashes(distinct: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's UTF-8 bytes: a polynomial over scrambled bytes, from prefix sums over all words."""
+    if not len(distinct):
+        return np.empty(0, np.uint64)
+    _, places, data = distinct.cast(pa.string()).buffers()
+    offsets = np.frombuffer(places, np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
+    values = _OF_BYTE[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]]
+    offsets = offsets - offsets[0]
+    powers, inverse = np.full(len(values) + 1, _BASE, np.uint64), np.full(len(values) + 1, pow(_BASE, -1, 2**64), np.uint64)
+    powers[0] = inverse[0] = 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * np.cumprod(powers)[:-1])))
+    total = (sums[offsets[1:]] - sums[offsets[:-1]]) * np.cumprod(inverse)[offsets[:-1]]
+    return mixed(total ^ mixed(np.diff(offsets).astype(np.uint64)))
