@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from colloquy.plans.registry import all_queries
@@ -51,7 +52,7 @@ HEADLINES = (
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "colloquy-bench")
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "colloquy-bench", tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     registered = all_queries()
 

@@ -33,11 +33,17 @@ def fill_default_keys(ratings: DataFrame) -> DataFrame:
     return ratings.na.fill(BASE, [MODEL, CHECKPOINT])
 
 
-def melt_ratings(wide: DataFrame, ids: Sequence[str], rule: str = "numeric") -> DataFrame:
+def melt_ratings(wide: DataFrame, ids: Sequence[str], rule: str = "numeric", part_width: int | None = None) -> DataFrame:
     """Long ratings of a wide table; rows with any null (also in ``ids``) are dropped.
 
-    A metric column is one whose name contains a metric name.
+    A metric column is one whose name contains a metric name. For the table of ``ratings_in_parts`` give its width:
+    pairs then get the numbers they had, and ``part`` goes.
     """
+    if part_width is not None:
+        flat = melt_ratings(wide, [*ids, "part"], rule)
+        number = F.col("part").cast("int") * part_width + F.col("pair_num")
+        named = F.concat("metric_type", F.lit("_pair"), number.cast("string"))
+        return flat.withColumns({"pair_num": number, "metric_pair": named}).drop("part")
     ids = list(ids)
     metric_columns = [c for c in wide.columns if c not in ids and any(m in c for m in METRICS)]
     if not metric_columns:

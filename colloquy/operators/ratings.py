@@ -30,7 +30,6 @@ _PAIR_START = r"(?Umd)^(?=[\s\x1c-\x1f&&[^\n]]*【ペア)"
 _CATEGORY_START = r"(?Umd)^(?=[\s\x1c-\x1f&&[^\n]]*(?:" + "|".join(CATEGORY_LABELS.values()) + "))"
 _PAIR_NUMBER = r"^【ペア\s*([0-9０-９]+)"
 
-WIDE_PAIRS = 2
 RATING_KEYS = ("dialogue_id", "metric_type", "pair_num")
 
 
@@ -52,7 +51,8 @@ def _pair_number(block_lines: Column, ordinal: Column) -> Column:
 def parse_two_metric(answers: DataFrame, *keys: str, text: str = "answer", compact: bool = False) -> DataFrame:
     """Long ``(keys, pair_num, metric_type, quantitative)`` of two-metric answers.
 
-    A pair counts when it has both scores, and keeps the number its header states. With
+    A pair counts when it has both scores, and keeps the number its header states; of several blocks
+    with one number the last counts. With
     ``compact=True`` complete pairs are numbered one after the other, so pairs behind an incomplete
     one move up, and scores in front of the first header count as a pair.
     """
@@ -73,6 +73,14 @@ def parse_two_metric(answers: DataFrame, *keys: str, text: str = "answer", compa
         F.transform(blocks, scores),
         lambda p: p["tone"].isNotNull() & p["logic"].isNotNull() & (F.lit(compact) | p["opened"]),
     )
+    if not compact:
+
+        def last_of_number(all_: Column) -> Column:
+            numbers = F.transform(all_, lambda p: p["pair_num"])
+            last = let(numbers, lambda n: F.transform(F.array_distinct(n), lambda x: F.size(n) - F.array_position(F.reverse(n), x)))
+            return F.transform(F.sort_array(last), lambda i: F.get(all_, i.cast("int")))
+
+        pairs = let(pairs, last_of_number)
     number = (F.col("_at") + 1) if compact else F.col("_p.pair_num")
     return answers.select(*keys, F.posexplode(pairs).alias("_at", "_p")).select(
         *keys,
@@ -199,23 +207,27 @@ def unknown_files(new: DataFrame, config: DataFrame, key: str = "dialogue_id") -
     return new.select(key).distinct().join(config.select(key).distinct(), key, "left_anti")
 
 
-def pair_columns(n_pairs: int, metrics: Sequence[str] = METRICS) -> list[str]:
-    return [f"{m}_pair{n}" for n in range(1, n_pairs + 1) for m in metrics]
+def ratings_wide(
+    long: DataFrame, keys: Sequence[str], metrics: Sequence[str] = METRICS, pairs: Sequence[int] | None = None
+) -> DataFrame:
+    """Rows ``keys`` with a ``metric_pairN`` column for each of ``pairs``, by default 1 to the largest number there is."""
+    if pairs is None:
+        pairs = range(1, (long.agg(F.max("pair_num")).first()[0] or 0) + 1)
+    names = [f"{m}_pair{n}" for n in pairs for m in metrics]
+    metric_pair = F.concat("metric_type", F.lit("_pair"), F.col("pair_num").cast("string"))
+    return long.withColumn("metric_pair", metric_pair).groupBy(*keys).pivot("metric_pair", names).agg(F.max("score"))
 
 
-def ratings_wide(
-    long: DataFrame, keys: Sequence[str], metrics: Sequence[str] = METRICS, n_pairs: int = WIDE_PAIRS
+def ratings_in_parts(
+    long: DataFrame, keys: Sequence[str], metrics: Sequence[str] = METRICS, width: int = 2
 ) -> DataFrame:
-    """Rows ``(keys, part)`` with a ``metric_pairN`` column for each of ``n_pairs`` pairs.
+    """Rows ``(keys, part)`` with columns for ``width`` pairs; pair n is column ``(n - 1) % width + 1`` of its part.
 
-    A dialogue with more pairs continues in the next part, where pair numbers start again at 1, so
-    the width never grows with the data.
+    For tables whose width must not follow the longest dialogue. ``melt_ratings`` restores the numbers.
     """
     number = F.col("pair_num") - 1
-    named = long.withColumn("part", F.floor(number / n_pairs).cast("bigint")).withColumn(
-        "metric_pair", F.concat("metric_type", F.lit("_pair"), (number % n_pairs + 1).cast("string"))
-    )
-    return named.groupBy(*keys, "part").pivot("metric_pair", pair_columns(n_pairs, metrics)).agg(F.first("score"))
+    parts = long.withColumn("part", F.floor(number / width).cast("bigint")).withColumn("pair_num", number % width + 1)
+    return ratings_wide(parts, [*keys, "part"], metrics, range(1, width + 1))
 
 
 def is_fully_rated(pairs: Column, metrics: Sequence[str] = METRICS) -> Column:

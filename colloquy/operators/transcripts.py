@@ -61,8 +61,6 @@ HEADER_LINES = (
 )
 MISSING_LABEL = "Error loading data"
 
-SEGMENT_TURNS = 1024
-
 # (?d): only "\n" ends a line, so U+2028 inside an utterance does not split it.
 _TURN_START = r"(?md)^(?=User:|Assistant:)"
 _USER_START = r"(?Umd)^(?=[\s\x1c-\x1f&&[^\n]]*User:)"
@@ -202,9 +200,12 @@ def with_pairs(transcripts: DataFrame, content: str = "content") -> DataFrame:
     return transcripts.withColumn("pairs", extract_pairs(F.coalesce(log, F.lit(""))))
 
 
-def explode_turns(parsed: DataFrame, *keys: str, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
-    """Long ``(keys, turn, speaker, text)`` view; ``turn`` counts on across the segments of a dialogue."""
-    segmented = "segment" in parsed.columns
+def explode_turns(parsed: DataFrame, *keys: str, segment_turns: int | None = None) -> DataFrame:
+    """Long ``(keys, turn, speaker, text)`` view.
+
+    For documents that ``render_transcripts`` cut, give the same ``segment_turns``: ``turn`` then counts on across them.
+    """
+    segmented = segment_turns is not None
     first = F.col("segment") * segment_turns if segmented else F.lit(0)
     return exploded(parsed, "turns", *keys, *(["segment"] if segmented else [])).select(
         *keys,
@@ -249,20 +250,20 @@ def render_transcripts(
     header: Column | None = None,
     *,
     key: str = "dialogue_id",
-    segment_turns: int = SEGMENT_TURNS,
+    segment_turns: int | None = None,
 ) -> DataFrame:
     """Documents ``(key, segment, content)`` from long turns ``(key, turn, speaker, text)``.
 
-    ``turn`` is dense from 0. A dialogue beyond ``segment_turns`` turns continues in further
-    documents, each a transcript of its own, so no dialogue has to fit into one cell.
+    ``turn`` is dense from 0. A dialogue is one document, whatever its length, as a file holds it. Only where
+    ``segment_turns`` is given, it continues in further documents, each a transcript of its own.
     ``header`` may use the columns of ``turns`` that are constant within a dialogue.
     """
     head = transcript_header() if header is None else header
     blocks = F.sort_array(F.collect_list(F.struct("turn", F.concat("speaker", F.lit(": "), "text", F.lit("\n\n")))))
     body = F.array_join(F.transform(blocks, lambda b: b["col2"]), "")
     return (
-        turns.withColumn("segment", F.expr(f"turn div {segment_turns}"))
-        .withColumn("_head", F.when(F.pmod("turn", F.lit(segment_turns)) == 0, head))
+        turns.withColumn("segment", F.lit(0).cast("bigint") if segment_turns is None else F.expr(f"turn div {segment_turns}"))
+        .withColumn("_head", F.when(F.col("turn") == F.col("segment") * (segment_turns or 0), head))
         .groupBy(key, "segment")
         .agg(F.max("_head").alias("_head"), body.alias("_body"))
         .select(

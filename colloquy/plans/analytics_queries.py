@@ -44,21 +44,21 @@ def label_summary(spark, sf_dir):
 
 @query(
     f"WITH {SCORES} "
-    + """SELECT dialogue_id, (pair_num - 1) // 2 AS part, CASE WHEN dialogue_id % 3 = 1 THEN 'tuned' ELSE 'base' END AS model_version,
+    + """SELECT dialogue_id, CASE WHEN dialogue_id % 3 = 1 THEN 'tuned' ELSE 'base' END AS model_version,
        CASE WHEN dialogue_id % 3 = 1 THEN 'checkpoint-100' ELSE 'base' END AS checkpoint,
-       metric_type || '_pair' || (pair_num - 1) % 2 + 1 AS metric_pair, metric_type, (pair_num - 1) % 2 + 1 AS pair_num,
+       metric_type || '_pair' || pair_num AS metric_pair, metric_type, pair_num,
        number_score::DOUBLE AS score
 FROM scores WHERE number_score IS NOT NULL"""
 )
 def melt_ratings(spark, sf_dir):
     cells = score_rows(spark, sf_dir).withColumnRenamed("score_text", "score")
     tuned = F.col("dialogue_id") % 3 == 1
-    wide = R.ratings_wide(cells, ["dialogue_id"], ("tone", "logic"), n_pairs=2).select(
+    wide = R.ratings_in_parts(cells, ["dialogue_id"], ("tone", "logic")).select(
         "*",
         F.when(tuned, "tuned").alias("model_version"),
         F.when(tuned, "checkpoint-100").alias("checkpoint"),
     )
-    return A.melt_ratings(A.fill_default_keys(wide), ["dialogue_id", "part", "model_version", "checkpoint"])
+    return A.melt_ratings(A.fill_default_keys(wide), ["dialogue_id", "model_version", "checkpoint"], part_width=2)
 
 
 _EXPECTED = """, expected AS (SELECT coalesce(sum(named), 0)::BIGINT AS expected FROM config)

@@ -138,9 +138,11 @@ def stream_transcripts(spark, sf_dir):
 WHERE metric_type IN ('tone', 'logic') AND NOT {GAP}"""
 )
 def stream_ratings(spark, sf_dir):
-    """Judge answers arrive as files and end up in the rating store."""
-    answers, store = shared_path(spark, "answers"), shared_path(spark, "store")
-    two_metric_answers(spark, sf_dir).write.parquet(answers)
-    source = spark.readStream.schema("dialogue_id bigint, part bigint, answer string").parquet(answers)
-    J.stream_ratings(source, store, shared_path(spark, "store-checkpoint")).awaitTermination()
+    """Judge answers arrive as files and end up in one rating store, through two streams of their own."""
+    store = shared_path(spark, "store")
+    for part in (0, 1):
+        answers = shared_path(spark, f"answers-{part}")
+        two_metric_answers(spark, sf_dir).filter(F.col("dialogue_id") % 2 == part).write.parquet(answers)
+        source = spark.readStream.schema("dialogue_id bigint, answer string").parquet(answers)
+        J.stream_ratings(source, store, shared_path(spark, "store-checkpoint")).awaitTermination()
     return current_ratings(spark, store)

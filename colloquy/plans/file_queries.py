@@ -68,19 +68,19 @@ def run_config_csv(spark, sf_dir):
 
 @query(
     f"WITH {SCORES} "
-    + """SELECT dialogue_id::VARCHAR AS dialogue_id, ((pair_num - 1) // 2)::VARCHAR AS part, 'base' AS model_version, 'base' AS checkpoint,
-  metric_type || '_pair' || (pair_num - 1) % 2 + 1 AS metric_pair, metric_type, (pair_num - 1) % 2 + 1 AS pair_num, number_score::DOUBLE AS score
+    + """SELECT dialogue_id::VARCHAR AS dialogue_id, 'base' AS model_version, 'base' AS checkpoint,
+  metric_type || '_pair' || pair_num AS metric_pair, metric_type, pair_num, number_score::DOUBLE AS score
 FROM scores WHERE number_score IS NOT NULL"""
 )
 def ratings_csv(spark, sf_dir):
     """The wide table through CSV: cells are text, and NA stands for a missing key."""
     path = shared_path(spark, "wide")
     cells = score_rows(spark, sf_dir).withColumnRenamed("score_text", "score")
-    wide = R.ratings_wide(cells, ["dialogue_id"], ("tone", "logic"), n_pairs=2)
+    wide = R.ratings_in_parts(cells, ["dialogue_id"], ("tone", "logic"))
     keyed = wide.select("*", F.lit("NA").alias("model_version"), F.lit("").alias("checkpoint"))
     keyed.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     read = A.fill_default_keys(S.read_ratings_wide(spark, path))
-    return A.melt_ratings(read, ["dialogue_id", "part", "model_version", "checkpoint"])
+    return A.melt_ratings(read, ["dialogue_id", "model_version", "checkpoint"], part_width=2)
 
 
 @query("SELECT 'questions' AS kind, p_partkey AS id, p_name AS title, p_name || ' text' AS content FROM part")

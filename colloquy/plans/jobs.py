@@ -68,9 +68,18 @@ def judge_requests(
     return paired.select(*[c for c in transcripts.columns if c != "content"], request.alias("request"))
 
 
-def rate_answers(store: DataFrame, answers: DataFrame, key: str = "dialogue_id") -> DataFrame:
-    """Rating store after a batch of two-metric answers."""
-    return R.upsert_ratings(store, R.long_ratings(R.parse_two_metric(answers, key)), (key, "metric_type", "pair_num"))
+def rate_answers(
+    store: DataFrame, answers: DataFrame, config: DataFrame | None = None, key: str = "dialogue_id"
+) -> DataFrame:
+    """Rating store after a batch of two-metric answers.
+
+    An answer replaces all ratings of its dialogue, so pairs that it lacks do not keep old scores. Answers
+    for dialogues that ``config`` does not list change nothing; ``unknown_files`` reports them.
+    """
+    if config is not None:
+        answers = answers.join(config.select(key).distinct(), key, "left_semi")
+    kept = store.join(answers.select(key).distinct(), key, "left_anti")
+    return kept.unionByName(R.long_ratings(R.parse_two_metric(answers, key)).select(*kept.columns))
 
 
 def prepare_examples(

@@ -19,26 +19,20 @@ from colloquy.sources.writers import append_rating_load, compact_rating_store, c
 
 # A pair lacks its logic score where this holds.
 GAP = "(dialogue_id + 2 * pair_num) % 7 = 3"
-ANSWER_PAIRS = X.SEGMENT_TURNS // 2
 
 
 def _answer_blocks(rows, *block):
-    """Answers ``(dialogue_id, part, answer)`` from one text block per pair.
-
-    An answer covers at most ``ANSWER_PAIRS`` pairs, as many as a transcript document holds.
-    """
+    """Answers ``(dialogue_id, answer)`` from one text block per pair; an answer covers its dialogue."""
     return (
-        rows.withColumn("part", F.expr(f"cast((pair_num - 1) div {ANSWER_PAIRS} as bigint)"))
-        .groupBy("dialogue_id", "part")
+        rows.groupBy("dialogue_id")
         .agg(F.array_sort(F.collect_list(F.struct("pair_num", F.concat(*block).alias("b")))).alias("_b"))
-        .select("dialogue_id", "part", F.array_join(F.transform("_b", lambda b: b["b"]), "\n").alias("answer"))
+        .select("dialogue_id", F.array_join(F.transform("_b", lambda b: b["b"]), "\n").alias("answer"))
     )
 
 
 def _four_metric(spark, sf_dir):
-    """Parsed answers with pairs numbered across the parts of a dialogue."""
-    parsed = R.parse_four_metric(four_metric_answers(spark, sf_dir), "dialogue_id", "part")
-    return parsed.withColumn("pair_num", F.col("part") * ANSWER_PAIRS + F.col("pair_num"))
+    parsed = R.parse_four_metric(four_metric_answers(spark, sf_dir), "dialogue_id")
+    return parsed.withColumn("pair_num", F.col("pair_num").cast("bigint"))
 
 
 def two_metric_answers(spark, sf_dir):
@@ -62,7 +56,7 @@ def parse_two_metric(spark, sf_dir):
 
 @query(
     f"""WITH {RATINGS}, c AS (SELECT dialogue_id, metric_type, score, row_number()
-    OVER (PARTITION BY dialogue_id, (pair_num - 1) // 512, metric_type ORDER BY pair_num) AS pair_num
+    OVER (PARTITION BY dialogue_id, metric_type ORDER BY pair_num) AS pair_num
   FROM ratings WHERE metric_type IN ('tone', 'logic') AND NOT {GAP})
 SELECT dialogue_id, pair_num, metric_type, score::BIGINT::VARCHAR AS quantitative FROM c"""
 )
@@ -90,7 +84,7 @@ def four_metric_answers(spark, sf_dir):
   metric_type || ' of ' || pair_num AS qualitative FROM ratings"""
 )
 def parse_four_metric(spark, sf_dir):
-    return _four_metric(spark, sf_dir).drop("part")
+    return _four_metric(spark, sf_dir)
 
 
 @query(
@@ -104,26 +98,25 @@ def join_ratings(spark, sf_dir):
 
 
 @query(
-    f"""WITH {RATINGS}, n AS (SELECT dialogue_id, (pair_num - 1) // 512 AS part, max(pair_num) - dialogue_id % 2 AS n_rated
-  FROM pairs GROUP BY 1, 2)
+    f"""WITH {RATINGS}, n AS (SELECT dialogue_id, max(pair_num) - dialogue_id % 2 AS n_rated FROM pairs GROUP BY 1)
 SELECT dialogue_id, pair_num, 'Assistant: ' || replace(assistant_text, chr(10), ' ') AS answer, tone::VARCHAR AS rating
-FROM (SELECT *, (pair_num - 1) // 512 AS part FROM pairs) JOIN n USING (dialogue_id, part)
+FROM pairs JOIN n USING (dialogue_id)
   JOIN rating_pairs USING (dialogue_id, pair_num) WHERE pair_num <= n_rated"""
 )
 def attach_ratings(spark, sf_dir):
-    """Pairs of each document zipped with its tone scores; odd dialogues lack the last score of a document."""
-    pairs = X.with_pairs(documents_of(spark, sf_dir)).select("dialogue_id", F.col("segment").alias("part"), "pairs")
-    tone = R.parse_four_metric(four_metric_answers(spark, sf_dir), "dialogue_id", "part").filter("metric_type = 'tone'")
-    scores = tone.groupBy("dialogue_id", "part").agg(
+    """Pairs of each dialogue zipped with its tone scores; odd dialogues lack the last score."""
+    pairs = X.with_pairs(documents_of(spark, sf_dir)).select("dialogue_id", "pairs")
+    tone = R.parse_four_metric(four_metric_answers(spark, sf_dir), "dialogue_id").filter("metric_type = 'tone'")
+    scores = tone.groupBy("dialogue_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("pair_num", "quantitative"))), lambda r: r["quantitative"]
         ).alias("r")
     )
     short = F.slice("r", 1, F.greatest(F.size("r") - (F.col("dialogue_id") % 2).cast("int"), F.lit(0)))
-    zipped = pairs.join(scores, ["dialogue_id", "part"]).withColumn("z", R.attach_ratings(F.col("pairs"), short))
-    return exploded(zipped, "z", "dialogue_id", "part").select(
+    zipped = pairs.join(scores, "dialogue_id").withColumn("z", R.attach_ratings(F.col("pairs"), short))
+    return exploded(zipped, "z", "dialogue_id").select(
         "dialogue_id",
-        (F.col("part") * ANSWER_PAIRS + F.col("_pos") + 1).alias("pair_num"),
+        (F.col("_pos") + 1).cast("bigint").alias("pair_num"),
         F.col("_item.pair.assistant").alias("answer"),
         F.col("_item.rating").alias("rating"),
     )
@@ -178,33 +171,32 @@ def rating_store(spark, sf_dir):
 
 
 _WIDE = ", ".join(
-    f"max(score) FILTER (metric_type = '{m}' AND pair_num % 2 = {n % 2}) AS {m}_pair{n}" for n in (1, 2) for m in METRICS
+    f"max(score) FILTER (metric_type = '{m}' AND pair_num = {n}) AS {m}_pair{n}" for n in (1, 2, 3, 4) for m in METRICS
 )
 
 
 @query(
-    f"""WITH {RATINGS} SELECT dialogue_id, model_version, checkpoint, (pair_num - 1) // 2 AS part, {_WIDE}
-FROM ratings GROUP BY 1, 2, 3, 4"""
+    f"""WITH {RATINGS} SELECT dialogue_id, model_version, checkpoint, {_WIDE} FROM ratings GROUP BY 1, 2, 3"""
 )
 def ratings_wide(spark, sf_dir):
-    return R.ratings_wide(ratings(spark, sf_dir), ["dialogue_id", "model_version", "checkpoint"])
+    keys = ["dialogue_id", "model_version", "checkpoint"]
+    return R.ratings_wide(ratings(spark, sf_dir), keys, pairs=(1, 2, 3, 4))
 
 
 @query(
-    f"""WITH {RATINGS} SELECT dialogue_id, (pair_num - 1) // 512 AS part, bool_and(NOT {GAP}) AS fully_rated
-FROM pairs GROUP BY 1, 2"""
+    f"WITH {RATINGS} SELECT dialogue_id, bool_and(NOT {GAP}) AS fully_rated FROM pairs GROUP BY 1"
 )
 def fully_rated(spark, sf_dir):
     """Whether every pair of an answer has all four scores."""
-    parsed = R.parse_four_metric(four_metric_answers(spark, sf_dir), "dialogue_id", "part")
+    parsed = R.parse_four_metric(four_metric_answers(spark, sf_dir), "dialogue_id")
     verdict = F.struct("quantitative", "qualitative")
-    per_pair = parsed.groupBy("dialogue_id", "part", "pair_num").agg(
+    per_pair = parsed.groupBy("dialogue_id", "pair_num").agg(
         F.struct(*[F.max(F.when(F.col("metric_type") == m, verdict)).alias(m) for m in METRICS]).alias("evaluation")
     )
-    documents = per_pair.groupBy("dialogue_id", "part").agg(
+    documents = per_pair.groupBy("dialogue_id").agg(
         F.collect_list(F.struct("pair_num", "evaluation")).alias("pairs")
     )
-    return documents.select("dialogue_id", "part", R.is_fully_rated(F.col("pairs")).alias("fully_rated"))
+    return documents.select("dialogue_id", R.is_fully_rated(F.col("pairs")).alias("fully_rated"))
 
 
 @query(
@@ -229,9 +221,12 @@ def unknown_files(spark, sf_dir):
 
 @query(
     f"""WITH {RATINGS} SELECT dialogue_id, metric_type, pair_num,
-  CASE WHEN metric_type IN ('tone', 'logic') AND NOT {GAP} THEN score ELSE 9 END AS score FROM ratings"""
+  CASE WHEN dialogue_id % 2 = 0 AND dialogue_id % 5 <> 0 THEN score ELSE 9 END AS score FROM ratings
+WHERE dialogue_id % 2 = 1 OR dialogue_id % 5 = 0 OR (metric_type IN ('tone', 'logic') AND NOT {GAP})"""
 )
 def rate_answers(spark, sf_dir):
-    """Store of old scores, all 9, after a batch of judge answers."""
-    store = ratings(spark, sf_dir).select("dialogue_id", "metric_type", "pair_num", F.lit(9.0).alias("score"))
-    return jobs.rate_answers(store, two_metric_answers(spark, sf_dir))
+    """Store of old scores, all 9, after a batch of answers for even dialogues; every fifth one is not in the config."""
+    rated = ratings(spark, sf_dir)
+    store = rated.select("dialogue_id", "metric_type", "pair_num", F.lit(9.0).alias("score"))
+    config = rated.select("dialogue_id").filter("dialogue_id % 5 <> 0")
+    return jobs.rate_answers(store, two_metric_answers(spark, sf_dir).filter("dialogue_id % 2 = 0"), config)

@@ -24,10 +24,9 @@ def documents_of(spark, sf_dir):
 
 
 def numbered_pairs(spark, sf_dir):
-    """Strictly parsed pairs ``(dialogue_id, pair_num, user, assistant)``, numbered across segments."""
-    pairs = X.explode_pairs(X.with_pairs(documents_of(spark, sf_dir)), "dialogue_id", "segment")
-    number = F.col("segment") * (X.SEGMENT_TURNS // 2) + F.col("pair_num")
-    return pairs.select("dialogue_id", number.alias("pair_num"), "user", "assistant")
+    """Strictly parsed pairs ``(dialogue_id, pair_num, user, assistant)``."""
+    pairs = X.explode_pairs(X.with_pairs(documents_of(spark, sf_dir)), "dialogue_id")
+    return pairs.withColumn("pair_num", F.col("pair_num").cast("bigint"))
 
 
 @query(f"WITH {SPOKEN} SELECT dialogue_id, turn, speaker, {CLEAN_TEXT} AS text FROM spoken")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -10,10 +9,11 @@ from pyspark.sql import SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def local_session(cores: int | str = "*", app: str = "colloquy") -> SparkSession:
-    """Session for tests and the bench; a cluster brings its own."""
+def local_session(cores: int | str = "*", app: str = "colloquy", shared: str | None = None) -> SparkSession:
+    """Session for tests and the bench, with the shared folder they set up; a cluster brings its own."""
+    builder = SparkSession.builder.config(CHECKPOINT_DIR, shared) if shared else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -29,12 +29,10 @@ def local_session(cores: int | str = "*", app: str = "colloquy") -> SparkSession
 def shared_path(spark: SparkSession, purpose: str) -> str:
     """A new folder path under the shared folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only a local master without that setting
-    (tests, the bench) falls back to a folder on this machine.
+    ``spark.checkpoint.dir`` is read from the session, and where it is unset the warehouse folder. Whoever
+    sets them up clears them.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get("spark.sql.warehouse.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="colloquy-")
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that every executor can reach")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -38,28 +38,35 @@ def stream_transcripts(spark: SparkSession, path: str, max_files: int = 1000) ->
     )
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"')
+def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"')
 
 
-def read_run_config(spark: SparkSession, path: str) -> DataFrame:
+def read_run_config(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Run config with typed settings; rows without any value are dropped.
 
-    ``position`` keeps the file order. It is taken at the scan, before anything can reorder rows.
+    ``position`` orders rows by file name, then by their place in the file; it is taken at the scan. Files are split between
+    tasks, unless ``multi_line`` says that cells hold line breaks.
     Columns behind the settings (score columns of any number) stay text.
     """
-    raw = _csv(spark, path)
+    raw = _csv(spark, path, multi_line)
     filled = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"`{c}`"), F.lit("")) != "" for c in raw.columns])
     typed = [
         F.col(c).try_cast(RUN_CONFIG_TYPES[c]).alias(c) if c in RUN_CONFIG_TYPES else F.col(f"`{c}`")
         for c in raw.columns
     ]
-    return raw.filter(filled).select(*typed, F.monotonically_increasing_id().alias("position"))
+    # A split lies in one task, whose row numbers ascend.
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return raw.select("*", place.alias("_place")).filter(filled).select(*typed, F.col("_place").alias("position"))
 
 
-def read_ratings_wide(spark: SparkSession, path: str) -> DataFrame:
+def read_ratings_wide(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Wide rating table as text; cells that mean "missing" are null."""
-    raw = _csv(spark, path)
+    raw = _csv(spark, path, multi_line)
     return raw.select(*[null_token(F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from colloquy.operators.ratings import RATING_KEYS, latest_ratings
 from colloquy.schemas import METRICS
 
-DOCUMENT_PAIRS = 512
-
 
 def write_chat_corpus(examples: DataFrame, path: str) -> None:
     """JSON lines, one example per line."""
@@ -40,8 +39,7 @@ def scored_dialogues(pairs: DataFrame, ratings: DataFrame, key: str = "dialogue_
 def nest_dialogues(scored: DataFrame, metadata: DataFrame, key: str = "dialogue_id") -> DataFrame:
     """Documents ``(metadata, pairs)`` as ``read_scored_dialogues`` reads them.
 
-    ``metadata`` holds one struct per dialogue. A dialogue beyond ``DOCUMENT_PAIRS`` pairs continues
-    in further documents with the same metadata.
+    ``metadata`` holds one struct per dialogue. A dialogue is one document.
     """
     pair = F.struct(
         F.col("pair_id").cast("bigint").alias("pair_id"),
@@ -50,8 +48,7 @@ def nest_dialogues(scored: DataFrame, metadata: DataFrame, key: str = "dialogue_
         "evaluation",
     )
     documents = (
-        scored.withColumn("_part", F.floor((F.col("pair_id") - 1) / DOCUMENT_PAIRS))
-        .groupBy(key, "_part")
+        scored.groupBy(key)
         .agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
     )
     return documents.join(metadata.select(key, "metadata"), key).select("metadata", "pairs")
@@ -84,20 +81,32 @@ def write_run_log(log: DataFrame, path: str) -> None:
     log.write.mode("overwrite").json(f"{path}/history")
 
 
-def append_rating_load(ratings: DataFrame, path: str, load_id: int) -> None:
-    """Add one load to the rating store; writing the same load again replaces it.
+def append_rating_load(ratings: DataFrame, path: str, load_id: int, writer: str = "batch") -> None:
+    """Add one load to the rating store; the same writer's same load replaces itself and nothing else.
 
     Loads are immutable side by side, so no upsert rewrites the store and a lost executor or a
-    repeated batch cannot damage earlier loads.
+    repeated batch cannot damage other loads. Loads are ordered by the time they were written.
     """
-    ratings.write.mode("overwrite").parquet(f"{path}/load={load_id}")
+    stamped = ratings.withColumn("loaded_at", F.lit(time.time_ns()))
+    stamped.write.mode("overwrite").parquet(f"{path}/writer={writer}/load={load_id}")
+
+
+def _loads(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("writer", "load")
 
 
 def current_ratings(
     spark: SparkSession, path: str, keys: Sequence[str] = RATING_KEYS, value: str = "score"
 ) -> DataFrame:
-    """The store as of its last load."""
-    return latest_ratings(spark.read.parquet(path), keys, value, "load")
+    """The store as of its last load: per rating the latest score."""
+    return latest_ratings(_loads(spark, path), keys, value, "loaded_at")
+
+
+def replaced_ratings(spark: SparkSession, path: str, key: str = RATING_KEYS[0]) -> DataFrame:
+    """The store where a load replaces all ratings of the dialogues it holds, as two-metric answers do."""
+    loads = _loads(spark, path)
+    last = loads.groupBy(key).agg(F.max("loaded_at").alias("loaded_at"))
+    return loads.join(last, [key, "loaded_at"], "left_semi").drop("loaded_at")
 
 
 def compact_rating_store(spark: SparkSession, path: str, new_path: str, load_id: int) -> None:

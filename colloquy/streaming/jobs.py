@@ -6,6 +6,8 @@ the cluster. Sinks are repeatable per batch, so a restarted query leaves the sam
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,11 +41,20 @@ def stream_turns(documents: DataFrame, out: str, checkpoint: str, *keys: str) ->
     )
 
 
-def stream_ratings(answers: DataFrame, store: str, checkpoint: str, key: str = "dialogue_id") -> StreamingQuery:
-    """Parse new judge answers and add them to the rating store, one load per batch."""
+def stream_ratings(
+    answers: DataFrame, store: str, checkpoint: str, key: str = "dialogue_id", config: DataFrame | None = None
+) -> StreamingQuery:
+    """Parse new judge answers and add them to the rating store, one load per batch.
+
+    Loads carry the stream's own name, taken from its checkpoint, so streams with one store do not meet.
+    Answers for dialogues that ``config`` does not list are left out.
+    """
+    writer = hashlib.md5(checkpoint.encode()).hexdigest()
+    if config is not None:
+        answers = answers.join(config.select(key).distinct(), key, "left_semi")
     ratings = long_ratings(parse_two_metric(answers, key)).select(key, "metric_type", "pair_num", "score")
     return (
-        ratings.writeStream.foreachBatch(lambda batch, batch_id: append_rating_load(batch, store, batch_id))
+        ratings.writeStream.foreachBatch(lambda batch, batch_id: append_rating_load(batch, store, batch_id, writer))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

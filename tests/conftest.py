@@ -10,8 +10,8 @@ from colloquy.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "colloquy-tests")
+def spark(tmp_path_factory):
+    session = local_session(8, "colloquy-tests", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     return session
 

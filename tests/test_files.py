@@ -187,6 +187,21 @@ class FakeSession:
 
 def test_shared_path_follows_the_session():
     assert shared_path(FakeSession("yarn", "/shared/cp/"), "x").startswith("/shared/cp/x-")
-    assert "/x-" in shared_path(FakeSession("local[4]"), "x")
+    with pytest.raises(ValueError):
+        shared_path(FakeSession("local[4]"), "x")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_path(FakeSession("yarn"), "x")
+
+
+def test_run_config_position_follows_files(spark, tmp_path):
+    header = "DIALOGUE_KEYWORD,dialogue\n"
+    write(tmp_path / "c" / "a.csv", header + "first,\n")
+    write(tmp_path / "c" / "b.csv", header + "".join(f"k{i},d{i}.txt\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = S.read_run_config(spark, str(tmp_path / "c"))
+        assert rows.rdd.getNumPartitions() > 2
+        ordered = [r["DIALOGUE_KEYWORD"] for r in rows.orderBy("position").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ordered == ["first", *(f"k{i}" for i in range(20_000))]

@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.operators import analytics as A
 from colloquy.operators import config_table as C
 from colloquy.operators import prompts as P
 from colloquy.operators import ratings as R
-from colloquy.sources.writers import append_rating_load, current_ratings
+from colloquy.sources.writers import append_rating_load, current_ratings, replaced_ratings
 
 CATEGORY = R.CATEGORY_LABELS
 
@@ -61,6 +62,12 @@ def test_upsert_is_idempotent_and_keeps_old_scores(spark, tmp_path):
     assert {tuple(r) for r in once.collect()} == expected
     assert {tuple(r) for r in R.upsert_ratings(once, new).collect()} == expected
     path = str(tmp_path / "store")
+    two = str(tmp_path / "two")
+    for writer, df in (("s1", store), ("s2", new)):
+        append_rating_load(df.filter("score is not null"), two, 0, writer)
+    assert {tuple(r) for r in current_ratings(spark, two).collect()} == expected
+    replaced = {tuple(r) for r in replaced_ratings(spark, two).collect()}
+    assert replaced == {("a", "tone", 1, 4.0), ("b", "tone", 1, 1.0), ("c", "tone", 2, 0.0)}
     for load, df in ((0, store), (1, new), (1, new)):
         append_rating_load(df, path, load)
     assert {tuple(r) for r in current_ratings(spark, path).collect()} == expected
@@ -68,9 +75,14 @@ def test_upsert_is_idempotent_and_keeps_old_scores(spark, tmp_path):
     assert [r[0] for r in R.unknown_files(new, config).collect()] == ["c"]
 
 
-def test_wide_continues_in_parts(spark):
-    rows = [("a", "tone", n, float(n)) for n in range(1, 6)]
-    wide = R.ratings_wide(spark.createDataFrame(rows, STORE), ["dialogue_id"], ("tone",)).orderBy("part").collect()
+def test_wide_keeps_pair_numbers(spark):
+    long = spark.createDataFrame([("a", "tone", n, float(n)) for n in range(1, 6)], STORE)
+    wide = R.ratings_wide(long, ["dialogue_id"], ("tone",))
+    assert wide.columns == ["dialogue_id", *(f"tone_pair{n}" for n in range(1, 6))]
+    parts = R.ratings_in_parts(long, ["dialogue_id"], ("tone",))
+    for back in (A.melt_ratings(wide, ["dialogue_id"]), A.melt_ratings(parts, ["dialogue_id"], part_width=2)):
+        assert {(r["pair_num"], r["score"], r["metric_pair"]) for r in back.collect()} == {(n, n, f"tone_pair{n}") for n in range(1, 6)}
+    wide = parts.orderBy("part").collect()
     assert [(r["part"], r["tone_pair1"], r["tone_pair2"]) for r in wide] == [(0, 1, 2), (1, 3, 4), (2, 5, None)]
 
 

@@ -145,7 +145,7 @@ def test_round_trip_over_segments(spark):
         for t in range(rng.randint(1, 23))
     ]
     df = spark.createDataFrame(turns, "dialogue_id int, turn bigint, speaker string, text string").repartition(4)
-    for size in (1, 4, 1024):
+    for size in (1, 4, None):
         docs = X.render_transcripts(df, segment_turns=size)
         back = X.explode_turns(X.with_turns(docs), "dialogue_id", segment_turns=size)
         assert sorted(tuple(r) for r in back.collect()) == sorted(turns)
