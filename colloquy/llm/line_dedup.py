@@ -7,9 +7,11 @@ text or another. Lines without words stay. The rule looks at the input only, so
 Words are ordered by rarity: by a table of ``BUCKETS`` counters over all texts, then by their hash. Only the rarest words
 of a line, which a similar line must share, are posted, as packed records in a blob for each batch and bucket of
 words. A bucket's postings are sorted by word and length; pairs are formed within a word and the lengths that can be
-similar, and pass the positional filter and a filter on 128-bit parities of the sets, both of which lose no similar pair.
-The few that remain are verified on their words. Equal sets (told by 128 bits) are one class from the start, so copies form no
-pairs. A word that more than ``HOT`` lines hold is dealt to cells, two parts of its lines each.
+similar, and pass the positional filter and a filter on 64 or 128 parities of the sets, both of which lose no similar pair.
+A line needs one earlier line only: for each word it first names one candidate, the earliest that passes, so a group
+of near copies makes as many pairs as lines. Candidates are verified on their words. Lines whose candidates all failed
+are joined again, with all candidates of the words that named one. Equal sets (told by 128 bits) are one class from the start, so
+copies form no pairs. A word that more than ``HOT`` lines hold is dealt to cells, two parts of its lines each.
 
 Nulls: a null text has no lines and stays null; a null ``doc_id`` comes last. Repeated rows (same id and text) are one
 document and get the same result. Empty tables give empty tables. All columns travel in a struct, so names cannot clash.
@@ -34,12 +36,16 @@ HOT = 1 << 16
 PART_BYTES = 4 << 20
 SLICE = 6 << 20
 #: Sets up to this size have 64 parities; larger ones have 128.
-FOLDED = 64
+FOLDED = 128
+#: Bits of the filters that tell which sets or words a further pass needs; they may let through more.
+BITS = 1 << 24
 _CHUNK = 1 << 14
 _PAIRS = 1 << 21
 
-#: A word that is posted: its key, the set's hash, size and parities, and the word's place in the set.
-POSTING = np.dtype([("key", "<u4"), ("set", "<u8"), ("low", "<u8"), ("high", "<u8"), ("size", "<i4"), ("place", "<i4")])
+#: A word that is posted: its key, the set's hash, parities, first line in the batch and size, and the word's place in the set.
+POSTING = np.dtype(
+    [("key", "<u4"), ("set", "<u8"), ("low", "<u8"), ("high", "<u8"), ("id", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4")]
+)
 #: A line: both hashes of its set, and where it is.
 LINE = np.dtype([("set", "<u8"), ("other", "<u8"), ("id", "<i8"), ("hash", "<i8"), ("line", "<i4")])
 
@@ -96,8 +102,8 @@ def similar_at_least(a, b):
     return (4 * (a + b) + 8) // 9
 
 
-def line_sets(texts: pa.Array, table: np.ndarray):
-    """Lines with words of a batch: index of text, line number, set hashes, and their postings (with the line's index)."""
+def line_sets(texts: pa.Array, table: np.ndarray, ids: np.ndarray):
+    """Lines with words of a batch: index of text, line number, set hashes, and the postings of their sets."""
     lines = pc.split_pattern(texts, "\n")
     starts = lines.offsets.to_numpy().astype(np.int64)
     starts = starts - starts[0]
@@ -127,8 +133,9 @@ def line_sets(texts: pa.Array, table: np.ndarray):
     text = np.searchsorted(starts, real, side="right") - 1
     number = real - starts[text]
     # A batch posts each of its sets once. Sets of fewer than four words are similar to equal ones only.
+    order = np.lexsort((number, ids[text], one))
     once = np.zeros(len(real), bool)
-    once[np.unique(one, return_index=True)[1]] = True
+    once[order[np.diff(one[order], prepend=~one[order[:1]]) != 0]] = True
     place = np.arange(len(own)) - np.repeat(first, sizes)
     posted = np.where(once & (sizes >= 4), sizes - (4 * sizes + 4) // 5, -1)
     post = np.flatnonzero(place <= np.repeat(posted, sizes))
@@ -136,7 +143,7 @@ def line_sets(texts: pa.Array, table: np.ndarray):
     small = sizes <= FOLDED
     low, high = np.where(small, low ^ high, low), np.where(small, np.uint64(0), high)
     posting = np.empty(len(post), POSTING)
-    for name, values in (("set", one), ("low", low), ("high", high), ("size", sizes)):
+    for name, values in (("set", one), ("low", low), ("high", high), ("size", sizes), ("id", ids[text]), ("line", number)):
         posting[name] = values[which]
     posting["place"] = place[post]
     posting["key"] = (h[post] >> np.uint64(32)).astype(np.uint32)
@@ -161,48 +168,100 @@ def _celled(posting: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate((posting[rest], dealt))
 
 
-def candidates(posting: np.ndarray) -> np.ndarray:
-    """Pairs of set hashes that share a posted word and pass the length, positional and parity filters."""
-    wide = posting["key"].astype(np.int64) << 31 | posting["size"]
-    order = np.lexsort((posting["set"], wide))
-    posting, wide = posting[order], wide[order]
+def candidates(posting: np.ndarray, every: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (set, candidate) that share a posted word and pass the length, positional and parity filters, and the words.
+
+    The candidate's first line is the earlier one. Each set and word has the earliest candidate only; sets in
+    the filter ``every`` have all, and others none, if it is given.
+    """
+    order = np.lexsort((posting["line"], posting["id"], posting["set"], posting["key"]))
+    posting = posting[order]
     new = np.ones(len(posting), bool)
-    new[1:] = (wide[1:] != wide[:-1]) | (posting["set"][1:] != posting["set"][:-1]) | (posting["low"][1:] != posting["low"][:-1])
-    posting, wide = posting[new], wide[new]
+    new[1:] = (posting["key"][1:] != posting["key"][:-1]) | (posting["set"][1:] != posting["set"][:-1])
+    posting = posting[new]
+    # Earlier lines first within a word; ``start`` is the first posting of the word.
+    posting = posting[np.lexsort((posting["line"], posting["id"], posting["key"]))]
+    key, size, place = posting["key"], posting["size"].astype(np.int64), posting["place"].astype(np.int64)
     low, high = posting["low"].copy(), posting["high"].copy()
-    key, size = posting["key"].astype(np.int64) << 31, posting["size"].astype(np.int64)
-    until = np.searchsorted(wide, key | (5 * size // 4), side="right")
-    partners = until - np.arange(len(posting)) - 1
-    ends = np.cumsum(partners)
-    out = [np.empty((0, 2), np.uint64)]
-    start = 0
-    while start < len(posting):
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + _PAIRS, side="right")))
-        some = partners[start:stop]
-        a = np.repeat(np.arange(start, stop), some)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(some) - some, some)
+    n = len(posting)
+    start = np.searchsorted(key, key, side="left") if n else np.empty(0, np.int64)
+    open_ = np.flatnonzero(np.arange(n) > start)
+    if every is not None:
+        open_ = open_[_in(every, posting["set"][open_])]
+    reach, found = start[open_], [np.empty((0, 2), np.int64)]
+    # Each turn tries the next few earlier lines of all words that have some left; few words have many lines.
+    width = 8
+    while len(open_):
+        some = np.minimum(open_ - reach, width)
+        for low_, high_ in _cuts(some):
+            o, w = open_[low_:high_], some[low_:high_]
+            a = np.repeat(o, w)
+            b = np.repeat(reach[low_:high_], w) + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
+            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            good = 5 * small >= 4 * large
+            a, b = a[good], b[good]
+            need = similar_at_least(size[a], size[b])
+            good = np.minimum(size[a] - place[a], size[b] - place[b]) >= need
+            a, b, need = a[good], b[good], need[good]
+            # Where the smaller set has 64 parities only, so does the pair.
+            x, y = low[a] ^ low[b], high[a] ^ high[b]
+            folded = np.minimum(size[a], size[b]) <= FOLDED
+            x, y = np.where(folded, x ^ y, x), np.where(folded, np.uint64(0), y)
+            apart = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y)
+            good = apart <= size[a] + size[b] - 2 * need
+            found.append(np.stack((a[good], b[good]), axis=1))
+        reach = reach + some
+        going = reach < open_
+        if every is None:
+            settled = np.zeros(n, bool)
+            settled[found[-1][:, 0]] = True
+            for part in found[:-1]:
+                settled[part[:, 0]] = True
+            going &= ~settled[open_]
+        open_, reach = open_[going], reach[going]
+        width = min(width * 4, 1 << 14)
+    pairs = np.concatenate(found)
+    if every is None:
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.diff(pairs[:, 0], prepend=-1) != 0]
+    return np.stack((posting["set"][pairs[:, 0]], posting["set"][pairs[:, 1]]), axis=1), key[pairs[:, 0]]
+
+
+def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges whose sizes sum to about ``_PAIRS``."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _PAIRS, side="right")))
+        yield start, stop
         start = stop
-        if not len(a):
-            continue
-        need = similar_at_least(size[a], size[b])
-        left = np.minimum(size[a] - posting["place"][a], size[b] - posting["place"][b])
-        good = left >= need
-        a, b, need = a[good], b[good], need[good]
-        # Where the smaller set has 64 parities only, so does the pair.
-        x, y = low[a] ^ low[b], high[a] ^ high[b]
-        folded = size[a] <= FOLDED
-        x, y = np.where(folded, x ^ y, x), np.where(folded, np.uint64(0), y)
-        apart = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y)
-        good = (apart <= size[a] + size[b] - 2 * need) & (posting["set"][a] != posting["set"][b])
-        x, y = posting["set"][a[good]], posting["set"][b[good]]
-        out.append(_once(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1)))
-    return _once(np.concatenate(out))
-
-
-def _once(pairs: np.ndarray) -> np.ndarray:
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    return pairs[np.concatenate((np.ones(min(1, len(pairs)), bool), (pairs[1:] != pairs[:-1]).any(axis=1)))]
+
+
+def _in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values.astype(np.uint64) % np.uint64(BITS)
+    return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def bit_filter(rows: DataFrame, column: str) -> np.ndarray:
+    """A bit for each hash value in a column of longs; a fixed size whatever the number of rows."""
+    step = _CHUNK * 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, np.uint8)
+        for batch in batches:
+            bits[(batch.column("v").to_numpy().view(np.uint64) % np.uint64(BITS)).astype(np.int64)] = 1
+        starts = [s for s in range(0, BITS, step) if bits[s : s + step].any()]
+        raw = [np.packbits(bits[s : s + step], bitorder="little").tobytes() for s in starts]
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(raw, pa.binary())], names=["start", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        both = np.bitwise_or.reduce([np.frombuffer(raw.as_buffer(), np.uint8) for raw in table.column("bits")])
+        return pa.table({"start": table.column("start").slice(0, 1), "bits": pa.array([both.tobytes()], pa.binary())})
+
+    out, schema = np.zeros(BITS // 8, np.uint8), "start bigint, bits binary"
+    seen = rows.select(F.col(column).alias("v")).mapInArrow(run, schema).groupBy("start").applyInArrow(merge, schema)
+    for row in seen.collect():
+        out[row["start"] // 8 : (row["start"] + step) // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -214,50 +273,93 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _lines_and_pairs(keyed: DataFrame, table: np.ndarray, parts: int) -> DataFrame:
-    """Lines (``kind`` 1: both set hashes in ``x``, ``y``, place, and whether first of their set) and candidate pairs (``kind`` 0)."""
-    shared = keyed.sparkSession.sparkContext.broadcast(table)
-
-    def blobs(kind: int, records: np.ndarray, part: np.ndarray):
-        order = np.argsort(part, kind="stable")
-        records, part = records[order], part[order]
-        cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        raw = [packed(r) for r in np.split(records, cuts[1:])] if len(records) else []
-        return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(raw), pa.int32()), pa.array(part[cuts], pa.int64()), pa.array(raw, pa.binary())], names=["kind", "part", "blob"]
-        )
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "_text", SLICE):
-            if (found := line_sets(batch.column("_text"), shared.value)) is None:
-                continue
-            text, number, one, two, posting = found
-            line = np.empty(len(text), LINE)
-            line["set"], line["other"], line["line"] = one, two, number
-            line["id"], line["hash"] = (batch.column(n).to_numpy(zero_copy_only=False)[text] for n in ("_id", "_hash"))
-            yield blobs(0, posting, posting_part(posting["key"]))
-            yield blobs(1, line, (line["set"] % np.uint64(parts)).astype(np.int64))
-
-    def posting_part(key: np.ndarray) -> np.ndarray:
-        return (_mix(key.astype(np.uint64), 0x85EBCA77C2B2AE63) % np.uint64(parts)).astype(np.int64)
-
-    def join(table: pa.Table) -> pa.Table:
-        raw = table.column("blob").to_pylist()
-        if table.column("kind")[0].as_py() == 0:
-            pair = candidates(unpacked(raw, POSTING)).view(np.int64)
-            none = pa.nulls(len(pair), pa.int64())
-            return _as_rows(0, pair[:, 0], pair[:, 1], none, none, none, pa.nulls(len(pair), pa.bool_()))
-        line = unpacked(raw, LINE)
-        line = line[np.lexsort((line["line"], line["hash"], line["id"], line["other"], line["set"]))]
-        line = line[np.concatenate(([True], line[1:] != line[:-1]))]
-        first = np.ones(len(line), bool)
-        first[1:] = (line["set"][1:] != line["set"][:-1]) | (line["other"][1:] != line["other"][:-1])
-        places = [pa.array(line[n].astype(np.int64)) for n in ("id", "hash", "line")]
-        return _as_rows(1, line["set"].view(np.int64), line["other"].view(np.int64), *places, pa.array(first))
-
-    dealt = keyed.select("_id", "_hash", "_text").mapInArrow(post, "kind int, part bigint, blob binary")
-    schema = "kind int, x bigint, y bigint, id bigint, hash bigint, line bigint, first boolean"
-    return dealt.groupBy("kind", "part").applyInArrow(join, schema)
+class Join:
+    """The passes over the texts; ``keyed`` is ``_keyed`` of the documents."""
+
+    def __init__(self, keyed: DataFrame):
+        self.rows = keyed.select("_id", "_hash", "_text")
+        texts = self.rows.select(F.col("_text").alias("text"))
+        size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+        self.parts = max(1, size // PART_BYTES)
+        self.share = keyed.sparkSession.sparkContext.broadcast
+        self.table = self.share(word_table(texts))
+
+    def lines_and_pairs(self) -> DataFrame:
+        """Lines (``kind`` 1: both set hashes in ``x``, ``y``, place, and whether first of their set), and pairs (``kind`` 0: set,
+        candidate, and the word in ``id``)."""
+        return self._joined(None, None)
+
+    def all_pairs(self, sets: np.ndarray, words: np.ndarray) -> DataFrame:
+        """All candidates of the sets in a filter, by the words in another."""
+        return self._joined(self.share(sets), self.share(words))
+
+    def _joined(self, sets, words) -> DataFrame:
+        parts, table = self.parts, self.table
+
+        def part_of(key: np.ndarray) -> np.ndarray:
+            return (_mix(key.astype(np.uint64), 0x85EBCA77C2B2AE63) % np.uint64(parts)).astype(np.int64)
+
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in text_slices(batches, "_text", SLICE):
+                ids, text_hash = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_id", "_hash"))
+                if (found := line_sets(batch.column("_text"), table.value, ids)) is None:
+                    continue
+                text, number, one, two, posting = found
+                if words is not None:
+                    posting = posting[_in(words.value, posting["key"])]
+                    yield _blobs(0, posting, part_of(posting["key"]))
+                    continue
+                line = np.empty(len(text), LINE)
+                line["set"], line["other"], line["line"], line["id"], line["hash"] = one, two, number, ids[text], text_hash[text]
+                yield _blobs(0, posting, part_of(posting["key"]))
+                yield _blobs(1, line, (line["set"] % np.uint64(parts)).astype(np.int64))
+
+        def join(table: pa.Table) -> pa.Table:
+            raw = table.column("blob").to_pylist()
+            if table.column("kind")[0].as_py() == 0:
+                pair, key = candidates(unpacked(raw, POSTING), None if sets is None else sets.value)
+                pair, none = pair.view(np.int64), pa.nulls(len(pair), pa.int64())
+                return _as_rows(0, pair[:, 0], pair[:, 1], pa.array(key.astype(np.int64)), none, none, pa.nulls(len(pair), pa.bool_()))
+            line = unpacked(raw, LINE)
+            line = line[np.lexsort((line["line"], line["hash"], line["id"], line["other"], line["set"]))]
+            line = line[np.concatenate(([True], line[1:] != line[:-1]))]
+            first = np.ones(len(line), bool)
+            first[1:] = (line["set"][1:] != line["set"][:-1]) | (line["other"][1:] != line["other"][:-1])
+            places = [pa.array(line[n].astype(np.int64)) for n in ("id", "hash", "line")]
+            return _as_rows(1, line["set"].view(np.int64), line["other"].view(np.int64), *places, pa.array(first))
+
+        dealt = self.rows.mapInArrow(post, "kind int, part bigint, blob binary")
+        schema = "kind int, x bigint, y bigint, id bigint, hash bigint, line bigint, first boolean"
+        return dealt.groupBy("kind", "part").applyInArrow(join, schema)
+
+    def words(self, sets: np.ndarray) -> DataFrame:
+        """``set`` and ``words`` of the lines whose set is in a filter, from the texts."""
+        table, bits = self.table, self.share(sets)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in text_slices(batches, "_text", SLICE):
+                ids = batch.column("_id").to_numpy(zero_copy_only=False)
+                if (found := line_sets(batch.column("_text"), table.value, ids)) is None:
+                    continue
+                text, number, one, two, _ = found
+                some = np.flatnonzero(_in(bits.value, one))
+                some = some[np.unique(one[some], return_index=True)[1]]
+                lines = pc.split_pattern(batch.column("_text"), "\n")
+                starts = lines.offsets.to_numpy().astype(np.int64) - lines.offsets[0].as_py()
+                own = lines.flatten().take(pa.array(starts[text[some]] + number[some]))
+                yield pa.RecordBatch.from_arrays([pa.array(one[some].view(np.int64)), pa.array(two[some].view(np.int64)), own], names=["set", "other", "line"])
+
+        found = self.rows.mapInArrow(run, "set bigint, other bigint, line string").dropDuplicates(["set", "other"])
+        return found.select("set", "other", _set_of(F.col("line")).alias("words"))
+
+
+def _blobs(kind: int, records: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(part, kind="stable")
+    records, part = records[order], part[order]
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    raw = [packed(r) for r in np.split(records, cuts[1:])] if len(records) else []
+    columns = [pa.array([kind] * len(raw), pa.int32()), pa.array(part[cuts], pa.int64()), pa.array(raw, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "part", "blob"])
 
 
 def _as_rows(kind: int, x: np.ndarray, y: np.ndarray, id_, hash_, line, first) -> pa.Table:
@@ -269,29 +371,32 @@ def _set_of(line: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
 
 
+def _verified(pairs: DataFrame, heads: DataFrame, join: Join) -> DataFrame:
+    """``x`` and first place ``p`` of the sets in ``pairs`` that are similar to an earlier one of their candidates."""
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
+    words = written(join.words(bit_filter(ends, "set")), "line-words")
+    known = heads.join(words, ["set", "other"]).select("set", "at", "words")
+    left = known.select(F.col("set").alias("x"), F.col("at").alias("p"), F.col("words").alias("v"))
+    right = known.select(F.col("set").alias("y"), F.col("at").alias("q"), F.col("words").alias("w"))
+    same = F.size(F.array_intersect("v", "w"))
+    near = pairs.join(left, "x").join(right, "y").filter((9 * same >= 4 * (F.size("v") + F.size("w"))) & (F.col("q") < F.col("p")))
+    return near.select("x", "p").distinct()
+
+
 def repeated_lines(keyed: DataFrame) -> DataFrame:
     """``_id``, ``_hash``, ``line`` of every line that goes. ``keyed`` is ``_keyed`` of the documents."""
-    texts = keyed.select(F.col("_text").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    found = written(_lines_and_pairs(keyed, word_table(texts), max(1, size // PART_BYTES)), "line-pairs")
+    join = Join(keyed)
+    found = written(join.lines_and_pairs(), "line-pairs")
     copies = found.filter("kind = 1 and not first").select("id", "hash", "line")
-    heads = found.filter("kind = 1 and first").select(F.col("x").alias("set"), F.struct("id", "hash", "line").alias("at"))
-    pairs = found.filter("kind = 0").select("x", "y").distinct()
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
-    # The words of the candidates, from the texts that hold them.
-    asked = heads.join(ends, "set").groupBy(F.col("at.id").alias("_id"), F.col("at.hash").alias("_hash"))
-    asked = asked.agg(F.collect_list(F.struct("set", "at")).alias("asked"))
-    own = keyed.select("_id", "_hash", "_text").join(asked, ["_id", "_hash"])
-    words = own.select(F.split("_text", "\n").alias("lines"), F.explode("asked").alias("a")).select(
-        "a.set", "a.at", _set_of(F.get("lines", F.col("a.at.line").cast("int"))).alias("words")
-    )
-    words = written(words.dropDuplicates(["set", "at"]), "line-sets")
-    left = words.select(F.col("set").alias("x"), F.col("at").alias("p"), F.col("words").alias("v"))
-    right = words.select(F.col("set").alias("y"), F.col("at").alias("q"), F.col("words").alias("w"))
-    same = F.size(F.array_intersect("v", "w"))
-    near = pairs.join(left, "x").join(right, "y").filter(9 * same >= 4 * (F.size("v") + F.size("w")))
-    later = near.select(F.greatest("p", "q").alias("at")).select("at.id", "at.hash", "at.line").distinct()
-    gone = copies.union(later)
+    heads = found.filter("kind = 1 and first").select(F.col("x").alias("set"), F.col("y").alias("other"), F.struct("id", "hash", "line").alias("at"))
+    named = found.filter("kind = 0").select("x", "y", F.col("id").alias("word"))
+    gone = written(_verified(named.select("x", "y").distinct(), heads, join), "line-gone")
+    # Two sets of one hash share ``x``: both stay open unless both are gone, and a verdict twice does no harm.
+    open_ = written(named.join(gone, "x", "left_anti").select("x", "word").distinct(), "line-open")
+    sets, words = bit_filter(open_, "x"), bit_filter(open_, "word")
+    more = join.all_pairs(sets, words).select("x", "y").distinct().join(named.select("x", "y"), ["x", "y"], "left_anti")
+    later = gone.union(_verified(written(more, "line-more"), heads, join)).select("p.id", "p.hash", "p.line")
+    gone = copies.union(later).distinct()
     return gone.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("line").cast("int").alias("line"))
 
 
