@@ -27,6 +27,8 @@ from colloquy.llm.store import written
 from colloquy.llm.words import WORD
 
 BLOCK_TOKENS = 10_000
+#: Blocks that a small source is cut into, so that its budget is met closely.
+LEAST_BLOCKS = 64
 #: Share of the largest possible entropy that the weights aim at, and the most epochs of a source.
 TARGET_ENTROPY = 0.98
 MOST_REPEATS = 4.0
@@ -113,7 +115,7 @@ def plan(
     sources = (
         shares.withColumn("weight", power / F.lit(norm))
         .withColumn("budget", F.floor(F.col("weight") * F.lit(budget) + F.lit(0.5)))
-        .withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))))
+        .withColumn("n_blocks", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("tokens") / F.lit(block_tokens))))
         .withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(1)))
         .withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("full") * F.col("tokens")).otherwise(F.lit(-1)))
     )

@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +32,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
 #: Distinct words that a worker remembers between batches; beyond it, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 
 # Writer settings of the file format.
 LAYOUT = {
@@ -60,7 +60,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        # Ids of a word as packed integers, two bytes each where the vocabulary allows.
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of the texts, each closed by ``end_id``."""
@@ -72,11 +74,12 @@ class WordEncoder:
         for start in range(0, len(new), 10_000):
             some = new[start : start + 10_000]
             for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = coded.ids
+                self.known[word] = array(self.kind, coded.ids).tobytes()
         each = list(map(self.known.__getitem__, words))
-        lengths = np.fromiter(map(len, each), np.int64, len(each))
+        kind = np.dtype(self.kind)
+        lengths = np.fromiter(map(len, each), np.int64, len(each)) // kind.itemsize
         starts = np.cumsum(lengths) - lengths
-        flat = np.fromiter(chain.from_iterable(each), np.int32, int(lengths.sum()))
+        flat = np.frombuffer(b"".join(each), kind).astype(np.int32)
         sizes = lengths[codes]
         until = np.concatenate(([0], np.cumsum(sizes)))
         ids = flat[np.repeat(starts[codes] - until[:-1], sizes) + np.arange(until[-1])]
