@@ -32,7 +32,7 @@ from colloquy.llm.words import text_slices
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LONG_PIECE = 1024
 #: Distinct pieces that a worker remembers between batches; beyond it, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 NONE = np.int32(np.iinfo(np.int32).max)
 PAD = np.int32(-1)

@@ -34,7 +34,7 @@ BUCKETS = 1 << 20
 HOT = 1 << 16
 #: Bytes of text whose postings one task joins.
 PART_BYTES = 4 << 20
-SLICE = 6 << 20
+SLICE = 3 << 20
 #: Sets up to this size have 64 parities; larger ones have 128.
 FOLDED = 128
 #: Bits of the filters that tell which sets or words a further pass needs; they may let through more.

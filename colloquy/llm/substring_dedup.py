@@ -31,7 +31,7 @@ from colloquy.llm.words import WORD, hashes, mixed, split, text_slices
 WINDOW = 35
 K = 8
 FILTER = 1 << 24
-SLICE = 4 << 20
+SLICE = 3 << 20
 _CHUNK = 1 << 18
 _STEP = 1 << 15
 

@@ -32,7 +32,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
 #: Distinct words that a worker remembers between batches; beyond it, it starts anew.
-REMEMBERED = 900_000
+REMEMBERED = 700_000
 
 # Writer settings of the file format.
 LAYOUT = {

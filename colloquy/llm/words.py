@@ -18,7 +18,7 @@ SPACES = r"\x20\x09-\x0D"
 WORD = f"[^{SPACES}]+"
 
 #: Bytes of text handled at once in a task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def text_slices(
@@ -53,6 +53,8 @@ def text_slices(
                 held, size = [], 0
     if held:
         yield _joined(held)
+    held.clear()
+    pa.default_memory_pool().release_unused()  # workers stay, and share their executor's memory
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
