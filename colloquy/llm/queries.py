@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import ann, byte_bpe, class_lm, line_dedup, mixing, quality, secrets, simhash, substring_dedup, token_files
+from colloquy.llm import ann, byte_bpe, class_lm, line_dedup, mixing, oracles, quality, secrets, simhash, substring_dedup, token_files
 from colloquy.llm.store import reachable, shared_folder
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,6 @@ QUERIES: dict[str, Run] = {
 
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
