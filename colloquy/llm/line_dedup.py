@@ -241,14 +241,22 @@ def _in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
-def bit_filter(rows: DataFrame, column: str) -> np.ndarray:
-    """A bit for each hash value in a column of longs; a fixed size whatever the number of rows."""
+def place_keys(ids: np.ndarray, text_hash: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A hash of a line's place: id and hash of its text, and its number."""
+    own = _mix(ids.astype(np.int64).view(np.uint64), 0x9E3779B97F4A7C15) ^ text_hash.astype(np.int64).view(np.uint64)
+    return _mix(own + number.astype(np.uint64), 0xC2B2AE3D27D4EB4F)
+
+
+def bit_filter(rows: DataFrame, *columns: str) -> np.ndarray:
+    """A bit for each hash value in a column of longs, or for each place in three; a fixed size whatever the number of rows."""
     step = _CHUNK * 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BITS, np.uint8)
         for batch in batches:
-            bits[(batch.column("v").to_numpy().view(np.uint64) % np.uint64(BITS)).astype(np.int64)] = 1
+            values = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
+            values = place_keys(*values) if len(values) > 1 else values[0].view(np.uint64)
+            bits[(values % np.uint64(BITS)).astype(np.int64)] = 1
         starts = [s for s in range(0, BITS, step) if bits[s : s + step].any()]
         raw = [np.packbits(bits[s : s + step], bitorder="little").tobytes() for s in starts]
         yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(raw, pa.binary())], names=["start", "bits"])
@@ -258,7 +266,7 @@ def bit_filter(rows: DataFrame, column: str) -> np.ndarray:
         return pa.table({"start": table.column("start").slice(0, 1), "bits": pa.array([both.tobytes()], pa.binary())})
 
     out, schema = np.zeros(BITS // 8, np.uint8), "start bigint, bits binary"
-    seen = rows.select(F.col(column).alias("v")).mapInArrow(run, schema).groupBy("start").applyInArrow(merge, schema)
+    seen = rows.select(*columns).mapInArrow(run, schema).groupBy("start").applyInArrow(merge, schema)
     for row in seen.collect():
         out[row["start"] // 8 : (row["start"] + step) // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
@@ -332,25 +340,23 @@ class Join:
         schema = "kind int, x bigint, y bigint, id bigint, hash bigint, line bigint, first boolean"
         return dealt.groupBy("kind", "part").applyInArrow(join, schema)
 
-    def words(self, sets: np.ndarray) -> DataFrame:
-        """``set`` and ``words`` of the lines whose set is in a filter, from the texts."""
-        table, bits = self.table, self.share(sets)
+    def lines(self, places: np.ndarray) -> DataFrame:
+        """``id``, ``hash``, ``line`` and ``words`` of the lines whose place is in a filter; the texts are cut into lines only."""
+        bits = self.share(places)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in text_slices(batches, "_text", SLICE):
-                ids = batch.column("_id").to_numpy(zero_copy_only=False)
-                if (found := line_sets(batch.column("_text"), table.value, ids)) is None:
-                    continue
-                text, number, one, two, _ = found
-                some = np.flatnonzero(_in(bits.value, one))
-                some = some[np.unique(one[some], return_index=True)[1]]
-                lines = pc.split_pattern(batch.column("_text"), "\n")
-                starts = lines.offsets.to_numpy().astype(np.int64) - lines.offsets[0].as_py()
-                own = lines.flatten().take(pa.array(starts[text[some]] + number[some]))
-                yield pa.RecordBatch.from_arrays([pa.array(one[some].view(np.int64)), pa.array(two[some].view(np.int64)), own], names=["set", "other", "line"])
+                cut = pc.split_pattern(batch.column("_text"), "\n")
+                starts = cut.offsets.to_numpy().astype(np.int64)
+                text = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+                number = np.arange(len(text)) - (starts[:-1] - starts[0])[text]
+                ids, text_hash = (batch.column(n).to_numpy(zero_copy_only=False)[text] for n in ("_id", "_hash"))
+                some = np.flatnonzero(_in(bits.value, place_keys(ids, text_hash, number)))
+                columns = [pa.array(x[some], pa.int64()) for x in (ids, text_hash, number)]
+                yield pa.RecordBatch.from_arrays([*columns, cut.flatten().take(pa.array(some))], names=["id", "hash", "line", "text"])
 
-        found = self.rows.mapInArrow(run, "set bigint, other bigint, line string").dropDuplicates(["set", "other"])
-        return found.select("set", "other", _set_of(F.col("line")).alias("words"))
+        found = self.rows.mapInArrow(run, "id bigint, hash bigint, line bigint, text string").dropDuplicates(["id", "hash", "line"])
+        return found.select("id", "hash", "line", _set_of(F.col("text")).alias("words"))
 
 
 def _blobs(kind: int, records: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
@@ -374,8 +380,9 @@ def _set_of(line: Column) -> Column:
 def _verified(pairs: DataFrame, heads: DataFrame, join: Join) -> DataFrame:
     """``x`` and first place ``p`` of the sets in ``pairs`` that are similar to an earlier one of their candidates."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
-    words = written(join.words(bit_filter(ends, "set")), "line-words")
-    known = heads.join(words, ["set", "other"]).select("set", "at", "words")
+    needed = written(heads.join(ends, "set").select("set", "at", "at.*"), "line-heads")
+    lines = join.lines(bit_filter(needed, "id", "hash", "line"))
+    known = written(needed.join(lines, ["id", "hash", "line"]).select("set", "at", "words"), "line-words")
     left = known.select(F.col("set").alias("x"), F.col("at").alias("p"), F.col("words").alias("v"))
     right = known.select(F.col("set").alias("y"), F.col("at").alias("q"), F.col("words").alias("w"))
     same = F.size(F.array_intersect("v", "w"))
