@@ -43,6 +43,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def first_tokens_pattern(n: int) -> str:
+    """The start of a text up to the end of its ``n``-th token."""
+    return rf"^(?:[\s\x{{a0}}\x{{3000}}]*(?:{TOKEN})){{0,{n}}}"
+
+
+def first_tokens(text: Column, n: int) -> Column:
+    """``text`` up to the end of its ``n``-th token; the rest is not looked at."""
+    return F.regexp_extract(text, first_tokens_pattern(n), 0)
+
+
 def token_count(text: Column) -> Column:
     """Length of ``text`` under the built-in token rule."""
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))

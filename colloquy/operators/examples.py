@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions.plan import let, with_computed
-from colloquy.functions.text import py_strip, token_count, token_id, tokens
+from colloquy.functions.text import first_tokens, py_strip, token_count, token_id, tokens
 
 # Two utterances per window, the 3rd to the 26th utterance of a dialogue.
 WINDOWS = tuple((start, start + 1) for start in range(3, 27, 2))
@@ -24,6 +24,8 @@ BOS = "<bos>"
 
 PAD_ID, BOS_ID, EOS_ID, RESERVED_IDS = 0, 2, 1, 4
 VOCAB = 256_000
+#: Stand for the leading id and the padding in a text; one token each under the built-in rule.
+BOS_MARK, PAD_MARK = "\ue000", "\ue001"
 
 SPLIT_BUCKETS = 4096
 
@@ -201,7 +203,7 @@ def profile_examples(df: DataFrame, size: Column) -> DataFrame:
 
 def tokenize_pad(df: DataFrame, text: str = "text", max_len: int = MAX_TOKENS) -> DataFrame:
     """``input_ids`` and ``attention_mask`` of exactly ``max_len`` under the built-in token rule."""
-    first = F.slice(tokens(F.col(text)), 1, max_len - 1)
+    first = tokens(first_tokens(F.col(text), max_len - 1))
     kept = F.concat(F.array(F.lit(BOS_ID)), F.transform(first, lambda t: token_id(t, VOCAB, RESERVED_IDS)))
     missing = F.lit(max_len) - F.size("_kept")
     return (
@@ -347,6 +349,19 @@ def pattern_span_mask(
     return df.withColumn(mask, F.when(F.size(mask) > 0, merged).otherwise(F.col(mask)))
 
 
+def tokenize_mask(df: DataFrame, text: str = "text", max_len: int = MAX_TOKENS, **spans) -> DataFrame:
+    """``tokenize_pad`` with the mask of ``pattern_span_mask``, both on one tokenisation.
+
+    The mask looks at the text the ids stand for: cut at ``max_len``, with the leading id in the first sentence and the
+    padding in the last, so its positions are those of ``input_ids``. ``spans`` go to ``pattern_span_mask``.
+    """
+    cut = with_computed(df, _cut=first_tokens(F.col(text), max_len - 1))
+    padded = tokenize_pad(cut, "_cut", max_len)
+    padding = F.repeat(F.lit(PAD_MARK), F.size(F.array_remove("attention_mask", 1)))
+    whole = with_computed(padded, _whole=F.concat(F.lit(BOS_MARK), "_cut", padding))
+    return pattern_span_mask(whole, "_whole", **spans).drop("_cut", "_whole")
+
+
 def shuffle_key(seed: int, *keys: str) -> Column:
     """Pseudo-random order of rows that depends on their keys only, not on partitioning."""
     return F.xxhash64(F.lit(seed), *keys)

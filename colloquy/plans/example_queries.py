@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import TOKEN, token_count
+from colloquy.functions.text import TOKEN, first_tokens_pattern, token_count
 from colloquy.operators import examples as E
 from colloquy.operators import transcripts as X
 from colloquy.plans.inputs import SPOKEN, dialogue_turns, table
@@ -193,10 +193,10 @@ def _tokens_sql(text):
     return f"len(regexp_extract_all({text}, '{TOKEN}'))"
 
 
-def _mask_sql(before):
-    return f"""WITH parts AS (
+def _mask_sql(before, source="documents", ctes="", kept="0"):
+    return f"""WITH {ctes} parts AS (
   SELECT doc_id, unnest(string_split(text, '{LATIN_END}')) AS sentence,
-         generate_subscripts(string_split(text, '{LATIN_END}'), 1) AS pos FROM documents)
+         generate_subscripts(string_split(text, '{LATIN_END}'), 1) AS pos FROM {source})
 , sentences AS (
   SELECT doc_id, sentence, {_tokens_sql("sentence")} AS size,
          coalesce(sum({_tokens_sql(f"sentence || '{LATIN_END}'")}) OVER (PARTITION BY doc_id ORDER BY pos
@@ -207,14 +207,17 @@ def _mask_sql(before):
   FROM sentences, {_PATTERN_VALUES} WHERE contains(sentence, pattern))
 , marked AS (
   SELECT DISTINCT doc_id, i FROM spans, LATERAL (SELECT unnest(generate_series(greatest(lo, 0)::BIGINT, least(hi, {E.MAX_TOKENS})::BIGINT - 1)) AS i)
-  UNION SELECT doc_id, unnest([0, {E.MAX_TOKENS - 1}]) FROM documents)
+  UNION SELECT doc_id, unnest([0, {E.MAX_TOKENS - 1}] || generate_series(0, {kept})) FROM {source})
 SELECT doc_id, count(*) AS n_marked, sum(i)::BIGINT AS position_sum, sum(i * i)::BIGINT AS square_sum FROM marked GROUP BY 1"""
 
 
 def _span_mask(spark, sf_dir, anchor):
     blank = F.array_repeat(F.lit(0), E.MAX_TOKENS)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("attention_mask", blank)
-    masked = E.pattern_span_mask(documents, patterns=LATIN_PATTERNS, end=LATIN_END, anchor=anchor)
+    return _marked(E.pattern_span_mask(documents, patterns=LATIN_PATTERNS, end=LATIN_END, anchor=anchor))
+
+
+def _marked(masked):
     positions = F.filter(
         F.transform("attention_mask", lambda m, i: F.when(m == 1, i.cast("bigint"))), lambda i: i.isNotNull()
     )
@@ -237,6 +240,18 @@ def pattern_span_mask_actual(spark, sf_dir):
     return _span_mask(spark, sf_dir, "actual")
 
 
+_DECODED = f"""first AS (SELECT doc_id, regexp_extract(text, '{first_tokens_pattern(E.MAX_TOKENS - 1)}') AS p FROM documents)
+, decoded AS (SELECT doc_id, {_tokens_sql("p")} AS kept,
+  '{E.BOS_MARK}' || p || repeat('{E.PAD_MARK}', {E.MAX_TOKENS - 1} - {_tokens_sql("p")}) AS text FROM first),"""
+
+
+@query(_mask_sql(f"size - {_tokens_sql('pattern')}", "decoded", _DECODED, "kept"))
+def tokenize_mask(spark, sf_dir):
+    """Ids and mask from one tokenisation of the text that the ids stand for."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _marked(E.tokenize_mask(documents, patterns=LATIN_PATTERNS, end=LATIN_END))
+
+
 @query("SELECT doc_id, n_chars FROM documents")
 def seeded_shuffle(spark, sf_dir):
     return E.seeded_shuffle(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 42, "doc_id")

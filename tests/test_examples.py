@@ -1,6 +1,7 @@
 """Training examples: windows, checks, masks and splits."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,8 +95,6 @@ def test_pattern_hits(spark):
 
 
 def brute_mask(text, mask, patterns, end, anchor, pad=2):
-    import re
-
     def size(s):
         return len(re.findall(TOKEN, s))
 
@@ -113,6 +112,21 @@ def brute_mask(text, mask, patterns, end, anchor, pad=2):
     return out
 
 
+@pytest.mark.parametrize("anchor", ["tail", "actual"])
+def test_mask_stands_on_the_ids(spark, anchor):
+    rng = random.Random(4)
+    words = ["かね", "では", "君は", "猫", "word ", " ", "。", "\u3000", "ではないかね"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(80)] + ["dog かね。", "。かね"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    plain = {r["i"]: r for r in E.tokenize_pad(df, max_len=24).collect()}
+    for r in E.tokenize_mask(df, max_len=24, anchor=anchor).collect():
+        own = re.findall(TOKEN, r["text"])
+        ends = [m.end() for m in re.finditer(TOKEN, r["text"])][:23]
+        whole = E.BOS_MARK + r["text"][: ends[-1] if ends else 0] + E.PAD_MARK * max(0, 23 - len(own))
+        assert r["input_ids"] == plain[r["i"]]["input_ids"]
+        assert r["attention_mask"] == brute_mask(whole, plain[r["i"]]["attention_mask"], E.PATTERNS, "。", anchor)
+
+
 @pytest.mark.parametrize("anchor", ["tail", "actual"])
 def test_span_mask_matches_brute_force(spark, anchor):
     rng = random.Random(2)
