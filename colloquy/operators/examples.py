@@ -382,25 +382,33 @@ def train_eval_split(
 ) -> DataFrame:
     """Exact split by rank: the first ``int(n * fraction)`` rows train, the next ``eval_cap`` evaluate.
 
-    Adds ``split`` (``train``, ``eval`` or ``unused``). ``bucket`` is an order-preserving coarsening
-    of ``rank_by`` with at most ``SPLIT_BUCKETS`` values; by default the top 12 bits of a hash.
-    Bucket sizes decide every bucket that lies wholly on one side. Only the rows of a bucket that
-    holds a border are ranked, so nothing is ever ordered in a single task. ``keys`` identify a row
-    and break ties.
+    Adds ``split`` (``train``, ``eval`` or ``unused``). ``rank_by`` is a bigint, such as a hash. ``bucket`` is an
+    order-preserving coarsening of it with at most ``SPLIT_BUCKETS`` values (more raise an error); by default the
+    top 12 bits. Bucket sizes decide every bucket that lies wholly on one side. A bucket that holds a border is cut
+    into ``SPLIT_BUCKETS`` even ranges of its ranks and decided likewise; only the ranges that hold the border are
+    ranked row by row, which for hashes is one row in ``SPLIT_BUCKETS`` squared. ``keys`` identify a row and break
+    ties.
     """
     n_bits = SPLIT_BUCKETS.bit_length() - 1
     coarse = F.shiftright(rank_by, 64 - n_bits) if bucket is None else bucket
     keyed = df.withColumn("_rank", rank_by).withColumn("_bucket", coarse.cast("bigint"))
-    sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    sizes = keyed.groupBy("_bucket").agg(
+        F.count("*").alias("_size"), F.min("_rank").alias("_low"), F.max("_rank").alias("_high")
+    )
     # at most SPLIT_BUCKETS rows from here to the join
     running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    too_many = F.raise_error(F.lit(f"bucket has more than {SPLIT_BUCKETS} values"))
     borders = sizes.select(
         "_bucket",
+        "_low",
+        (F.expr("(_high - _low) div {}".format(SPLIT_BUCKETS)) + 1).alias("_step"),
         (F.sum("_size").over(running) - F.col("_size")).alias("_before"),
         F.sum("_size").over(running).alias("_through"),
         F.floor(F.sum("_size").over(everything) * F.lit(train_fraction)).alias("_train"),
-        F.sum("_size").over(everything).alias("_n"),
+        F.when(F.count("*").over(everything) <= SPLIT_BUCKETS, F.sum("_size").over(everything))
+        .otherwise(too_many.cast("bigint"))
+        .alias("_n"),
     ).withColumn(
         "_eval", F.least(F.col("_train") + eval_cap, "_n") if eval_cap is not None else F.col("_n")
     )
@@ -414,11 +422,22 @@ def train_eval_split(
 
     contested = cut_inside("_train") | cut_inside("_eval")
     whole = placed.filter(~contested).withColumn("split", side(F.col("_before")))
-    in_bucket = Window.partitionBy("_bucket").orderBy("_rank", *keys)
-    ranked = placed.filter(contested).withColumn(
-        "split", side(F.col("_before") + F.row_number().over(in_bucket) - 1)
+    # two buckets at most hold a border, so there are at most 2 * SPLIT_BUCKETS ranges
+    cut = placed.filter(contested).withColumn("_range", F.expr("(_rank - _low) div _step"))
+    up_to = Window.partitionBy("_bucket").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = (
+        cut.groupBy("_bucket", "_range", "_before")
+        .agg(F.count("*").alias("_size"))
+        .withColumn("_through", F.col("_before") + F.sum("_size").over(up_to))
+        .withColumn("_before", F.col("_through") - F.col("_size"))
+        .drop("_size")
     )
-    return whole.unionByName(ranked).drop("_rank", "_bucket", "_before", "_through", "_train", "_eval", "_n")
+    finer = cut.drop("_before", "_through").join(F.broadcast(ranges), ["_bucket", "_range"])
+    in_range = Window.partitionBy("_bucket", "_range").orderBy("_rank", *keys)
+    decided = finer.filter(~contested).withColumn("split", side(F.col("_before")))
+    ranked = finer.filter(contested).withColumn("split", side(F.col("_before") + F.row_number().over(in_range) - 1))
+    out = [*df.columns, "split"]
+    return whole.select(*out).unionByName(decided.select(*out)).unionByName(ranked.select(*out))
 
 
 def bucket_split(df: DataFrame, seed: int, *group_keys: str, train_fraction: float = 0.8) -> DataFrame:
