@@ -165,6 +165,18 @@ def test_exact_split_follows_the_rank(spark):
     assert [s for *_, s in order] == ["train"] * 160 + ["eval"] * 30 + ["unused"] * 10
 
 
+def test_exact_split_with_all_rows_in_one_bucket(spark):
+    df = spark.range(30_000).withColumn("h", F.col("id") * 1000 - 5_000_000)
+    out = E.train_eval_split(df, F.col("h"), "id", bucket=F.lit(0)).collect()
+    assert [r["split"] for r in sorted(out, key=lambda r: r["h"])] == ["train"] * 24_000 + ["eval"] * 50 + ["unused"] * 5_950
+
+
+def test_exact_split_refuses_too_many_buckets(spark):
+    df = spark.range(E.SPLIT_BUCKETS + 1)
+    with pytest.raises(Exception, match="more than"):
+        E.train_eval_split(df, F.col("id"), "id", bucket=F.col("id")).collect()
+
+
 def test_bucket_split_keeps_groups_together(spark):
     df = spark.range(3000).withColumn("g", F.col("id") % 300)
     out = E.bucket_split(df.repartition(6), 7, "g")
