@@ -180,6 +180,16 @@ def test_simhash(docs, empty, texts):
     assert simhash.grouped(empty).count() == 0
 
 
+def test_keep_one_of_components_that_share_an_id(spark):
+    rng = random.Random(11)
+    unlike = [" ".join(str(rng.getrandbits(30)) for _ in range(80)) for _ in range(5)]
+    prints = [brute_fingerprint(t) for t in unlike]
+    assert all((a ^ b).bit_count() > 2 for i, a in enumerate(prints) for b in prints[:i])
+    rows = [(None, unlike[0]), (None, unlike[1]), (None, unlike[2]), (None, unlike[2]), (1, unlike[3]), (1, unlike[4]), (2, unlike[4])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted({*rows[:3], *rows[4:6]}, key=repr)
+
+
 def test_shards_lose_no_link(spark):
     rng = random.Random(2)
     prints = set()
