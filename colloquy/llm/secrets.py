@@ -2,7 +2,7 @@
 
 Base kinds are found by a pattern each, leftmost and non-overlapping: ``assign`` (a named value),
 ``access`` (an access key id) and ``hex`` (a long hexadecimal run). Weak parts are an ``ident`` (a user or
-client name), a ``secret`` (a random-looking run) and an endpoint (a URL's host). An identifier is an access
+client name), a ``secret`` (a random-looking run, however long) and an endpoint (a URL's host). An identifier is an access
 key id or an ident. A weak secret is reported only if an identifier or an endpoint lies in its scope, an
 ident only if a weak secret or an assigned value does. The scope of a part is its text from
 ``SCOPE`` code points before it to ``SCOPE`` after it.
@@ -34,10 +34,9 @@ _BLOCK = 128
 class Kind(NamedTuple):
     name: str
     pattern: str
-    #: The match group with the value, and the length it must have.
+    #: The match group with the value, and the least length it must have.
     group: int
     least: int
-    most: int | None = None
     #: Patterns that the value must hold besides.
     also: tuple[str, ...] = ()
 
@@ -51,7 +50,7 @@ BASE = (
 #: Weak parts, reported when linked; an endpoint only helps to link.
 WEAK = (
     Kind("ident", r"""((?i:user(?:name)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 2, 3),
-    Kind("secret", r"[A-Za-z0-9/+_-]{32,}", 0, 32, 128, ("[0-9]", "[A-Z]", "[a-z]")),
+    Kind("secret", r"[A-Za-z0-9/+_-]{32,}", 0, 32, ("[0-9]", "[A-Z]", "[a-z]")),
 )
 ENDPOINT = Kind("endpoint", r"(?:https?|jdbc:[a-z]+|s3|ftp)://[A-Za-z0-9.-]+", 0, 8)
 ORDER = {kind.name: number for number, kind in enumerate((*BASE, *WEAK))}
@@ -104,8 +103,6 @@ def spans(text: Column, kind: Kind, number: int) -> Column:
     def good(m: Column) -> Column:
         size = F.length(m["value"])
         out = size >= kind.least
-        if kind.most is not None:
-            out = out & (size <= kind.most)
         for pattern_ in kind.also:
             out = out & m["value"].rlike(pattern_)
         return out
