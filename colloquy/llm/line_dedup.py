@@ -11,7 +11,8 @@ similar, and pass the positional filter and a filter on 64 or 128 parities of th
 A line needs one earlier line only: for each word it first names one candidate, the earliest that passes, so a group
 of near copies makes as many pairs as lines. Candidates are verified on their words. Lines whose candidates all failed
 are joined again, with all candidates of the words that named one. Equal sets (told by 128 bits) are one class from the start, so
-copies form no pairs. A word that more than ``HOT`` lines hold is dealt to cells, two parts of its lines each.
+copies form no pairs: a batch sends the first line of each of its sets to the set's part; the others are copies at
+once, and go to parts by their place, however often a line occurs. A word that more than ``HOT`` lines hold is dealt to cells, two parts of its lines each.
 
 Nulls: a null text has no lines and stays null; a null ``doc_id`` comes last. Repeated rows (same id and text) are one
 document and get the same result. Empty tables give empty tables. All columns travel in a struct, so names cannot clash.
@@ -48,6 +49,8 @@ POSTING = np.dtype(
 )
 #: A line: both hashes of its set, and where it is.
 LINE = np.dtype([("set", "<u8"), ("other", "<u8"), ("id", "<i8"), ("hash", "<i8"), ("line", "<i4")])
+#: A line that goes because an earlier one of its batch has the same set.
+COPY = np.dtype([("id", "<i8"), ("hash", "<i8"), ("line", "<i4")])
 
 
 def packed(records: np.ndarray) -> bytes:
@@ -168,6 +171,15 @@ def _celled(posting: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate((posting[rest], dealt))
 
 
+def firsts(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines by set and place, each place once, and whether each is the first of its set."""
+    line = line[np.lexsort((line["line"], line["hash"], line["id"], line["other"], line["set"]))]
+    line = line[np.concatenate(([True], line[1:] != line[:-1]))]
+    first = np.ones(len(line), bool)
+    first[1:] = (line["set"][1:] != line["set"][:-1]) | (line["other"][1:] != line["other"][:-1])
+    return line, first
+
+
 def candidates(posting: np.ndarray, every: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (set, candidate) that share a posted word and pass the length, positional and parity filters, and the words.
 
@@ -293,7 +305,7 @@ class Join:
         self.table = self.share(word_table(texts))
 
     def lines_and_pairs(self) -> DataFrame:
-        """Lines (``kind`` 1: both set hashes in ``x``, ``y``, place, and whether first of their set), and pairs (``kind`` 0: set,
+        """Lines (``kind`` 1: both set hashes in ``x``, ``y``, which some copies lack, place, and whether first of their set), and pairs (``kind`` 0: set,
         candidate, and the word in ``id``)."""
         return self._joined(None, None)
 
@@ -301,7 +313,8 @@ class Join:
         """All candidates of the sets in a filter, by the words in another."""
         return self._joined(self.share(sets), self.share(words))
 
-    def _joined(self, sets, words) -> DataFrame:
+    def dealt(self, words=None) -> DataFrame:
+        """Blobs by ``kind`` and ``part``: postings (0), the first line of each set of a batch (1), and copies of those (2)."""
         parts, table = self.parts, self.table
 
         def part_of(key: np.ndarray) -> np.ndarray:
@@ -320,25 +333,32 @@ class Join:
                 line = np.empty(len(text), LINE)
                 line["set"], line["other"], line["line"], line["id"], line["hash"] = one, two, number, ids[text], text_hash[text]
                 yield _blobs(0, posting, part_of(posting["key"]))
+                line, first = firsts(line)
+                copy, line = line[~first], line[first]
+                place = place_keys(copy["id"], copy["hash"], copy["line"].astype(np.int64))
                 yield _blobs(1, line, (line["set"] % np.uint64(parts)).astype(np.int64))
+                yield _blobs(2, copy[list(COPY.names)].astype(COPY), (place % np.uint64(parts)).astype(np.int64))
 
+        return self.rows.mapInArrow(post, "kind int, part bigint, blob binary")
+
+    def _joined(self, sets, words) -> DataFrame:
         def join(table: pa.Table) -> pa.Table:
             raw = table.column("blob").to_pylist()
-            if table.column("kind")[0].as_py() == 0:
+            kind = table.column("kind")[0].as_py()
+            if kind == 0:
                 pair, key = candidates(unpacked(raw, POSTING), None if sets is None else sets.value)
                 pair, none = pair.view(np.int64), pa.nulls(len(pair), pa.int64())
                 return _as_rows(0, pair[:, 0], pair[:, 1], pa.array(key.astype(np.int64)), none, none, pa.nulls(len(pair), pa.bool_()))
-            line = unpacked(raw, LINE)
-            line = line[np.lexsort((line["line"], line["hash"], line["id"], line["other"], line["set"]))]
-            line = line[np.concatenate(([True], line[1:] != line[:-1]))]
-            first = np.ones(len(line), bool)
-            first[1:] = (line["set"][1:] != line["set"][:-1]) | (line["other"][1:] != line["other"][:-1])
-            places = [pa.array(line[n].astype(np.int64)) for n in ("id", "hash", "line")]
+            if kind == 2:
+                copy = unpacked(raw, COPY)
+                places, none = [pa.array(copy[n].astype(np.int64)) for n in COPY.names], pa.nulls(len(copy), pa.int64())
+                return _as_rows(1, none, none, *places, pa.array(np.zeros(len(copy), bool)))
+            line, first = firsts(unpacked(raw, LINE))
+            places = [pa.array(line[n].astype(np.int64)) for n in COPY.names]
             return _as_rows(1, line["set"].view(np.int64), line["other"].view(np.int64), *places, pa.array(first))
 
-        dealt = self.rows.mapInArrow(post, "kind int, part bigint, blob binary")
         schema = "kind int, x bigint, y bigint, id bigint, hash bigint, line bigint, first boolean"
-        return dealt.groupBy("kind", "part").applyInArrow(join, schema)
+        return self.dealt(words).groupBy("kind", "part").applyInArrow(join, schema)
 
     def lines(self, places: np.ndarray) -> DataFrame:
         """``id``, ``hash``, ``line`` and ``words`` of the lines whose place is in a filter; the texts are cut into lines only."""
@@ -368,8 +388,9 @@ def _blobs(kind: int, records: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["kind", "part", "blob"])
 
 
-def _as_rows(kind: int, x: np.ndarray, y: np.ndarray, id_, hash_, line, first) -> pa.Table:
-    columns = [pa.array(np.full(len(x), kind, np.int32)), pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y)), id_, hash_, line, first]
+def _as_rows(kind: int, x: np.ndarray | pa.Array, y: np.ndarray | pa.Array, id_, hash_, line, first) -> pa.Table:
+    x, y = (pa.array(np.ascontiguousarray(v)) if isinstance(v, np.ndarray) else v for v in (x, y))
+    columns = [pa.array(np.full(len(x), kind, np.int32)), x, y, id_, hash_, line, first]
     return pa.table(dict(zip(("kind", "x", "y", "id", "hash", "line", "first"), columns)))
 
 

@@ -287,6 +287,24 @@ def test_line_dedup(docs, empty, texts):
     assert line_dedup.without_repeats(docs).columns == docs.columns and line_dedup.deduped(empty).count() == 0
 
 
+def test_copies_of_a_line_are_spread(spark):
+    rng = random.Random(4)
+    footer = "all rights reserved by the very same footer"
+    rows = [(i, "\n".join(x for _ in range(20) for x in (f"{rng.getrandbits(60)} {rng.getrandbits(60)} own", footer, footer))) for i in range(300)]
+    rows += rows[:30]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    join = line_dedup.Join(line_dedup._keyed(frame))
+    join.parts = 40
+    records = {1: line_dedup.LINE.itemsize, 2: line_dedup.COPY.itemsize}
+    sizes = join.dealt().filter("kind > 0").groupBy("kind", "part").agg(F.sum(F.length("blob")).alias("b")).collect()
+    most = max(r["b"] / records[r["kind"]] for r in sizes)
+    assert most < 0.06 * 60 * len(rows)
+    kept = {r["doc_id"]: r["kept_text"] for r in line_dedup.deduped(frame).select("row.doc_id", "kept_text").collect()}
+    for i, text in dict(rows).items():
+        lines = text.split("\n")
+        assert kept[i] == "\n".join(x for n, x in enumerate(lines) if x != footer or (i, n) == (0, 1))
+
+
 def test_substring_dedup(docs, empty, texts):
     counts = Counter(tuple(w[j : j + 35]) for w in (words_of(t) for _, t in texts) for j in range(len(w) - 34))
     rows = substring_dedup.deduped(docs).select("row.doc_id", "n_words", "n_removed", "kept_text").collect()
