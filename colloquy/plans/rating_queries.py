@@ -183,6 +183,23 @@ def ratings_wide(spark, sf_dir):
     return R.ratings_wide(ratings(spark, sf_dir), keys, pairs=(1, 2, 3, 4))
 
 
+_PARTS = ", ".join(
+    f"max(score) FILTER (metric_type = '{m}' AND (pair_num - 1) % 4 = {n - 1}) AS {m}_pair{n}"
+    for n in (1, 2, 3, 4)
+    for m in METRICS
+)
+
+
+@query(
+    f"""WITH {RATINGS} SELECT dialogue_id, model_version, checkpoint, (pair_num - 1) // 4 AS part, {_PARTS}
+FROM ratings GROUP BY 1, 2, 3, 4"""
+)
+def ratings_in_parts(spark, sf_dir):
+    """Wide rows of all pairs, four to a part; ``ratings_wide`` has the first four only."""
+    keys = ["dialogue_id", "model_version", "checkpoint"]
+    return R.ratings_in_parts(ratings(spark, sf_dir), keys, width=4)
+
+
 @query(
     f"WITH {RATINGS} SELECT dialogue_id, bool_and(NOT {GAP}) AS fully_rated FROM pairs GROUP BY 1"
 )
