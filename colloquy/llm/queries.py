@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import ann, byte_bpe, class_lm, line_dedup, mixing, oracles, quality, secrets, simhash, substring_dedup, token_files
+from colloquy.llm import ann, byte_bpe, class_lm, licenses, line_dedup, mixing, oracles, periodic, quality, secrets, simhash, substring_dedup, token_files, whitening
 from colloquy.llm.store import reachable, shared_folder
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -68,9 +68,24 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.usable(_table(spark, sf_dir, "embeddings")), F.col("id") % 20 == 0, 20)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.crc32(F.col("doc_id").cast("string"))
+    found = periodic.runs_in_texts(_table(spark, sf_dir, "documents"), tile_by=mark)
+    columns = "doc_id n_runs start length period exponent_milli runs_sha256".split()
+    return found.select(*columns, F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Run] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_class_lm, op3_token_files, op4_byte_bpe, op5_simhash_dedup, op6_quality_rules, op7_source_mixing, op8_line_dedup, op9_substring_dedup, op10_nearest_neighbours)
+    for f in (op1_secret_scan, op2_class_lm, op3_token_files, op4_byte_bpe, op5_simhash_dedup, op6_quality_rules, op7_source_mixing, op8_line_dedup, op9_substring_dedup, op10_nearest_neighbours, op11_license_scan, op12_periodic_runs, op13_embedding_whitening)
 }
 
 QUERIES["pipeline"] = corpus_pipeline.run

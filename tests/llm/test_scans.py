@@ -1,0 +1,275 @@
+"""License scans, periodic runs and whitening against brute-force versions; nulls, empty and long texts, ties, repeated rows,
+empty tables and extra columns with clashing names."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from colloquy.llm import licenses, periodic, queries, whitening, words
+
+SCHEMA = "doc_id bigint, text string, row string, n_words int, runs string, mark string, labels string"
+
+
+def table(spark, rows, schema=SCHEMA):
+    extra = ("x",) * (schema.count(",") - 1)
+    return spark.createDataFrame([(*r, *(None if "int" in schema else e for e in extra)) for r in rows], schema)
+
+
+def license_words(text):
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+
+def license_texts():
+    rng = random.Random(3)
+    pool = "under the MIT license Apache License, Version 2 CC BY-NC cc by nc x é İ \x7f . \x00 ünder the\nmit 2.0".split(" ")
+    out = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(60)))) for i in range(300)]
+    out += [(300, None), (301, ""), (None, "Under The MIT-License"), (302, "CC BY NC " * 40_000 + "é" * 100_000), (302, "cc by nc"), (302, "cc by nc")]
+    return out + [(303, "apache license version 2cc by nc"), (304, "cc/by/nc/by/nc cc　by nc")]
+
+
+def test_base_places(spark):
+    texts = license_texts()
+    found = licenses.scan(table(spark, texts)).collect()
+    assert sorted(map(str, (r["doc_id"] for r in found))) == sorted(str(i) for i, _ in texts)
+
+    def brute(text):
+        own = license_words(text)
+        places, labels = [], set()
+        for phrase, label in licenses.BASE.items():
+            parts = phrase.split()
+            at = [i for i in range(len(own)) if own[i : i + len(parts)] == parts]
+            places += at
+            labels |= {label} if at else set()
+        return len(own), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+    got = sorted((str(r["doc_id"]), *map(str, (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]))) for r in found)
+    assert got == sorted((str(i), *map(str, brute(t))) for i, t in texts)
+    for r in found:
+        own = r["labels"].split(",") if r["labels"] else []
+        assert own == sorted(set(own)) and set(filter(None, r["base_labels"].split(","))) <= set(own) and 0 <= r["score"] <= 1
+
+
+def test_notices_and_tags():
+    def found(text):
+        return licenses.scan_text(text)[5], licenses.scan_text(text)[8]
+
+    assert found("GNU General Public License, version 3.") == ("gpl-3", [])
+    assert found("under CC BY-NC-SA terms") == ("cc-by-nc,cc-by-nc-sa", [])
+    assert found("// SPDX-License-Identifier: MIT OR (Apache-2.0 AND BSD-3-Clause) */\nmore") == ("apache-2,bsd-3,mit", ["mit or apache-2 and bsd-3"])
+    assert found("license = 'GPL-2.0-or-later WITH Classpath-exception-2.0'") == ("gpl-2", ["gpl-2 with classpath-exception-2.0"])
+    assert found("License: (MIT OR ISC) and zlib") == ("isc,mit,zlib", ["(mit or isc) and zlib"])
+    assert found("license: whatever you like") == ("", [])
+    assert found("a license MIT") == ("", [])
+    assert found("SPDX-License-Identifier:\nMIT") == ("", [])
+
+
+def tree(rng, depth):
+    if depth == 0 or rng.random() < 0.3:
+        name = rng.choice(sorted(licenses.LABEL_OF))
+        return (("with", name, rng.choice(licenses.EXCEPTIONS)) if rng.random() < 0.2 else name)
+    return (rng.choice(["and", "or"]), tree(rng, depth - 1), tree(rng, depth - 1))
+
+
+def shown(rng, node, outer=0):
+    if isinstance(node, str):
+        return rng.choice([node, node.upper(), f"( {node})"])
+    if node[0] == "with":
+        return f"{node[1]} WITH {node[2]}"
+    own = {"or": 1, "and": 2}[node[0]]
+    text = f"{shown(rng, node[1], own)} {node[0].upper()} {shown(rng, node[2], own)}"
+    return f"({text})" if own < outer or rng.random() < 0.2 else text
+
+
+def value(node):
+    if isinstance(node, str):
+        return licenses.CLASSES[licenses.LICENCES[licenses.LABEL_OF[node]].kind]
+    if node[0] == "with":
+        low = value(node[1])
+        return (low + min([f for f in licenses.CLASSES.values() if f > low], default=low)) / 2
+    return {"and": min, "or": max}[node[0]](value(node[1]), value(node[2]))
+
+
+def test_expressions_against_trees():
+    rng = random.Random(8)
+    for _ in range(500):
+        node = tree(rng, 4)
+        text = shown(rng, node)
+        ordered = licenses.postfix(licenses.tokens(text))
+        assert licenses.freedom(ordered) == value(node)
+        again = licenses.canonical(ordered)
+        back = licenses.postfix([p if p in ("and", "or", "with", "(", ")") or p in licenses.EXCEPTIONS else licenses.LICENCES[p].ids[0] for p in re.findall(r"[()]|[^() ]+", again)])
+        assert licenses.canonical(back) == again and licenses.freedom(back) == value(node)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("MIT AND", "mit"), ("MIT OR (", "mit"), ("(MIT OR ISC", "mit or isc"), ("MIT) AND ISC", "mit"), ("MIT ISC", "mit"), ("AND MIT", ""), ("", ""),
+        ("MIT with ISC", "mit"), ("MIT and llvm-exception", "mit"), ("(MIT) with llvm-exception", "mit with llvm-exception"), ("()", ""), ("MIT AND ((", "mit"), ("GPL-2.0+", "gpl-2"),
+    ],
+)
+def test_longest_start_of_broken_expressions(text, want):
+    ordered = licenses.postfix(licenses.tokens(text))
+    assert (licenses.canonical(ordered) if ordered else "") == want
+
+
+def brute_lyndon(s):
+    return [max(e - i for e in range(i + 1, len(s) + 1) if all(s[i:e] < s[k:e] for k in range(i + 1, e))) for i in range(len(s))]
+
+
+def brute_runs(s, least):
+    found = set()
+    for q in range(1, len(s) // 2 + 1):
+        i = 0
+        while i + q < len(s):
+            j = i
+            while j + q < len(s) and s[j] == s[j + q]:
+                j += 1
+            if j - i + q >= max(least, 2 * q):
+                w = s[i : j + q]
+                if not any(w[p:] == w[:-p] for p in range(1, q)):
+                    found.add((i, j + q, q))
+            i = max(j, i + 1)
+    return sorted(found)
+
+
+def test_lyndon_arrays_and_runs():
+    rng = random.Random(1)
+    for _ in range(600):
+        k = rng.choice([1, 2, 3, 5])
+        texts = [[rng.randrange(k) for _ in range(rng.randrange(25))] for _ in range(3)]
+        codes, offsets = np.array(sum(texts, []), np.int64), np.cumsum([0] + [len(t) for t in texts])
+        begins = np.array([b for b, e in zip(offsets, offsets[1:]) if e > b], np.int64)
+        assert periodic.lyndon_array(codes, begins).tolist() == sum(map(brute_lyndon, texts), [])
+        for least in (2, 5, 12):
+            want = [[b + o, e + o, q] for o, t in zip(offsets.tolist(), texts) for b, e, q in brute_runs(t, least)]
+            assert periodic.find_runs(codes, offsets, least).tolist() == want
+
+
+def test_long_extensions():
+    """A run beyond the longest name, with another one across its end, and words of a Fibonacci string."""
+    a, b = [0], [0, 1]
+    while len(b) < 3000:
+        a, b = b, b + a
+    unit = list(range(5, 705))
+    texts = [unit * 9 + unit[:100] + [1], b, [7] * 5000]
+    codes, offsets = np.array(sum(texts, []), np.int64), np.cumsum([0] + [len(t) for t in texts])
+    found = periodic.find_runs(codes, offsets).tolist()
+    own = [r for r in found if r[0] < offsets[1]]
+    assert own == [[0, 6400, 700]]
+    small = brute_runs(b[:600], 12)
+    assert [[s, e, q] for s, e, q in small if e < 600] == [[s - offsets[1], e - offsets[1], q] for s, e, q in found if offsets[1] <= s and e - offsets[1] < 600]
+    assert [r for r in found if r[0] >= offsets[2]] == [[offsets[2], offsets[3], 1]]
+
+
+def run_rows(texts, mark_of):
+    out = []
+    for doc_id, text in texts:
+        own = re.findall(words.WORD, text or "")
+        h = mark_of(doc_id)
+        if own and h is not None and h % 10 == 0:
+            g = h // 10
+            a = g % len(own)
+            p = 1 + (len(own) - a) // (3 + g % 8)
+            own = own[:a] + [own[a + (i - a) % p] for i in range(a, len(own))]
+        runs = [(s, e - s, q) for s, e, q in brute_runs(own, 12)]
+        dropped = {i for s, n, q in runs for i in range(s + q, s + n)}
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=None)
+        lines = "".join("%d,%d,%d\n" % r for r in sorted(runs, key=lambda r: (r[0], r[2])))
+        kept = " ".join(w for i, w in enumerate(own) if i not in dropped)
+        out.append((doc_id, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, *(hashlib.sha256(x.encode()).hexdigest() for x in (lines, kept))))
+    return sorted(out, key=str)
+
+
+def test_runs_of_texts(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [(i, rng.choice([" ", "\n", "\t\t"]).join(rng.choice(["a", "b", "é", "𝄞x"][: 1 + i % 4]) for _ in range(rng.randrange(90)))) for i in range(120)]
+    texts += [(200, None), (201, ""), (None, "a b " * 30), (202, " ".join(str(i % 700) for i in range(3000))), (203, "x " * 40), (203, "x " * 40), (204, "long" * 60_000 + " y" * 15)]
+    docs = table(spark, texts).repartition(3)
+    columns = "doc_id n_runs start length period exponent_milli runs_sha256".split()
+    got = periodic.runs_in_texts(docs).select(*columns, F.sha2("collapsed_text", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == run_rows(texts, lambda i: None)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op12_periodic_runs"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == run_rows(texts, lambda i: None if i is None else zlib.crc32(str(i).encode()))
+
+
+def test_runs_across_batches(spark, monkeypatch):
+    """Texts beyond a batch come whole, and batches do not share runs."""
+    slices = list(words.text_slices(table(spark, [(i, "a b c " * (50 * i)) for i in range(9)]).select("doc_id", "text").toArrow().to_batches(), limit=400))
+    assert [s.num_rows for s in slices] == [2, *[1] * 7]
+    assert periodic.runs_in_texts(table(spark, [(1, "u v w x " * 200_000), (2, "u v w x")])).select("n_runs", "length").collect() == [(1, 800_000), (0, None)]
+
+
+@pytest.mark.parametrize("scan", [licenses.scan, periodic.runs_in_texts])
+def test_empty_tables(spark, scan):
+    assert scan(table(spark, [])).count() == 0
+
+
+VECTORS = "vec_id bigint, embedding array<float>, component int, n bigint, id int, x int"
+
+
+def brute_whitening(vectors, components):
+    x = np.floor(64 * np.array(vectors, np.float32).astype(float)) + 1_000_000
+    n = len(x)
+    centred = x - x.mean(axis=0)
+    values, axes = np.linalg.eigh(centred.T @ centred / n)
+    values, axes = values[::-1], axes[:, ::-1]
+    take = min(components, int((values > 1e-12 * values[0]).sum()))
+    whole = x.astype(object)
+    deviation = [sum((n * a - s) ** 2 for a, s in zip(map(int, row), map(int, x.sum(axis=0)))) for row in whole]
+    return centred @ axes[:, :take] / np.sqrt(values[:take]), values[:take] / values.sum(), deviation
+
+
+@pytest.mark.parametrize("kind", ["plain", "few", "scales", "dependent", "wide"])
+def test_whitening(spark, kind):
+    rng = np.random.default_rng(6)
+    size = {"few": 5, "wide": 90}.get(kind, 40)
+    vectors = rng.normal(size=(300, size)) * np.linspace(1, 3, size)
+    if kind == "scales":
+        vectors *= np.logspace(0, 6, size)
+    if kind == "dependent":
+        vectors[:, 3] = 7
+        vectors[:, 9] = vectors[:, 8] = np.floor(vectors[:, 8])
+        vectors[:, 30:] = vectors[:, :10]
+    vectors = vectors.astype(np.float32)
+    rows = [(i if i else None, v.tolist()) for i, v in enumerate(vectors)]
+    bad = [(900, None), (901, []), (902, [1.0, None, *[0.0] * (size - 2)]), (903, [float("nan")] * size), (904, [float("inf")] * size), (905, [1.0] * (size + 1)), (906, [1e30] * size)]
+    found = whitening.whitened(table(spark, rows + bad, VECTORS).repartition(7)).collect()
+    want, share, deviation = brute_whitening(vectors.tolist(), 32)
+    assert len(found) == want.size and {r["n"] for r in found} == {300}
+    got, of = np.zeros_like(want), {None: 0}
+    for r in found:
+        i = of.get(r["vec_id"], r["vec_id"])
+        got[i, r["component"] - 1] = r["whitened"]
+        assert r["deviation"] == deviation[i] and abs(r["explained"] / share[r["component"] - 1] - 1) < 1e-6
+    signs = np.sign((got * want).sum(axis=0))
+    assert np.abs(got * signs - want).max() < 1e-5
+    assert max(r["identity_error"] for r in found) < 1e-9
+
+
+def test_whitening_of_little(spark):
+    for rows in ([], [(1, [1.0, 2.0])], [(1, [1.0, 2.0])] * 5, [(1, None)]):
+        assert whitening.whitened(table(spark, rows, VECTORS)).collect() == []
+    two = whitening.whitened(table(spark, [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [0.0, 2.0])], VECTORS)).collect()
+    assert sorted(abs(round(r["whitened"], 12)) for r in two) == sorted([round(0.5**0.5, 12)] * 2 + [round(2**0.5, 12)])
+
+
+def test_deviations_beyond_a_long():
+    x = np.array([[2**40, 0], [0, 0]])
+    assert whitening._deviations(x, 2, (2**40, 0)) == [None, None]
+    assert whitening._deviations(np.array([[2**31, 0], [0, 0]]), 2, (2**31, 0)) == [2**62, 2**62]
+
+
+def test_substitution():
+    rng = np.random.default_rng(2)
+    upper, rows = np.triu(rng.normal(size=(70, 70))) + 9 * np.eye(70), rng.normal(size=(20, 70))
+    assert np.abs(whitening.solved(rows, upper) @ upper - rows).max() < 1e-10
+    assert list(itertools.chain(whitening._independent(np.zeros((3, 3))))) == []
