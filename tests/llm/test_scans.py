@@ -2,7 +2,6 @@
 empty tables and extra columns with clashing names."""
 
 import hashlib
-import itertools
 import random
 import re
 import zlib
@@ -249,7 +248,7 @@ def test_whitening(spark, kind):
     for r in found:
         i = of.get(r["vec_id"], r["vec_id"])
         got[i, r["component"] - 1] = r["whitened"]
-        assert r["deviation"] == deviation[i] and abs(r["explained"] / share[r["component"] - 1] - 1) < 1e-6
+        assert r["deviation"] == (deviation[i] if deviation[i] < 2**63 else None) and abs(r["explained"] / share[r["component"] - 1] - 1) < 1e-6
     signs = np.sign((got * want).sum(axis=0))
     assert np.abs(got * signs - want).max() < 1e-5
     assert max(r["identity_error"] for r in found) < 1e-9
@@ -272,4 +271,4 @@ def test_substitution():
     rng = np.random.default_rng(2)
     upper, rows = np.triu(rng.normal(size=(70, 70))) + 9 * np.eye(70), rng.normal(size=(20, 70))
     assert np.abs(whitening.solved(rows, upper) @ upper - rows).max() < 1e-10
-    assert list(itertools.chain(whitening._independent(np.zeros((3, 3))))) == []
+    assert whitening._independent(np.zeros((3, 3))) == []
