@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions.plan import let, with_computed
 from colloquy.functions.text import first_tokens, py_strip, token_count, token_id, tokens
+from colloquy.operators import selection
+from colloquy.session import stored
 
 # Two utterances per window, the 3rd to the 26th utterance of a dialogue.
 WINDOWS = tuple((start, start + 1) for start in range(3, 27, 2))
@@ -27,8 +29,6 @@ VOCAB = 256_000
 #: Stand for the leading id and the padding in a text; one token each under the built-in rule.
 BOS_MARK, PAD_MARK = "\ue000", "\ue001"
 
-SPLIT_BUCKETS = 4096
-
 TokenizerFactory = Callable[[], Callable[[str], Sequence[int]]]
 
 
@@ -372,72 +372,45 @@ def seeded_shuffle(df: DataFrame, seed: int, *keys: str) -> DataFrame:
     return df.orderBy(shuffle_key(seed, *keys), *keys)
 
 
+def _sides(df: DataFrame, groups: DataFrame, keys: Sequence[str], train_fraction: float, eval_cap: int | None) -> DataFrame:
+    """Add ``split`` to rows with a ``_rank``, from ``groups`` ``(_rank, keys, _weight)``."""
+    def train(total: int) -> int:
+        return int(total * train_fraction)
+
+    def evaluate(total: int) -> int:
+        return total if eval_cap is None else train(total) + eval_cap
+
+    last_train, last_eval = selection.cuts(groups, "_rank", keys, "_weight", [train, evaluate])
+    side = F.when(selection.up_to(last_train, "_rank", keys, df), "train")
+    side = side.when(selection.up_to(last_eval, "_rank", keys, df), "eval").otherwise("unused")
+    return df.withColumn("split", side).drop("_rank")
+
+
 def train_eval_split(
-    df: DataFrame,
-    rank_by: Column,
-    *keys: str,
-    train_fraction: float = 0.8,
-    eval_cap: int | None = 50,
-    bucket: Column | None = None,
+    df: DataFrame, rank_by: Column, *keys: str, train_fraction: float = 0.8, eval_cap: int | None = 50
 ) -> DataFrame:
     """Exact split by rank: the first ``int(n * fraction)`` rows train, the next ``eval_cap`` evaluate.
 
-    Adds ``split`` (``train``, ``eval`` or ``unused``). ``rank_by`` is a bigint, such as a hash. ``bucket`` is an
-    order-preserving coarsening of it with at most ``SPLIT_BUCKETS`` values (more raise an error); by default the
-    top 12 bits. Bucket sizes decide every bucket that lies wholly on one side. A bucket that holds a border is cut
-    into ``SPLIT_BUCKETS`` even ranges of its ranks and decided likewise; only the ranges that hold the border are
-    ranked row by row, which for hashes is one row in ``SPLIT_BUCKETS`` squared. ``keys`` identify a row and break
-    ties.
+    Adds ``split`` (``train``, ``eval`` or ``unused``). ``rank_by`` is a bigint, such as a hash; ``keys`` identify a row and
+    break ties. The two borders are found first (see ``selection``); the split itself is a comparison with them, without
+    a shuffle.
     """
-    n_bits = SPLIT_BUCKETS.bit_length() - 1
-    coarse = F.shiftright(rank_by, 64 - n_bits) if bucket is None else bucket
-    keyed = df.withColumn("_rank", rank_by).withColumn("_bucket", coarse.cast("bigint"))
-    sizes = keyed.groupBy("_bucket").agg(
-        F.count("*").alias("_size"), F.min("_rank").alias("_low"), F.max("_rank").alias("_high")
-    )
-    # at most SPLIT_BUCKETS rows from here to the join
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    too_many = F.raise_error(F.lit(f"bucket has more than {SPLIT_BUCKETS} values"))
-    borders = sizes.select(
-        "_bucket",
-        "_low",
-        (F.expr("(_high - _low) div {}".format(SPLIT_BUCKETS)) + 1).alias("_step"),
-        (F.sum("_size").over(running) - F.col("_size")).alias("_before"),
-        F.sum("_size").over(running).alias("_through"),
-        F.floor(F.sum("_size").over(everything) * F.lit(train_fraction)).alias("_train"),
-        F.when(F.count("*").over(everything) <= SPLIT_BUCKETS, F.sum("_size").over(everything))
-        .otherwise(too_many.cast("bigint"))
-        .alias("_n"),
-    ).withColumn(
-        "_eval", F.least(F.col("_train") + eval_cap, "_n") if eval_cap is not None else F.col("_n")
-    )
-    placed = keyed.join(F.broadcast(borders), "_bucket")
-
-    def side(first: Column) -> Column:
-        return F.when(first < F.col("_train"), "train").when(first < F.col("_eval"), "eval").otherwise("unused")
-
-    def cut_inside(border: str) -> Column:
-        return (F.col("_before") < F.col(border)) & (F.col(border) < F.col("_through"))
-
-    contested = cut_inside("_train") | cut_inside("_eval")
-    whole = placed.filter(~contested).withColumn("split", side(F.col("_before")))
-    # two buckets at most hold a border, so there are at most 2 * SPLIT_BUCKETS ranges
-    cut = placed.filter(contested).withColumn("_range", F.expr("(_rank - _low) div _step"))
-    up_to = Window.partitionBy("_bucket").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = (
-        cut.groupBy("_bucket", "_range", "_before")
-        .agg(F.count("*").alias("_size"))
-        .withColumn("_through", F.col("_before") + F.sum("_size").over(up_to))
-        .withColumn("_before", F.col("_through") - F.col("_size"))
-        .drop("_size")
-    )
-    finer = cut.drop("_before", "_through").join(F.broadcast(ranges), ["_bucket", "_range"])
-    in_range = Window.partitionBy("_bucket", "_range").orderBy("_rank", *keys)
-    decided = finer.filter(~contested).withColumn("split", side(F.col("_before")))
-    ranked = finer.filter(contested).withColumn("split", side(F.col("_before") + F.row_number().over(in_range) - 1))
-    out = [*df.columns, "split"]
-    return whole.select(*out).unionByName(decided.select(*out)).unionByName(ranked.select(*out))
+    ranked = df.withColumn("_rank", rank_by)
+    return _sides(ranked, ranked.select("_rank", *keys, F.lit(1).alias("_weight")), keys, train_fraction, eval_cap)
+
+
+def group_split(
+    df: DataFrame, rank_by: Column, *group_keys: str, train_fraction: float = 0.8, eval_cap: int | None = 50
+) -> DataFrame:
+    """The same with whole groups on one side, such as all windows of a dialogue.
+
+    ``rank_by`` is a function of ``group_keys``. Groups go in its order: the longest start with at most ``int(n * fraction)`` rows
+    trains, the longest start of at most ``int(n * fraction) + eval_cap`` rows less those evaluates. So a side is short of its size by less than one group.
+    """
+    ranked = df.withColumn("_rank", rank_by)
+    # Sizes are counted once; a pass over them is small beside one over the rows.
+    sizes = stored(ranked.groupBy("_rank", *group_keys).agg(F.count("*").alias("_weight")), "group-sizes")
+    return _sides(ranked, sizes, group_keys, train_fraction, eval_cap)
 
 
 def bucket_split(df: DataFrame, seed: int, *group_keys: str, train_fraction: float = 0.8) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.operators import spans
+from colloquy.operators import scans
 from colloquy.schemas import RUN_EVENT
 
 SAVE_STEPS = 50
@@ -40,10 +40,9 @@ def moving_average_loss(
 ) -> DataFrame:
     """Mean loss over the last ``size`` log events that carry one. ``order`` is unique within a run.
 
-    Steps may lie far apart, so only hot runs are split.
+    Steps may lie far apart, so ranges of rows are cut where a sample says.
     """
-    numbered = spans.with_position(null_safe_series(log, value), [key], order, "_position", sparse=True)
-    return spans.trailing(numbered, [key], "_position", size, lambda w: {out: F.avg(value).over(w)}).drop("_position")
+    return scans.trailing(null_safe_series(log, value), [key], order, size, lambda w: {out: F.avg(value).over(w)})
 
 
 def device_metrics(nested: DataFrame, *keys: str) -> DataFrame:

@@ -7,9 +7,8 @@ range of at most ``span`` consecutive values of an integer order column. Rows ar
 or the few rows before the border (trailing windows).
 
 The order column is a bigint that is unique within its key (a turn or a step number), so a span
-never holds more than ``span`` rows. Where order values lie far apart (ids that all keys share), a
-range holds few rows and small keys would fall into many spans; with ``sparse`` only hot keys are
-split, those with more than ``HOT_ROWS`` rows and a ``HOT_SHARE``-th of the table.
+never holds more than ``span`` rows. Where order values lie far apart (ids that all keys share), ``scans`` takes
+its borders from the data instead.
 """
 
 from __future__ import annotations
@@ -21,21 +20,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SPAN = 65536
-HOT_ROWS = 1 << 20
-HOT_SHARE = 10_000
 
 
 def _span_start(order: Column, span: int) -> Column:
     return order - F.pmod(order, F.lit(span))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys that hold more than ``hot_rows`` rows and the given share of all rows: ``HOT_SHARE`` at most."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)))
-    return counts.filter((F.col("_n") > hot_rows) & (F.col("_n") > total.scalar() / HOT_SHARE)).select(*keys)
-
-
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
@@ -43,8 +33,6 @@ def running_sum(
     value: Column,
     out: str,
     span: int = SPAN,
-    sparse: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Inclusive running total of ``value`` along ``order`` within ``keys``, as column ``out``.
 
@@ -52,20 +40,11 @@ def running_sum(
     """
     keys = list(keys)
     keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    valued = df.withColumn("_value", value)
-    if sparse:
-        # bounded by HOT_SHARE rows, hence the hint
-        hot = F.broadcast(hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True)))
-        split = F.coalesce("_hot", F.lit(False)) | ~keyed
-        valued = valued.join(hot, keys, "left").withColumn("_split", split).drop("_hot")
-    else:
-        valued = valued.withColumn("_split", F.lit(True))
-    valued = valued.withColumn("_span", F.when(F.col("_split"), _span_start(F.col(order), span)).otherwise(F.lit(0)))
+    valued = df.withColumn("_value", value).withColumn("_span", _span_start(F.col(order), span))
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     # A key that fits one span carries nothing, so this side is small however many keys there are.
     carried = (
-        valued.filter("_split")
-        .groupBy(*keys, "_span")
+        valued.groupBy(*keys, "_span")
         .agg(F.sum("_value").alias("_total"))
         .select(*keys, "_span", F.sum("_total").over(before).alias("_carried"))
         .filter("_carried is not null")
@@ -85,11 +64,9 @@ def with_position(
     order: str,
     out: str = "position",
     span: int = SPAN,
-    sparse: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Dense 0-based position of each row along ``order`` within ``keys``."""
-    counted = running_sum(df, keys, order, F.lit(1), out, span, sparse, hot_rows)
+    counted = running_sum(df, keys, order, F.lit(1), out, span)
     return counted.withColumn(out, F.col(out) - 1)
 
 

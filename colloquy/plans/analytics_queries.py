@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.scores import pair_penalty as penalty_of
 from colloquy.operators import analytics as A
 from colloquy.operators import ratings as R
+from colloquy.operators import summaries as M
 from colloquy.plans.inputs import CONFIG, RATINGS, SCORES, ratings, run_config, score_rows, table
 from colloquy.plans.registry import query
 
@@ -27,6 +28,57 @@ def summary_stats(spark, sf_dir):
     return _round(A.summary_stats(ratings(spark, sf_dir), digits=None), "mean", "std")
 
 
+def _merged_states(spark, sf_dir):
+    """States of four loads, merged one after the other."""
+    rated = ratings(spark, sf_dir)
+    merged, *more = [M.summary_states(rated.filter(F.col("dialogue_id") % 4 == part)) for part in range(4)]
+    for state in more:
+        merged = M.merge_states(merged, state)
+    return merged
+
+
+@query(
+    _WITH
+    + """SELECT model_version, checkpoint, metric_type, round(avg(score), 6) AS mean,
+       round(stddev_samp(score), 6) AS std, min(score) AS min, max(score) AS max, count(*) AS count
+FROM ratings GROUP BY 1, 2, 3"""
+)
+def summary_of_loads(spark, sf_dir):
+    """The same without the ratings of earlier loads."""
+    return _round(M.summary_of_states(_merged_states(spark, sf_dir), digits=None), "mean", "std")
+
+
+@query(
+    _WITH
+    + """SELECT model_version, checkpoint, metric_type, q::DOUBLE AS quantile, true AS within, count(score) AS n
+FROM ratings, (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) v(q) GROUP BY 1, 2, 3, 4"""
+)
+def quartiles_of_loads(spark, sf_dir):
+    """Whether the sketched quartiles of all loads lie within the rank error among the ratings themselves."""
+    found = M.quartiles_of_states(_merged_states(spark, sf_dir))
+    counts = ratings(spark, sf_dir).groupBy(*M.GROUP, "score").agg(F.count("*").alias("_c"))
+    ranked = found.join(counts, list(M.GROUP)).groupBy(*M.GROUP, "quantile", "n").agg(
+        F.coalesce(F.sum(F.when(F.col("score") < F.col("value"), F.col("_c"))), F.lit(0)).alias("_below"),
+        F.coalesce(F.sum(F.when(F.col("score") <= F.col("value"), F.col("_c"))), F.lit(0)).alias("_through"),
+    )
+    low, high = F.col("_below") / F.col("n") - M.RANK_ERROR, F.col("_through") / F.col("n") + M.RANK_ERROR
+    return ranked.select(*M.GROUP, "quantile", F.col("quantile").between(low, high).alias("within"), "n")
+
+
+@query(
+    _WITH
+    + """, c AS (SELECT model_version, metric_type, grouping_id(model_version, metric_type) AS g, avg(score) AS mean,
+  stddev_samp(score) AS std, count(score) AS n FROM ratings GROUP BY CUBE (model_version, metric_type))
+SELECT c.model_version, c.metric_type, CASE c.g WHEN 0 THEN 'model_metric' WHEN 1 THEN 'model' WHEN 2 THEN 'metric' ELSE 'total' END AS level,
+  round(c.mean, 6) AS mean, round(c.std, 6) AS std, c.n,
+  CASE WHEN c.g < 2 AND c.model_version <> 'base' THEN round(c.mean - b.mean, 6) END AS improvement
+FROM c LEFT JOIN c b ON b.g = c.g AND b.g < 2 AND b.model_version = 'base' AND b.metric_type IS NOT DISTINCT FROM c.metric_type"""
+)
+def rating_cube(spark, sf_dir):
+    """Means, deviations and gains over the base by model and metric, by either and in total, from one scan."""
+    return _round(M.rating_cube(ratings(spark, sf_dir)), "mean", "std", "improvement")
+
+
 @query(
     """WITH l AS (SELECT doc_id, 'quality' AS metric_type, quality AS score FROM labels
                   UNION ALL SELECT doc_id, 'toxic', toxic FROM labels)

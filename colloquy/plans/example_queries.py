@@ -270,8 +270,21 @@ SELECT doc_id, CASE WHEN pos < floor(n * 0.8::DOUBLE) THEN 'train' WHEN pos < fl
 )
 def train_eval_split(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id")
-    rank = md5_rank("doc_id")
-    return E.train_eval_split(documents, rank, "doc_id", bucket=F.shiftright(rank, 48))
+    return E.train_eval_split(documents, md5_rank("doc_id"), "doc_id")
+
+
+@query(
+    f"""WITH {SPOKEN}, {_CHAT}, rows AS (SELECT DISTINCT source_file, extract_range FROM chat)
+, sizes AS (SELECT source_file, ('0x' || md5(source_file)[1:15])::BIGINT AS h, count(*) AS n FROM rows GROUP BY 1)
+, ordered AS (SELECT source_file, sum(n) OVER (ORDER BY h, source_file) AS through, sum(n) OVER () AS total FROM sizes)
+SELECT source_file, extract_range, CASE WHEN through <= floor(total * 0.8::DOUBLE) THEN 'train'
+  WHEN through <= floor(total * 0.8::DOUBLE) + 50 THEN 'eval' ELSE 'unused' END AS split
+FROM rows JOIN ordered USING (source_file)"""
+)
+def group_split(spark, sf_dir):
+    """All windows of a dialogue on one side."""
+    windows = chat_examples(spark, sf_dir).select("source_file", "extract_range")
+    return E.group_split(windows, md5_rank("source_file"), "source_file")
 
 
 @query("SELECT source, 1 AS n_sides, count(*) AS n FROM documents GROUP BY 1")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import names as N
 from colloquy.operators import analytics as A
+from colloquy.operators import pieces
 from colloquy.operators import ratings as R
 from colloquy.operators import transcripts as X
 from colloquy.plans.example_queries import _CHAT, _MESSAGES, _long, chat_examples
@@ -28,22 +29,77 @@ from colloquy.plans.transcript_queries import CLEAN_TEXT, documents_of, header_s
 from colloquy.session import shared_path
 from colloquy.sources import readers as S
 from colloquy.sources import writers as W
+from colloquy.sources.manifest import FileManifest
+from colloquy.streaming import jobs as J
+
+
+def _transcripts(spark, sf_dir):
+    """Documents as text with CRLF line ends; the header tells which dialogue it is."""
+    settings = header_settings(F.col("dialogue_id")) | {"user_prompt_title": F.lit("title")}
+    docs = X.render_transcripts(dialogue_turns(spark, sf_dir), X.transcript_header(settings))
+    return docs.select(F.replace("content", F.lit("\n"), F.lit("\r\n")).alias("value"))
 
 
 @query(f"WITH {SPOKEN} SELECT dialogue_id, turn, speaker, {CLEAN_TEXT} AS text FROM spoken")
 def transcript_files(spark, sf_dir):
-    """One text file per document, with CRLF line ends; the header tells which dialogue it is."""
+    """One text file per document."""
     path = shared_path(spark, "transcripts")
-    settings = header_settings(F.col("dialogue_id")) | {"user_prompt_title": F.lit("title")}
-    docs = X.render_transcripts(dialogue_turns(spark, sf_dir), X.transcript_header(settings))
-    crlf = F.replace("content", F.lit("\n"), F.lit("\r\n"))
-    docs.select(crlf.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    _transcripts(spark, sf_dir).write.option("maxRecordsPerFile", 1).text(path)
     files = S.read_transcripts(spark, path)
     number = F.regexp_extract("content", r"(?m)^- Initial Question ID: (\d+)$", 1).try_cast("bigint")
     parsed = X.with_turns(files.withColumn("dialogue_id", number))
     return X.explode_turns(parsed, "dialogue_id")
 
 
+@query(f"WITH {SPOKEN} SELECT dialogue_id, turn, speaker, {CLEAN_TEXT} AS text FROM spoken")
+def transcript_line_files(spark, sf_dir):
+    """The same files read line by line, in splits, as files that fit no cell are."""
+    path = shared_path(spark, "transcript-lines")
+    _transcripts(spark, sf_dir).write.option("maxRecordsPerFile", 1).text(path)
+    lines = S.read_log_lines(spark, path)
+    number = F.regexp_extract("content", r"^- Initial Question ID: (\d+)\s*$", 1).try_cast("bigint")
+    names = lines.select("file_name", number.alias("dialogue_id")).filter("dialogue_id is not null")
+    turns = pieces.turns_of_lines(pieces.log_lines(lines, "file_name"), "file_name")
+    return turns.join(names, "file_name").select("dialogue_id", "turn", "speaker", "text")
+
+
+@query(f"WITH {SPOKEN} SELECT dialogue_id, turn, speaker, {CLEAN_TEXT} AS text FROM spoken")
+def stream_transcript_files(spark, sf_dir):
+    """Text files that appear in a folder in two parts; each run of the stream parses those it has not seen."""
+    folder, out, checkpoint = (shared_path(spark, n) for n in ("incoming", "incoming-turns", "incoming-checkpoint"))
+    docs = _transcripts(spark, sf_dir)
+    for part in (0, 1):
+        docs.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == part).write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+        files = S.stream_transcripts(spark, folder, 10_000)
+        number = F.regexp_extract("content", r"(?m)^- Initial Question ID: (\d+)$", 1).try_cast("bigint")
+        J.stream_turns(files.withColumn("dialogue_id", number), out, checkpoint, "dialogue_id").awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(
+    f"""WITH {SPOKEN} SELECT dialogue_id, turn, speaker, {CLEAN_TEXT} AS text, CASE WHEN dialogue_id % 3 = 0 THEN 2 ELSE 1 END AS run,
+  CASE WHEN dialogue_id % 3 = 0 THEN 'new' ELSE 'same' END AS status FROM spoken"""
+)
+def file_manifest(spark, sf_dir):
+    """Two runs over a folder that grows: each parses what its manifest does not know; ``status`` is that of the second run."""
+    folder, turns = shared_path(spark, "listed"), shared_path(spark, "listed-turns")
+    manifest = FileManifest(spark, shared_path(spark, "manifest"))
+    docs = _transcripts(spark, sf_dir)
+    number = F.regexp_extract("content", r"(?m)^- Initial Question ID: (\d+)$", 1).try_cast("bigint")
+    own = F.regexp_extract("value", r"(?m)^- Initial Question ID: (\d+)\r?$", 1).try_cast("bigint")
+    for run, part in ((1, own % 3 != 0), (2, own % 3 == 0)):
+        docs.filter(part).write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+        path = shared_path(spark, "changes")
+        manifest.changes(folder).write.parquet(path)
+        changes = spark.read.parquet(path)
+        parsed = X.with_turns(manifest.changed_transcripts(changes).withColumn("dialogue_id", number))
+        X.explode_turns(parsed, "path", "dialogue_id").withColumn("run", F.lit(run)).write.mode("append").parquet(turns)
+        manifest.save(changes)
+    known = changes.select("path", "status")
+    plain = spark.read.parquet(turns).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    return plain.join(known.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")), "path").drop("path")
+
+
 @query(
     f"""WITH {CONFIG} SELECT dialogue_id::INT AS "INITIAL_QUESTION_ID", rounds::INT AS "MAX_TURNS", 0.3::DOUBLE AS "AI1_TEMPERATURE",
   CASE WHEN dialogue_id % 3 <> 0 THEN 0.7::DOUBLE END AS "AI2_TEMPERATURE", 'kw, "' || dialogue_id || '"' AS "DIALOGUE_KEYWORD",

@@ -6,6 +6,8 @@ the conversations by fixed rules; they exercise the operators and mean nothing e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,29 +20,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered_turns(spark: SparkSession, sf_dir: str, *values: Column) -> DataFrame:
-    """Spoken turns without system messages: ``(dialogue_id, turn, role, values)``, turn dense from 0."""
-    spoken = (
-        table(spark, sf_dir, "conversations")
-        .filter("role <> 'system'")
-        .select(F.col("conv_id").alias("dialogue_id"), F.col("turn").alias("_turn"), "role", *values)
+def _is_spoken() -> Column:
+    return F.coalesce(F.col("role").isin(*ROLE_SPEAKERS), F.lit(False))
+
+
+def numbered_turns(spark: SparkSession, sf_dir: str, size: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Turns ``(dialogue_id, turn, role, text)``, ``turn`` dense from 0; with ``size``, its sum over a turn's messages as ``size``.
+
+    The transcript format knows two speakers. A message of neither, such as a system message, stands in front of the turn
+    that follows it, as chat templates without such a role have it; at the end of a dialogue it is a turn of the user.
+    Messages of one turn are joined by a line feed. With ``size`` no text is shuffled.
+    """
+    said = F.col("text") if size is None else size(F.col("text")).cast("bigint")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("dialogue_id"), F.col("turn").alias("_at"), "role", said.alias("_said")
     )
-    return spans.with_position(spoken, ["dialogue_id"], "_turn", "turn").drop("_turn")
+    spoken = _is_spoken().cast("bigint")
+    placed = spans.running_sum(rows, ["dialogue_id"], "_at", spoken, "_through").withColumn("turn", F.col("_through") - spoken)
+    if size is None:
+        messages = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_said"))), lambda m: m["_said"])
+        value = F.when(F.count("_said") > 0, F.array_join(messages, "\n")).alias("text")
+    else:
+        value = F.sum("_said").alias("size")
+    role = F.coalesce(F.max(F.when(_is_spoken(), F.col("role"))), F.lit("user"))
+    return placed.groupBy("dialogue_id", "turn").agg(role.alias("role"), value, F.count("_said").alias("n_messages"))
 
 
 def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with ``text`` and the ``speaker`` of the transcript format."""
+    """The same with the ``speaker`` of the transcript format."""
     speaker = F.when(F.col("role") == "user", ROLE_SPEAKERS["user"]).otherwise(ROLE_SPEAKERS["assistant"])
-    return numbered_turns(spark, sf_dir, speaker.alias("speaker"), F.col("text")).select(
-        "dialogue_id", "turn", "role", "speaker", "text"
-    )
+    return numbered_turns(spark, sf_dir).select("dialogue_id", "turn", "role", speaker.alias("speaker"), "text")
 
 
-SPOKEN = """spoken AS (
-  SELECT conv_id AS dialogue_id, role, text,
-         CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END AS speaker,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn
-  FROM conversations WHERE role <> 'system')"""
+SPOKEN = """messages AS (
+  SELECT conv_id AS dialogue_id, turn AS place, role, text, coalesce(role IN ('user', 'assistant'), false) AS heard
+  FROM conversations
+), placed AS (
+  SELECT *, count(*) FILTER (heard) OVER (PARTITION BY dialogue_id ORDER BY place) - heard::INT AS turn FROM messages
+), spoken AS (
+  SELECT dialogue_id, turn, coalesce(max(role) FILTER (heard), 'user') AS role, string_agg(text, chr(10) ORDER BY place) AS text,
+         CASE WHEN max(role) FILTER (heard) = 'assistant' THEN 'Assistant' ELSE 'User' END AS speaker
+  FROM placed GROUP BY dialogue_id, turn)"""
 
 
 def pair_values(turns: DataFrame, *columns: str) -> DataFrame:
@@ -86,7 +106,9 @@ _MODEL_SQL = """CASE dialogue_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'tuned_a' EL
 
 def pair_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with text lengths only: lengths are taken at the scan, so no text is shuffled."""
-    return pair_values(numbered_turns(spark, sf_dir, F.length("text").cast("bigint").alias("len")), "len")
+    sizes = numbered_turns(spark, sf_dir, F.length)
+    # the line feeds between the messages of a turn count as well
+    return pair_values(sizes.withColumn("len", F.col("size") + F.col("n_messages") - 1), "len")
 
 
 def rating_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +159,13 @@ def _dialogue_name(dialogue_id: Column, rounds: Column) -> Column:
 
 def run_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per dialogue ``(dialogue_id, dialogue, rounds)``; some names are blank or lack a turn count."""
-    # the number of spoken turns needs no order, so it is a plain partial aggregation
-    spoken = table(spark, sf_dir, "conversations").filter("role <> 'system'")
+    # a plain partial aggregation: spoken messages, and one turn more where the last message is of neither speaker
+    last = F.max_by(_is_spoken(), "turn")
+    turns = F.count(F.when(_is_spoken(), 1)) + F.when(last, 0).otherwise(1)
     return (
-        spoken.groupBy(F.col("conv_id").alias("dialogue_id"))
-        .agg(F.count("*").alias("n"))
+        table(spark, sf_dir, "conversations")
+        .groupBy(F.col("conv_id").alias("dialogue_id"))
+        .agg(turns.alias("n"))
         .withColumn("rounds", F.expr("(n + 1) div 2"))
         .select("dialogue_id", _dialogue_name(F.col("dialogue_id"), F.col("rounds")).alias("dialogue"), "rounds")
     )

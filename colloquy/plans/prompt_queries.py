@@ -247,8 +247,8 @@ def context_length(spark, sf_dir):
     # tokens are counted before the shuffle, which then carries numbers only
     from colloquy.functions.text import token_count
 
-    sized = numbered_turns(spark, sf_dir, token_count(F.col("text")).alias("n_tokens"))
-    out = P.context_length(sized, content="n_tokens", overhead=4, limit=512, count=lambda c: c)
+    sized = numbered_turns(spark, sf_dir, token_count)
+    out = P.context_length(sized, content="size", overhead=4, limit=512, count=lambda c: c)
     return out.select("dialogue_id", "turn", "context_tokens", "over_limit")
 
 

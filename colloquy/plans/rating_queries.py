@@ -15,6 +15,7 @@ from colloquy.plans.registry import query
 from colloquy.plans.transcript_queries import documents_of
 from colloquy.schemas import METRICS
 from colloquy.session import shared_path
+from colloquy.sources.store import RatingStore
 from colloquy.sources.writers import append_rating_load, compact_rating_store, current_ratings
 
 # A pair lacks its logic score where this holds.
@@ -170,17 +171,27 @@ def rating_store(spark, sf_dir):
     return current_ratings(spark, compact)
 
 
-_WIDE = ", ".join(
-    f"max(score) FILTER (metric_type = '{m}' AND pair_num = {n}) AS {m}_pair{n}" for n in (1, 2, 3, 4) for m in METRICS
-)
+@query(f"WITH {RATINGS}, {_UPSERTED} SELECT * FROM upserted")
+def bucketed_store(spark, sf_dir):
+    """The same through buckets and a manifest: a load rewrites the buckets it touches, one that comes twice nothing."""
+    first, second = _loads(spark, sf_dir)
+    store = RatingStore(spark, shared_path(spark, "bucketed"), buckets=16)
+    store.load(first, "batch", 0)
+    store.load(second, "batch", 1)
+    store.load(second, "batch", 1)
+    return store.read()
 
 
 @query(
-    f"""WITH {RATINGS} SELECT dialogue_id, model_version, checkpoint, {_WIDE} FROM ratings GROUP BY 1, 2, 3"""
+    f"""WITH {RATINGS} SELECT dialogue_id, model_version, checkpoint, metric_type || '_pair' || pair_num AS metric_pair, score
+FROM ratings WHERE score IS NOT NULL"""
 )
 def ratings_wide(spark, sf_dir):
+    """The wide table with columns for all pairs there are; its filled cells, as its width follows the data."""
     keys = ["dialogue_id", "model_version", "checkpoint"]
-    return R.ratings_wide(ratings(spark, sf_dir), keys, pairs=(1, 2, 3, 4))
+    wide = R.ratings_wide(ratings(spark, sf_dir), keys)
+    cells = [c for c in wide.columns if c not in keys]
+    return wide.unpivot(keys, cells, "metric_pair", "score").filter("score is not null")
 
 
 _PARTS = ", ".join(
@@ -195,7 +206,7 @@ _PARTS = ", ".join(
 FROM ratings GROUP BY 1, 2, 3, 4"""
 )
 def ratings_in_parts(spark, sf_dir):
-    """Wide rows of all pairs, four to a part; ``ratings_wide`` has the first four only."""
+    """Wide rows of all pairs, four to a part, for tables whose width must not follow the longest dialogue."""
     keys = ["dialogue_id", "model_version", "checkpoint"]
     return R.ratings_in_parts(ratings(spark, sf_dir), keys, width=4)
 

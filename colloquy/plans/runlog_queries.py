@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from colloquy.operators import runlog as L
@@ -9,6 +11,7 @@ from colloquy.plans.inputs import RUN_LOG, run_log, table
 from colloquy.plans.registry import query
 from colloquy.session import shared_path
 from colloquy.streaming import jobs as J
+from colloquy.streaming import sessions as T
 
 
 def _log(spark, sf_dir):
@@ -114,20 +117,52 @@ def stream_run_log(spark, sf_dir):
     return _rounded(J.current_rollup(spark, out))
 
 
+def _to_the_end(spark, sf_dir, start):
+    """Run a stream over the whole log, then once more with a marker that tells it that the log is complete."""
+    markers = shared_path(spark, "markers")
+    log = _log(spark, sf_dir)
+    T.write_end_marker(log, markers, None)
+    ends = (None, log.agg(F.max("ts")).first()[0])
+    for end in ends:
+        if end is not None:
+            T.write_end_marker(log, markers, end + timedelta(days=30))
+        start(T.with_end_marker(_stream(spark, sf_dir), markers)).awaitTermination()
+
+
 @query(
     f"""WITH {RUN_LOG} SELECT run_id, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS n_events,
   round(min(loss), 6) AS min_loss, round(max(loss), 6) AS max_loss FROM run_log
-GROUP BY run_id, time_bucket(INTERVAL 1 DAY, ts)
-HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+GROUP BY run_id, time_bucket(INTERVAL 1 DAY, ts)"""
 )
 def stream_windows(spark, sf_dir):
-    """Daily windows that the watermark has closed."""
-    out = shared_path(spark, "windows")
-    J.stream_windows(_stream(spark, sf_dir), out, shared_path(spark, "windows-checkpoint")).awaitTermination()
+    """Daily windows: most are closed by the watermark as the log goes on, the last ones by its end."""
+    out, checkpoint = shared_path(spark, "windows"), shared_path(spark, "windows-checkpoint")
+    _to_the_end(spark, sf_dir, lambda log: J.stream_windows(log, out, checkpoint))
     days = spark.read.parquet(out).withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
     return _rounded(days.drop("window_start", "window_end"))
 
 
+@query(
+    f"""WITH {RUN_LOG}, steps AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY run_id ORDER BY ts, step) <= INTERVAL 1 DAY, false) AS goes_on
+  FROM run_log), sessions AS (
+  SELECT *, count(*) FILTER (NOT goes_on) OVER (PARTITION BY run_id ORDER BY ts, step ROWS UNBOUNDED PRECEDING) AS session FROM steps)
+SELECT run_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ended, count(*) AS n_events,
+  max(step) AS last_step, round(min(loss), 6) AS min_loss, round(max(loss), 6) AS max_loss,
+  round(last(loss ORDER BY ts, step) FILTER (loss IS NOT NULL), 6) AS final_loss FROM sessions GROUP BY run_id, session"""
+)
+def stream_idle_runs(spark, sf_dir):
+    """Sessions of each run, closed by timers a day after their last event; the state of a closed session is gone."""
+    out, checkpoint = shared_path(spark, "sessions"), shared_path(spark, "sessions-checkpoint")
+
+    def start(log):
+        T.rocksdb_session(log.sparkSession)
+        return T.stream_idle_runs(log, out, checkpoint, idle="1 day")
+
+    _to_the_end(spark, sf_dir, start)
+    times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("started", "ended")}
+    return _rounded(spark.read.parquet(out)).withColumns(times | {"final_loss": F.round("final_loss", 6)})
+
+
 @query(f"WITH {RUN_LOG} SELECT run_id, step, round(loss, 6) AS loss FROM run_log WHERE loss IS NOT NULL")
 def null_safe_series(spark, sf_dir):
     series = L.select_series(_log(spark, sf_dir), ["run_id", "step", "loss"])

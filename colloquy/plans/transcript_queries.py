@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import names as N
 from colloquy.functions.text import is_blank, lines
 from colloquy.functions.text import py_strip as strip_column
+from colloquy.operators import pieces
 from colloquy.operators import transcripts as X
 from colloquy.plans.inputs import PAIRS, SPOKEN, dialogue_turns, table
 from colloquy.plans.registry import query
@@ -17,6 +18,7 @@ _CLEAN = """list_aggregate(list_filter(list_transform(string_split({c}, chr(10))
 _JOINED = """list_aggregate(list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(x)),
   lambda x: x <> ''), 'string_agg', ' ')"""
 CLEAN_TEXT = _CLEAN.format(c="text")
+_BODY = "string_agg(speaker || ': ' || text || chr(10) || chr(10), '' ORDER BY turn)"
 
 
 def documents_of(spark, sf_dir):
@@ -55,9 +57,6 @@ def segmented_round_trip(spark, sf_dir):
     return X.explode_turns(X.with_turns(docs), "dialogue_id", segment_turns=2)
 
 
-_BODY = "string_agg(speaker || ': ' || text || chr(10) || chr(10), '' ORDER BY turn)"
-
-
 @query(
     f"""WITH {SPOKEN}, d AS (SELECT dialogue_id, {_BODY} AS body FROM spoken GROUP BY 1)
 SELECT dialogue_id, length('Verdict ' || dialogue_id) AS n_evaluation, trim(body, ' ' || chr(10)) AS log, true AS has_header FROM d"""
@@ -93,6 +92,41 @@ def pair_turns(spark, sf_dir):
     return parsed.select("dialogue_id", F.inline(X.pair_turns(F.col("turns"))))
 
 
+def cut_documents(spark, sf_dir, size=29):
+    """The documents in pieces of a few characters, every other one with CR LF line ends; borders fall anywhere."""
+    ends = F.when(F.col("dialogue_id") % 2 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
+    docs = documents_of(spark, sf_dir).withColumn("content", F.replace("content", F.lit("\n"), ends))
+    starts = F.sequence(F.lit(0), F.expr(f"length(content) div {size}"))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("piece"), F.substr("content", i * size + 1, F.lit(size)).alias("content")))
+    return docs.select("dialogue_id", F.inline(cut)).repartition(F.col("piece") % 64)
+
+
+@query(f"WITH {SPOKEN} SELECT dialogue_id, turn, speaker, {CLEAN_TEXT} AS text FROM spoken")
+def pieced_turns(spark, sf_dir):
+    """Turns of documents cut at any character, read without putting a document together."""
+    return pieces.turns_of_lines(pieces.log_lines(cut_documents(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {PAIRS} SELECT dialogue_id, pair_num,
+  'User: ' || trim(string_split(user_text, chr(10))[1]) AS user_line,
+  'Assistant: ' || {_JOINED.format(c="assistant_text")} AS assistant_line FROM pairs"""
+)
+def pieced_pairs(spark, sf_dir):
+    pairs = pieces.pairs_of_lines(pieces.log_lines(cut_documents(spark, sf_dir)))
+    return pairs.withColumnsRenamed({"user": "user_line", "assistant": "assistant_line"})
+
+
+@query(
+    f"""WITH {SPOKEN} SELECT dialogue_id, turn // 3 AS piece,
+  CASE WHEN turn // 3 = 0 THEN '=== Dialogue Log ===' || chr(10) || chr(10) ELSE '' END || {_BODY} AS content FROM spoken GROUP BY 1, 2"""
+)
+def rendered_pieces(spark, sf_dir):
+    """One document for each dialogue, three turns to a piece."""
+    found = pieces.render_pieces(dialogue_turns(spark, sf_dir), piece_turns=3)
+    return found.select("dialogue_id", F.col("piece").cast("bigint").alias("piece"), "content")
+
+
 @query(
     f"""WITH {PAIRS} SELECT dialogue_id, string_agg(chr(10) || '【ペア' || pair_num || '】' || chr(10)
   || 'User: ' || trim(string_split(user_text, chr(10))[1]) || chr(10)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -36,3 +36,10 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     if not root:
         raise ValueError(f"{CHECKPOINT_DIR} must name a folder that every executor can reach")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once for all steps that read them, and safe from lost executors."""
+    path = shared_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,6 +29,24 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return _with_file(spark.read.text(path, wholetext=True, pathGlobFilter=TRANSCRIPT_GLOB))
 
 
+def read_transcripts_at(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same of the files at the given paths only."""
+    if not paths:
+        return spark.createDataFrame([], "file_name string, path string, modified timestamp, content string")
+    return _with_file(spark.read.text(paths, wholetext=True))
+
+
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file_name, piece, content)``: the lines of ``*.txt`` files, as pieces of one log for each file.
+
+    Large files are split between tasks, so a file may be of any size; ``operators.pieces`` reads the lines of a file as a whole. A split
+    lies in one task, whose row numbers ascend.
+    """
+    lines = spark.read.text(path, lineSep="\n", pathGlobFilter=TRANSCRIPT_GLOB)
+    piece = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(F.col("_metadata.file_name").alias("file_name"), piece.alias("piece"), F.concat("value", F.lit("\n")).alias("content"))
+
+
 def stream_transcripts(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """The same as a stream over the files that appear in the folder."""
     return _with_file(

@@ -160,21 +160,38 @@ def test_exact_split(spark, n, cap):
 def test_exact_split_follows_the_rank(spark):
     # all rows in a handful of buckets, so borders fall inside them
     df = spark.range(200).withColumn("h", F.col("id") % 50)
-    out = E.train_eval_split(df, F.col("h"), "id", eval_cap=30, bucket=F.shiftright("h", 4)).collect()
+    out = E.train_eval_split(df, F.col("h"), "id", eval_cap=30).collect()
     order = sorted((r["h"], r["id"], r["split"]) for r in out)
     assert [s for *_, s in order] == ["train"] * 160 + ["eval"] * 30 + ["unused"] * 10
 
 
-def test_exact_split_with_all_rows_in_one_bucket(spark):
+def test_exact_split_of_close_ranks(spark):
     df = spark.range(30_000).withColumn("h", F.col("id") * 1000 - 5_000_000)
-    out = E.train_eval_split(df, F.col("h"), "id", bucket=F.lit(0)).collect()
+    out = E.train_eval_split(df, F.col("h"), "id").collect()
     assert [r["split"] for r in sorted(out, key=lambda r: r["h"])] == ["train"] * 24_000 + ["eval"] * 50 + ["unused"] * 5_950
 
 
-def test_exact_split_refuses_too_many_buckets(spark):
-    df = spark.range(E.SPLIT_BUCKETS + 1)
-    with pytest.raises(Exception, match="more than"):
-        E.train_eval_split(df, F.col("id"), "id", bucket=F.col("id")).collect()
+def test_exact_split_of_equal_ranks(spark):
+    """More rows of one rank than a histogram has bins: the keys decide."""
+    out = E.train_eval_split(spark.range(9000).repartition(5), F.lit(-7).cast("bigint"), "id").collect()
+    assert [r["split"] for r in sorted(out)] == ["train"] * 7200 + ["eval"] * 50 + ["unused"] * 1750
+
+
+@pytest.mark.parametrize("n_groups, cap", [(0, 50), (1, 50), (40, 7), (40, None), (9000, 50)])
+def test_group_split(spark, n_groups, cap):
+    """Groups of 0 to 6 rows and one of a third of all; against a walk through the groups in order."""
+    groups = spark.range(n_groups).withColumn("n", F.when(F.col("id") == 3, n_groups).otherwise(F.col("id") % 7))
+    df = groups.select("id", F.explode(F.sequence(F.lit(0).cast("bigint"), "n")).alias("i")).filter("i > 0")
+    out = E.group_split(df.repartition(4), E.shuffle_key(5, "id"), "id", eval_cap=cap)
+    sizes = {r["id"]: r["count"] for r in df.groupBy("id").count().collect()}
+    order = [r["id"] for r in groups.select("id", E.shuffle_key(5, "id").alias("h")).orderBy("h", "id").collect() if r["id"] in sizes]
+    total, through, expected = sum(sizes.values()), 0, {}
+    limit = int(total * 0.8)
+    for g in order:
+        through += sizes[g]
+        expected[g] = "train" if through <= limit else "eval" if cap is None or through <= limit + cap else "unused"
+    got = {(r["id"], r["split"]) for r in out.collect()}
+    assert got == set(expected.items()) and out.count() == total
 
 
 def test_bucket_split_keeps_groups_together(spark):

@@ -37,16 +37,6 @@ def test_position_and_running_sum(spark, rows, span):
     assert {tuple(r) for r in out.select("k", "o", "v", "p", "total").collect()} == expected
 
 
-@pytest.mark.parametrize("hot_rows", [0, 100, 10**6])
-def test_sparse_order_splits_hot_keys_only(spark, rows, hot_rows):
-    far = [(k, o * 10**9, v) for k, o, v in rows] + [(None, 5, 1), (None, 6, 1)]
-    df = spark.createDataFrame(far, "k string, o bigint, v bigint").repartition(5)
-    assert spans.hot_keys(df, ["k"], 100).collect() == [("hot",)]
-    out = spans.with_position(df, ["k"], "o", "p", 16 * 10**9, True, hot_rows)
-    expected = {(k, o, i) for k, g in by_key(far[:-2]).items() for i, (o, _) in enumerate(g)}
-    assert {tuple(r) for r in out.select("k", "o", "p").collect()} == expected | {(None, 5, None), (None, 6, None)}
-
-
 @pytest.mark.parametrize("size", [1, 2, 5])
 @pytest.mark.parametrize("span", [2, 7, 65536])
 def test_trailing(spark, rows, size, span):
