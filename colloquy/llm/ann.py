@@ -4,8 +4,9 @@ Vectors get one more component that makes all norms equal, so that the largest i
 Centroids come from k-means over at most ``SAMPLE`` vectors, the least by a hash of their id; every
 vector is indexed. A vector joins the list of its nearest centroid and of up to ``COPIES - 1`` more whose distance is
 within ``REPLICA_RATIO`` of it, so boundary vectors are in several lists. Centroids are found by a graph that
-each task holds in memory: a beam search over their nearest neighbours. A query reads the lists whose centroid
-is within ``SEARCH_RATIO`` of its nearest one, and at least ``LEAST_LISTS``. Lists are cut into pieces of about
+each task holds in memory: a beam search over their nearest neighbours, at every number of lists. A query reads the lists whose
+centroid is within ``SEARCH_RATIO`` of its nearest one, however many they are (the beam widens until it has passed that
+ratio), and at least ``LEAST_LISTS``. Lists are cut into pieces of about
 ``PIECE`` vectors, dealt by a hash, and so are the queries of a list; each piece returns its best for each query, and the
 best of all pieces follow.
 Scores are recomputed on the original vectors in double precision, row by row, so equal vectors tie exactly.
@@ -35,11 +36,14 @@ MOST_LISTS = 16_384
 PIECE = 4_096
 COPIES = 4
 REPLICA_RATIO = 1.15
-SEARCH_RATIO = 1.6
-LEAST_LISTS = 24
-NEIGHBOURS = 24
+SEARCH_RATIO = 1.15
+LEAST_LISTS = 32
+NEIGHBOURS = 16
 ROUNDS = 8
 SEED = 7
+#: Doubles of a matrix that a search or a fit makes at once, and beam members that a search expands in a round.
+_BLOCK = 1 << 22
+_EXPAND = 8
 
 
 def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -69,9 +73,11 @@ class Centroids:
         self.largest = largest
         points = self.lifted(sample)
         rng = np.random.default_rng(SEED)
+        rows = 1
         centres = points[rng.permutation(len(points))[: max(1, min(count, len(points)))]].copy()
         for _ in range(ROUNDS):
-            own = np.concatenate([_squared(points[i : i + 4096], centres).argmin(1) for i in range(0, len(points), 4096)])
+            rows = max(1, _BLOCK // len(centres))
+            own = np.concatenate([_squared(points[i : i + rows], centres).argmin(1) for i in range(0, len(points), rows)])
             sums = np.zeros_like(centres)
             np.add.at(sums, own, points)
             sizes = np.bincount(own, minlength=len(centres))
@@ -82,10 +88,18 @@ class Centroids:
             centres[~filled] = points[spare][: (~filled).sum()]
         self.centres = centres
         near = min(NEIGHBOURS, len(centres))
-        blocks = [_squared(centres[i : i + 1024], centres).argsort(1)[:, :near] for i in range(0, len(centres), 1024)]
-        # A few random links besides the nearest keep the graph connected.
+        blocks = [_squared(centres[i : i + rows], centres).argsort(1)[:, :near] for i in range(0, len(centres), rows)]
+        forth = np.concatenate(blocks)
+        # Links lead back as well, from the nearest ones first; a few random ones keep the graph connected.
+        source, target = np.repeat(np.arange(len(centres)), near), forth.ravel()
+        order = np.lexsort((np.tile(np.arange(near), len(centres)), target))
+        source, target = source[order], target[order]
+        place = np.arange(len(target)) - np.searchsorted(target, target)
+        back = np.tile(np.arange(len(centres))[:, None], NEIGHBOURS)
+        fits = place < NEIGHBOURS
+        back[target[fits], place[fits]] = source[fits]
         links = rng.integers(0, len(centres), (len(centres), 8))
-        self.graph = np.concatenate((np.concatenate(blocks), links), axis=1)
+        self.graph = np.concatenate((forth, back, links), axis=1)
         self.entry = rng.permutation(len(centres))[: min(64, len(centres))]
 
     def lifted(self, vectors: np.ndarray, query: bool = False) -> np.ndarray:
@@ -97,32 +111,51 @@ class Centroids:
         rest = np.sqrt(np.maximum(self.largest**2 - norms, 0))
         return np.concatenate((vectors, rest[:, None]), axis=1)
 
-    def nearest(self, points: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest centroids and their distances, by beam search for all points at once."""
+    def nearest(self, points: np.ndarray, least: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """Centroids found for each point, nearest first, and their distances (infinite where there are no more).
+
+        Each point has at least ``least`` of them, and all found within ``ratio`` of its nearest one: where the last of a beam is still
+        within it, the beam is made twice as wide and the search goes on.
+        """
         total = len(self.centres)
-        count = min(count, total)
-        if total <= 4 * count:
-            squared = _squared(points, self.centres)
-            best = np.argsort(squared, axis=1, kind="stable")[:, :count]
-            return best, np.sqrt(np.take_along_axis(squared, best, 1))
-        beam = np.broadcast_to(self.entry, (len(points), len(self.entry)))
-        beam, far = self._best(points, beam, count)
-        while True:
-            more = self.graph[beam[:, : max(8, count // 2)]].reshape(len(points), -1)
-            new, new_far = self._best(points, np.concatenate((beam, more), axis=1), count)
-            if (new_far.sum(1) >= far.sum(1) - 1e-12).all():
-                return beam, np.sqrt(far)
-            beam, far = new, new_far
-
-    def _best(self, points: np.ndarray, choices: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        choices = np.sort(choices, axis=1)
-        squared = np.empty(choices.shape)
-        for i in range(0, len(points), 512):
-            some = self.centres[choices[i : i + 512]] - points[i : i + 512, None, :]
-            squared[i : i + 512] = np.einsum("ijk,ijk->ij", some, some)
-        squared[:, 1:][choices[:, 1:] == choices[:, :-1]] = np.inf
-        at = np.argsort(squared, axis=1, kind="stable")[:, :count]
-        return np.take_along_axis(choices, at, 1), np.take_along_axis(squared, at, 1)
+        rows = max(1, _BLOCK // max(total, _EXPAND * self.graph.shape[1] * self.centres.shape[1]))
+        parts = [self._search(points[i : i + rows], min(least, total), ratio) for i in range(0, len(points), rows)]
+        width = max((found.shape[1] for found, _ in parts), default=0)
+        lists, far = np.zeros((len(points), width), np.int64), np.full((len(points), width), np.inf)
+        for i, (found, distances) in enumerate(parts):
+            lists[i * rows : i * rows + len(found), : found.shape[1]] = found
+            far[i * rows : i * rows + len(found), : found.shape[1]] = distances
+        return lists, far
+
+    def _search(self, points: np.ndarray, width: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        total, each = len(self.centres), np.arange(len(points))
+        squared = np.full((len(points), total), np.inf)
+        squared[:, self.entry] = _squared(points, self.centres[self.entry])
+        open_ = np.ones(squared.shape, bool)
+        widths = np.full(len(points), width)
+        going = each
+        while len(going):
+            widest = int(widths[going].max())
+            beam = np.argpartition(squared[going], widest - 1, axis=1)[:, :widest]
+            far = np.take_along_axis(squared[going], beam, 1)
+            order = np.argsort(far, axis=1, kind="stable")
+            beam, far = np.take_along_axis(beam, order, 1), np.take_along_axis(far, order, 1)
+            # Beam members not looked at yet, nearest first; unseen centroids have no distance.
+            waiting = open_[going[:, None], beam] & np.isfinite(far) & (np.arange(widest) < widths[going][:, None])
+            wide = (far[np.arange(len(going)), widths[going] - 1] <= ratio**2 * far[:, 0]) & (widths[going] < total) & ~waiting.any(axis=1)
+            widths[going[wide]] = np.minimum(2 * widths[going[wide]], total)
+            first = waiting & (np.cumsum(waiting, axis=1) <= _EXPAND)
+            row, col = np.nonzero(first)
+            open_[going[row], beam[row, col]] = False
+            row, centre = np.repeat(going[row], self.graph.shape[1]), self.graph[beam[row, col]].ravel()
+            new = ~np.isfinite(squared[row, centre])
+            row, centre = row[new], centre[new]
+            apart = points[row] - self.centres[centre]
+            squared[row, centre] = np.einsum("ij,ij->i", apart, apart)
+            going = going[waiting.any(axis=1) | wide]
+        widest = int(widths.max(initial=1))
+        found = np.argsort(squared, axis=1, kind="stable")[:, :widest]
+        return found, np.sqrt(np.take_along_axis(squared, found, 1))
 
 
 def fit(vectors: DataFrame) -> Centroids | None:
@@ -145,11 +178,11 @@ def _assign(rows: DataFrame, centroids, query: bool) -> DataFrame:
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
                 points = own.lifted(_lists(batch.column("v")), query)
-                lists, far = own.nearest(points, 4 * LEAST_LISTS if query else 2 * COPIES)
                 ratio = SEARCH_RATIO if query else REPLICA_RATIO
+                lists, far = own.nearest(points, LEAST_LISTS if query else 2 * COPIES, ratio if query else 1.0)
                 take = far <= ratio * far[:, :1] + 1e-12
                 if query:
-                    take[:, :LEAST_LISTS] = True
+                    take[:, :LEAST_LISTS] = np.isfinite(far[:, :LEAST_LISTS])
                 else:
                     take[:, COPIES:] = False
                 row, col = np.nonzero(take)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import licenses, periodic, queries, whitening, words
+from colloquy.llm import ann, licenses, periodic, queries, whitening, words
 
 SCHEMA = "doc_id bigint, text string, row string, n_words int, runs string, mark string, labels string"
 
@@ -272,3 +272,66 @@ def test_substitution():
     upper, rows = np.triu(rng.normal(size=(70, 70))) + 9 * np.eye(70), rng.normal(size=(20, 70))
     assert np.abs(whitening.solved(rows, upper) @ upper - rows).max() < 1e-10
     assert whitening._independent(np.zeros((3, 3))) == []
+
+
+def clouds(kind, n, dim=24):
+    rng = np.random.default_rng(11)
+    if kind == "plain":
+        return rng.normal(size=(n, dim))
+    middles = rng.normal(size=(60, dim))
+    points = middles[rng.integers(0, 60, n)] + 0.4 * rng.normal(size=(n, dim))
+    return points * rng.uniform(0.2, 3, n)[:, None] if kind == "norms" else points
+
+
+@pytest.mark.parametrize("kind", ["plain", "groups", "norms"])
+def test_centroid_graph(kind):
+    """The beam finds what a search of all centroids finds, and widens until the ratio is passed."""
+    vectors = clouds(kind, 6000)
+    own = ann.Centroids(vectors, 900, float(np.sqrt((vectors * vectors).sum(1)).max()))
+    points = own.lifted(vectors[:200], True)
+    every = np.sqrt(ann._squared(points, own.centres))
+    found, far = own.nearest(points, 16, 1.1)
+    shares, wider = [], 0
+    for i in range(200):
+        best = np.argsort(every[i], kind="stable")
+        want = set(best[: max(16, int((every[i] <= 1.1 * every[i].min()).sum()))].tolist())
+        got = found[i][np.isfinite(far[i]) & ((far[i] <= 1.1 * far[i][0] + 1e-12) | (np.arange(found.shape[1]) < 16))].tolist()
+        assert len(got) == len(set(got)) >= 16
+        shares.append(len(want & set(got)) / len(want))
+        wider += len(want) > 16
+    assert np.mean(shares) > 0.9 and (wider or kind != "plain")
+    assert np.allclose(far[0, :16], every[0][found[0, :16]])
+
+
+@pytest.mark.parametrize("kind", ["plain", "groups", "norms"])
+def test_neighbours_across_many_lists(spark, monkeypatch, kind):
+    """Some 750 lists of which a query reads a part; recall, scores and ranks against brute force."""
+    monkeypatch.setattr(ann, "LIST", 4)
+    monkeypatch.setattr(ann, "LEAST_LISTS", 24)
+    monkeypatch.setattr(ann, "PIECE", 16)
+    if kind == "plain":  # lists of four say little about vectors without groups, so the beam must widen
+        monkeypatch.setattr(ann, "SEARCH_RATIO", 1.4)
+    vectors = clouds(kind, 3000)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    found = ann.search(ann.usable(rows), F.col("id") % 20 == 0, 20).collect()
+    own = {}
+    for r in found:
+        own.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(own) == set(range(0, 3000, 20))
+    recall = []
+    for q, got in own.items():
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        best = set(np.argsort(-scores, kind="stable")[:20].tolist())
+        got.sort()
+        assert [r for r, _, _ in got] == list(range(1, 21)) and q not in {v for _, v, _ in got}
+        assert all(abs(s - scores[v]) < 1e-9 for _, v, s in got) and got == sorted(got, key=lambda g: (-g[2], g[1]))
+        recall.append(len(best & {v for _, v, _ in got}) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_neighbours_of_odd_rows(spark):
+    """Null ids and vectors, unlike lengths, zeros, repeated ids."""
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [1.0, 1.0]), (None, [5.0, 5.0]), (3, [1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [2.0, 0.0])]
+    found = ann.search(ann.usable(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")), F.col("id") % 20 == 0, 20).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == 0) == [(0, 1, 7, 2.0), (0, 2, 20, 1.0)]
