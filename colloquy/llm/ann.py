@@ -6,7 +6,7 @@ vector is indexed. A vector joins the list of its nearest centroid and of up to
 within ``REPLICA_RATIO`` of it, so boundary vectors are in several lists. Centroids are found by a graph that
 each task holds in memory: a beam search over their nearest neighbours, at every number of lists. A query reads the lists whose
 centroid is within ``SEARCH_RATIO`` of its nearest one, however many they are (the beam widens until it has passed that
-ratio), and at least ``LEAST_LISTS``. Lists are cut into pieces of about
+ratio), and at least ``LEAST_LISTS``; those are read first, and of the others only what reaches the score they give is passed on. Lists are cut into pieces of about
 ``PIECE`` vectors, dealt by a hash, and so are the queries of a list; each piece returns its best for each query, and the
 best of all pieces follow.
 Scores are recomputed on the original vectors in double precision, row by row, so equal vectors tie exactly.
@@ -187,14 +187,15 @@ def _assign(rows: DataFrame, centroids, query: bool) -> DataFrame:
                     take[:, COPIES:] = False
                 row, col = np.nonzero(take)
                 columns = [batch.column(n).take(pa.array(row)) for n in ("id", "v")]
-                yield pa.RecordBatch.from_arrays([pa.array(lists[row, col].astype(np.int64)), *columns], names=["list", "id", "v"])
+                columns += [pa.array(lists[row, col].astype(np.int64)), pa.array(col < LEAST_LISTS)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "list", "near"])
 
-    return rows.select("id", "v").mapInArrow(run, "list bigint, id bigint, v array<double>")
+    return rows.select("id", "v").mapInArrow(run, "id bigint, v array<double>, list bigint, near boolean")
 
 
 def _best_of_piece(k: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        queries, ids = _lists(left.column("v").combine_chunks()), left.column("id").to_numpy()
+        queries, ids, floor = _lists(left.column("v").combine_chunks()), left.column("id").to_numpy(), left.column("floor").to_numpy()
         vectors, names = _lists(right.column("v").combine_chunks()), right.column("id").to_numpy()
         out: list[tuple[np.ndarray, ...]] = []
         if len(ids) and len(names):
@@ -205,8 +206,8 @@ def _best_of_piece(k: int):
                 rough = some @ vectors.T
                 # One candidate may be the query itself, and rounding may shift the border.
                 last = min(k + 1, len(names))
-                border = -np.partition(-rough, last - 1, axis=1)[:, last - 1]
-                slack = 1e-9 * (1 + np.abs(border))
+                border = np.maximum(-np.partition(-rough, last - 1, axis=1)[:, last - 1], floor[start : start + 256])
+                slack = np.where(np.isfinite(border), 1e-9 * (1 + np.abs(border)), 0)
                 q, c = np.nonzero((rough >= (border - slack)[:, None]) & (own[:, None] != names[None, :]))
                 exact = (some[q] * vectors[c]).sum(axis=1)
                 by = np.lexsort((names[c], -exact, q))
@@ -230,19 +231,31 @@ def search(candidates: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     centroids = spark.sparkContext.broadcast(fitted)
     posted = written(_assign(vectors, centroids, False), "ann-lists")
     asked = written(_assign(vectors.filter(is_query), centroids, True), "ann-queries")
-    # A list's vectors are dealt to pieces and its queries to rows; every piece meets every row once.
+    # The nearest lists of a query are read first. What the others hold counts only if it reaches the score that those give.
+    first = written(_met(asked.filter("near").withColumn("floor", F.lit(float("-inf"))), posted, k), "ann-found")
+    floors = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("_rank", _ranked())
+    floors = floors.filter(F.col("_rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    rest = asked.filter("not near").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    once = first.union(_met(rest, posted, k)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = once.withColumn("rank", _ranked()).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked() -> Column:
+    return F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+
+
+def _met(asked: DataFrame, posted: DataFrame, k: int) -> DataFrame:
+    """The best of each piece for the queries that read its list: a list's vectors are dealt to pieces and its queries to rows, and
+    every piece meets every row once."""
     sizes = posted.groupBy("list").count().select("list", F.ceil(F.col("count") / PIECE).alias("pieces"))
     sizes = sizes.join(asked.groupBy("list").count().select("list", F.ceil(F.col("count") / PIECE).alias("rows")), "list")
 
-    def dealt(rows: DataFrame, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
+    def dealt(rows: DataFrame, own: str, own_count: str, other: str, other_count: str, *more: str) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_count) - 1))
         placed = rows.join(sizes, "list").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_count))).withColumn(other, every)
-        return placed.select("list", "piece", "row", "id", "v")
+        return placed.select("list", "piece", "row", "id", "v", *more)
 
-    seeking = dealt(asked, "row", "rows", "piece", "pieces").groupBy("list", "piece", "row")
+    seeking = dealt(asked, "row", "rows", "piece", "pieces", "floor").groupBy("list", "piece", "row")
     held = dealt(posted, "piece", "pieces", "row", "rows").groupBy("list", "piece", "row")
-    found = seeking.cogroup(held).applyInArrow(_best_of_piece(k), "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return seeking.cogroup(held).applyInArrow(_best_of_piece(k), "query_id bigint, vec_id bigint, score double")
