@@ -2,14 +2,15 @@
 
 Base kinds are found by a pattern each, leftmost and non-overlapping: ``assign`` (a named value),
 ``access`` (an access key id) and ``hex`` (a long hexadecimal run). Weak parts are an ``ident`` (a user or
-client name), a ``secret`` (a random-looking run, however long) and an endpoint (a URL's host). An identifier is an access
+client name), a ``secret`` (a random-looking run, however long) and an endpoint (a whole URL). An identifier is an access
 key id or an ident. A weak secret is reported only if an identifier or an endpoint lies in its scope, an
 ident only if a weak secret or an assigned value does. The scope of a part is its text from
-``SCOPE`` code points before it to ``SCOPE`` after it.
+``SCOPE`` code points before it to ``SCOPE`` after it, without the part itself: a part that overlaps a candidate does not complete it.
 
-The link is an interval join by (row, stretch of ``SCOPE`` code points): the parts of a class within a
-stretch are first reduced to their outermost points, so a candidate meets one row for each class
-and stretch, whatever the number of parts in a text.
+The link is an interval join by (row, stretch of ``SCOPE`` code points): a partner ends within ``SCOPE`` before a candidate, or starts
+within ``SCOPE`` behind it. Ends and starts of a class within a stretch are first reduced to the least and the greatest. Of the two
+stretches that a scope's side meets, the one needs only the greatest and the other only the least, so a candidate meets one row
+for each class, side and stretch, whatever the number of parts in a text, and nothing is lost.
 
 Nulls: a null text is an empty one; a null ``doc_id`` is carried. Repeated rows are each returned with equal
 results. Positions are code points, ends exclusive. Texts without a match cost one search for each pattern; the
@@ -52,7 +53,7 @@ WEAK = (
     Kind("ident", r"""((?i:user(?:name)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 2, 3),
     Kind("secret", r"[A-Za-z0-9/+_-]{32,}", 0, 32, ("[0-9]", "[A-Z]", "[a-z]")),
 )
-ENDPOINT = Kind("endpoint", r"(?:https?|jdbc:[a-z]+|s3|ftp)://[A-Za-z0-9.-]+", 0, 8)
+ENDPOINT = Kind("endpoint", r"""(?:https?|jdbc:[a-z]+|s3|ftp)://[A-Za-z0-9.-]+[^\x00-\x20"'<>]*""", 0, 8)
 ORDER = {kind.name: number for number, kind in enumerate((*BASE, *WEAK))}
 
 SPANS = "array<struct<start: int, kind: int, end: int>>"
@@ -147,30 +148,40 @@ def linked(found: DataFrame) -> DataFrame:
     needs = {"secret": ("access", "ident", "endpoint"), "ident": ("secret", "assign")}
     weak = F.concat(*[F.col(name) for name in needs])
     some = found.filter(F.size(weak) > 0)
-    stretch = F.lit(SCOPE)
-    candidates = (
-        some.select("_id", "_hash", F.explode(F.array_distinct(weak)).alias("span"))
-        .select("_id", "_hash", "span", (F.col("span.start") - SCOPE).alias("low"), (F.col("span.end") + SCOPE).alias("high"))
-        .withColumn("part", F.explode(F.sequence(F.floor(F.col("low") / stretch), F.floor(F.col("high") / stretch))))
+    start, end = F.col("span.start"), F.col("span.end")
+
+    def probe(side: str, stretch: Column, low: Column, high: Column) -> Column:
+        return F.struct(F.lit(side).alias("side"), stretch.cast("bigint").alias("part"), low.alias("low"), high.alias("high"))
+
+    def stretch_of(at: Column) -> Column:
+        return F.floor(at / F.lit(SCOPE))
+
+    before, behind = stretch_of(start), stretch_of(end)
+    probes = F.array(
+        *[probe("end", before - i, start - SCOPE, start) for i in (1, 0)],
+        *[probe("start", behind + i, end, end + SCOPE) for i in (0, 1)],
     )
+    spans_ = some.select("_id", "_hash", F.explode(F.array_distinct(weak)).alias("span"))
+    candidates = spans_.select("_id", "_hash", "span", F.inline(probes))
     classes = sorted({name for names in needs.values() for name in names})
 
     def named(name: str) -> Column:
         ends = lambda s: F.struct(F.lit(name).alias("of"), s["start"].alias("start"), s["end"].alias("end"))
         return F.transform(F.col(name), ends)
 
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"p.{side}").alias("at")) for side in ("start", "end")])
     points = (
         some.select("_id", "_hash", F.explode(F.concat(*map(named, classes))).alias("p"))
-        .select("_id", "_hash", "p.of", F.explode(F.array("p.start", "p.end")).alias("at"))
-        .groupBy("_id", "_hash", F.floor(F.col("at") / stretch).alias("part"), "of")
+        .select("_id", "_hash", "p.of", F.inline(sides))
+        .groupBy("_id", "_hash", "side", stretch_of(F.col("at")).alias("part"), "of")
         .agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    )
+    )
     pairs = F.lit(False)
     for name, partners in needs.items():
         pairs = pairs | ((F.col("span.kind") == ORDER[name]) & F.col("of").isin(*partners))
-    met = candidates.join(points, ["_id", "_hash", "part"]).filter(
-        pairs & (F.col("last") >= F.col("low")) & (F.col("first") <= F.col("high"))
-    )
+    # A side of a scope is as long as a stretch, so a stretch reaches beyond it at one end at most.
+    inside = F.col("first").between(F.col("low"), F.col("high")) | F.col("last").between(F.col("low"), F.col("high"))
+    met = candidates.join(points, ["_id", "_hash", "side", "part"]).filter(pairs & inside)
     return met.groupBy("_id", "_hash").agg(F.collect_set("span").alias("weak"))
 
 
