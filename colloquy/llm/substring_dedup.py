@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.store import written
-from colloquy.llm.words import WORD, hashes, mixed, split, text_slices
+from colloquy.llm.words import WORD, lanes, mixed, split, text_slices
 
 WINDOW = 35
 K = 8
@@ -58,13 +58,14 @@ class Stretches:
     def __init__(self, texts: pa.Array, window: int, k: int):
         offsets, codes, distinct = split(texts)
         self.window = window
-        words = hashes(distinct)[codes] if len(distinct) else np.empty(0, np.uint64)
+        words, others = (lane[codes] for lane in lanes(distinct))
         total, wide = len(words), window - k + 1
         self.text = self.start = self.end = np.empty(0, np.int64)
         self.anchor = self.context = np.empty(0, np.uint64)
         if total < window:
             return
-        self.rolling, self.words = Rolling(words, _FIRST), words
+        # Two rolling hashes on unlike halves of the words' hashes: together 128 bits.
+        self.rolling, self.other = Rolling(words, _FIRST), Rolling(others, _SECOND)
         kmers = self.rolling.of(np.arange(total - k + 1), k)
         of_text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         starts = np.flatnonzero(of_text[: total - window + 1] == of_text[window - 1 :])
@@ -81,7 +82,7 @@ class Stretches:
         self.text = of_text[self.first]
         self.anchor = kmers[at[first]]
         shape = (at[first] - self.first).astype(np.uint64) << np.uint64(32) | (self.last - self.first).astype(np.uint64)
-        self.context = mixed(self.rolling.of(self.first, self.last - self.first + window) ^ mixed(shape))
+        self.context = mixed(self.other.of(self.first, self.last - self.first + window) ^ mixed(shape))
         # Word numbers within the text.
         self.start, self.end = self.first - offsets[self.text], self.last - offsets[self.text]
 
@@ -90,8 +91,7 @@ class Stretches:
         sizes = self.last[which] - self.first[which] + 1
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         at = np.repeat(self.first[which], sizes) + inside
-        other = Rolling(mixed(self.words), _SECOND)
-        return np.repeat(which, sizes), np.repeat(self.start[which], sizes) + inside, self.rolling.of(at, self.window), other.of(at, self.window)
+        return np.repeat(which, sizes), np.repeat(self.start[which], sizes) + inside, self.rolling.of(at, self.window), self.other.of(at, self.window)
 
 
 def edges(keyed: DataFrame, window: int, k: int) -> DataFrame:

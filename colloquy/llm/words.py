@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: The six ASCII space characters, as a character class for regular expressions.
 SPACES = r"\x20\x09-\x0D"
@@ -90,6 +91,13 @@ _BASE = 0x9E3779B97F4A7C15
 _OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def lanes(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit hash (XXH3) of each word's UTF-8 bytes."""
+    raw = b"".join(map(xxhash.xxh3_128_digest, distinct.cast(pa.binary()).to_pylist()))
+    both = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def hashes(distinct: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word's UTF-8 bytes: a polynomial over scrambled bytes, from prefix sums over all words."""
     if not len(distinct):

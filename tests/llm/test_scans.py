@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import ann, licenses, periodic, queries, secrets, whitening, words
+from colloquy.llm import ann, licenses, periodic, queries, secrets, substring_dedup, whitening, words
 
 SCHEMA = "doc_id bigint, text string, row string, n_words int, runs string, mark string, labels string"
 
@@ -369,3 +369,17 @@ def test_a_part_does_not_complete_itself(spark):
     texts = [(1, "https://example.com/docs/Guide2024/ChapterNineSection12PartB/index"), (2, f"login: {'aB3' * 12}"), (3, f"login: bob {'aB3' * 12}")]
     rows = secrets.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["n_linked"] for r in rows} == {1: 0, 2: 0, 3: 2}
+
+
+def test_words_of_one_polynomial_are_told_apart(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2^64; no 35 words occur twice here."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(40)]
+    texts = [(1, " ".join([*rest[:20], word, *rest[20:]])), (2, " ".join([*rest[:20], other, *rest[20:]]))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert [r["n_removed"] for r in substring_dedup.deduped(docs).collect()] == [0, 0]
+    same = spark.createDataFrame([texts[0], (2, texts[0][1])], "doc_id bigint, text string")
+    assert [r["n_removed"] for r in substring_dedup.deduped(same).collect()] == [41, 41]
