@@ -172,9 +172,11 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
     places = written(keyed.select("_id", "_hash", "_text").mapInArrow(run, schema), "edge-places")
     spans = ["_id", "_hash", "start", "stop"]
     paths = places.filter("not branches").join(found.filter("not branches").select("anchor"), "anchor").select(*spans)
-    windows = places.filter("branches").select(*spans, "first", "second")
+    # A window's end follows from its start, so it is not shuffled.
+    windows = places.filter("branches").select("_id", "_hash", "start", "first", "second")
     twice = windows.groupBy("first", "second").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return paths.union(windows.join(twice, ["first", "second"]).select(*spans))
+    repeated = windows.join(twice, ["first", "second"]).select("_id", "_hash", "start", (F.col("start") + window).alias("stop"))
+    return paths.union(repeated)
 
 
 def deduped(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
