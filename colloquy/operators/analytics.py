@@ -15,6 +15,7 @@ from colloquy.functions.names import BASE, checkpoint_number, turns_from_name
 from colloquy.functions.scores import coerce_score, null_token, pair_penalty
 from colloquy.functions.text import is_blank
 from colloquy.schemas import METRICS
+from colloquy.session import stored
 
 # Share of each metric in the 85 % that the metric means carry, and the consistency share.
 METRIC_WEIGHTS = {"tone": 0.35 / 0.85, "logic": 0.20 / 0.85, "approach": 0.20 / 0.85, "format": 0.10 / 0.85}
@@ -215,13 +216,22 @@ def checkpoint_score(ratings: DataFrame, order: str = "dialogue_id", strict: boo
     85 % weighted metric means and 15 % mean pair penalty over the metrics that have both pairs.
     Where a metric is missing the score is null; ``strict`` raises instead.
     """
-    seen = ratings.groupBy(MODEL, CHECKPOINT, "metric_type").agg(
+    return _score_of_cells(checkpoint_cells(ratings, order), strict)
+
+
+def checkpoint_cells(ratings: DataFrame, order: str = "dialogue_id") -> DataFrame:
+    """Sum, count, means over all pairs, pair 1 and pair 2, and the first row, of each model, checkpoint and metric."""
+    return ratings.groupBy(MODEL, CHECKPOINT, "metric_type").agg(
+        F.sum("score").alias("total"),
+        F.count("score").alias("n"),
         F.avg("score").alias("mean"),
         F.avg(F.when(F.col("pair_num") == 1, F.col("score"))).alias("mean1"),
         F.avg(F.when(F.col("pair_num") == 2, F.col("score"))).alias("mean2"),
         F.min(order).alias("first_seen"),
     )
 
+
+def _score_of_cells(seen: DataFrame, strict: bool = False) -> DataFrame:
     def of(metric: str, value: Column) -> Column:
         return F.max(F.when(F.col("metric_type") == metric, value))
 
@@ -300,6 +310,18 @@ def improvement_from_base_best(ratings: DataFrame, best: DataFrame) -> DataFrame
     return _against_base(means, means)
 
 
+def best_against_base(ratings: DataFrame, order: str = "dialogue_id") -> DataFrame:
+    """``improvement_from_base_best`` at the checkpoints with the best score, from one scan of the ratings.
+
+    Everything follows from a row for each model, checkpoint and metric, which is stored.
+    """
+    cells = stored(checkpoint_cells(ratings, order), "checkpoint-cells")
+    best = best_checkpoint(_score_of_cells(cells)).select(MODEL, CHECKPOINT, F.lit(True).alias("_chosen"))
+    chosen = cells.join(best, [MODEL, CHECKPOINT], "left").filter((F.col(MODEL) == BASE) | F.col("_chosen"))
+    means = chosen.groupBy(MODEL, "metric_type").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    return _against_base(means, means)
+
+
 def improvement_from_base_all(ratings: DataFrame) -> DataFrame:
     """Metric means over all checkpoints against the base means."""
     means = model_metric_means(ratings)

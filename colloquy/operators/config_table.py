@@ -28,10 +28,13 @@ def flag_duplicates(rows: DataFrame, *keys: str, out: str = "is_duplicate") -> D
 
 
 def drop_duplicates_keep_first(rows: DataFrame, *keys: str, position: str) -> DataFrame:
-    """Per key the row that comes first by ``position``; map-side aggregation keeps one row per task."""
-    rest = [c for c in rows.columns if c not in keys]
-    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), position).alias("_first"))
-    return first.select(*keys, "_first.*").select(*rows.columns)
+    """Per key the row that comes first by ``position``, which tells rows apart; null keys equal each other.
+
+    The first positions are a hash aggregation over keys alone; the rows themselves are not shuffled by key but
+    matched by position, so a hot key is no hot partition.
+    """
+    first = rows.groupBy(*keys).agg(F.min(position).alias(position)).select(position)
+    return rows.join(first, position, "left_semi").select(*rows.columns)
 
 
 def check_catalog_ids(config: DataFrame, catalog: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:

@@ -283,9 +283,7 @@ WHERE t.model_version <> 'base'"""
     + _GAIN
 )
 def improvement_from_base_best(spark, sf_dir):
-    rated = ratings(spark, sf_dir)
-    best = A.best_checkpoint(A.checkpoint_score(rated))
-    return _round(A.improvement_from_base_best(rated, best), "mean", "base_mean", "improvement")
+    return _round(A.best_against_base(ratings(spark, sf_dir)), "mean", "base_mean", "improvement")
 
 
 _MEANS = ", m AS (SELECT model_version, metric_type, avg(score) AS mean FROM ratings GROUP BY 1, 2) "

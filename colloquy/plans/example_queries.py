@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import TOKEN, first_tokens_pattern, token_count
 from colloquy.operators import examples as E
+from colloquy.operators import patterns as K
 from colloquy.operators import transcripts as X
-from colloquy.plans.inputs import SPOKEN, dialogue_turns, table
+from colloquy.operators.templates import compile_template
+from colloquy.plans.inputs import SPOKEN, dialogue_turns, spread, table
 from colloquy.plans.jobs import prepare_examples
 from colloquy.plans.registry import query
 from colloquy.plans.transcript_queries import CLEAN_TEXT, documents_of
@@ -117,6 +119,36 @@ def message_order(spark, sf_dir):
     )
 
 
+# Two unlike templates, in the language of tokenizers.
+MARKED = (
+    "{{ bos_token }}{% for m in messages %}{% if m['role'] == 'model' %}{% set role = 'assistant' %}{% else %}{% set role = m['role'] %}{% endif %}"
+    "{{ '<|' + role + '|>\n' + m['content'] | trim + '\n' }}{% endfor %}{% if add_generation_prompt %}{{ '<|assistant|>\n' }}{% endif %}"
+)
+BRACKETED = (
+    "{%- for m in messages -%}{%- if m.role == 'user' -%}{{- '[INST] ' ~ loop.index ~ ' of ' ~ loop.length ~ ': ' ~ m.content ~ ' [/INST]' -}}"
+    "{%- else -%}{{- ' ' ~ m.content -}}{%- if not loop.last -%}</s>{%- endif -%}{%- endif -%}{%- endfor -%}"
+)
+
+
+@query(
+    f"""WITH {SPOKEN}, {_CHAT}, sized_chat AS (SELECT *, count(*) OVER (PARTITION BY source_file, extract_range) AS n_all FROM chat)
+SELECT source_file, extract_range, '<s>' || string_agg('<|' || CASE role WHEN 'model' THEN 'assistant' ELSE role END || '|>' || chr(10) || trim(content) || chr(10), '' ORDER BY pos)
+    || '<|assistant|>' || chr(10) AS marked,
+  string_agg(CASE WHEN role = 'user' THEN '[INST] ' || (pos + 1) || ' of ' || n_all || ': ' || content || ' [/INST]'
+    ELSE ' ' || content || CASE WHEN pos + 1 < n_all THEN '</s>' ELSE '' END END, '' ORDER BY pos) AS bracketed
+FROM sized_chat GROUP BY 1, 2"""
+)
+def templated_chat(spark, sf_dir):
+    """Examples rendered by compiled chat templates."""
+    messages = F.col("messages")
+    return chat_examples(spark, sf_dir).select(
+        "source_file",
+        "extract_range",
+        compile_template(MARKED)(messages=messages, bos_token="<s>", add_generation_prompt=True).alias("marked"),
+        compile_template(BRACKETED)(messages=messages).alias("bracketed"),
+    )
+
+
 @query(f"WITH {SPOKEN}, {_FLAWED} SELECT source_file, extract_range, text FROM classified WHERE text IS NOT NULL")
 def chat_text(spark, sf_dir):
     return _classified(spark, sf_dir).filter("text is not null").select("source_file", "extract_range", "text")
@@ -149,7 +181,7 @@ def example_profile(spark, sf_dir):
 SELECT doc_id, n_tokens FROM t WHERE n_tokens <= 256"""
 )
 def token_budget(spark, sf_dir):
-    return E.within_token_budget(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+    return E.within_token_budget(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_tokens")
 
 
 # SQL of the padded ids: id of a token is a number from its md5, mapped behind the reserved ids.
@@ -164,7 +196,7 @@ SELECT doc_id, len(kept) AS n_real, {E.MAX_TOKENS} AS n_ids, list_sum(kept)::BIG
 )
 def tokenize_pad(spark, sf_dir):
     """Truncated and padded to the model length, which is what the operator is for."""
-    padded = E.tokenize_pad(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    padded = E.tokenize_pad(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return padded.select(
         "doc_id",
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
@@ -185,10 +217,31 @@ SELECT pattern, count(*) FILTER (contains(sentence, pattern)) AS n_sentences,
 FROM c, {_PATTERN_VALUES} GROUP BY 1"""
 )
 def pattern_hits(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("text")
+    documents = spread(table(spark, sf_dir, "documents").select("text"))
     return E.pattern_hits(documents, patterns=LATIN_PATTERNS, end=LATIN_END)
 
 
+_WORDS = r"""pattern_table AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS pattern FROM benchmark)"""
+
+
+def word_patterns(spark, sf_dir):
+    """All words of ``benchmark``: a table of patterns."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return table(spark, sf_dir, "benchmark").select(F.explode(words).alias("pattern")).distinct()
+
+
+@query(
+    f"""WITH {_WORDS}, s AS (SELECT doc_id, unnest(string_split(text, '{LATIN_END}')) AS sentence, generate_subscripts(string_split(text, '{LATIN_END}'), 1) AS n FROM documents)
+, c AS (SELECT * FROM s WHERE trim(sentence, ' ' || chr(9) || chr(10) || chr(13)) <> '')
+, hits AS (SELECT pattern, doc_id, n FROM c JOIN pattern_table ON contains(sentence, pattern))
+SELECT pattern, count(doc_id) AS n_sentences, count(DISTINCT doc_id) AS n_rows FROM pattern_table LEFT JOIN hits USING (pattern) GROUP BY 1"""
+)
+def pattern_table_hits(spark, sf_dir):
+    """The words of one table looked for in the sentences of another."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return K.table_hits(documents, word_patterns(spark, sf_dir), ["doc_id"], end=LATIN_END)
+
+
 def _tokens_sql(text):
     return f"len(regexp_extract_all({text}, '{TOKEN}'))"
 
@@ -213,7 +266,7 @@ SELECT doc_id, count(*) AS n_marked, sum(i)::BIGINT AS position_sum, sum(i * i):
 
 def _span_mask(spark, sf_dir, anchor):
     blank = F.array_repeat(F.lit(0), E.MAX_TOKENS)
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("attention_mask", blank)
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("attention_mask", blank)
     return _marked(E.pattern_span_mask(documents, patterns=LATIN_PATTERNS, end=LATIN_END, anchor=anchor))
 
 
@@ -240,6 +293,14 @@ def pattern_span_mask_actual(spark, sf_dir):
     return _span_mask(spark, sf_dir, "actual")
 
 
+@query(_mask_sql(f"size - {_tokens_sql('pattern')}").replace(_PATTERN_VALUES, "pattern_table").replace("WITH ", f"WITH {_WORDS},", 1))
+def pattern_table_mask(spark, sf_dir):
+    """The mask of all words of a table."""
+    blank = F.array_repeat(F.lit(0), E.MAX_TOKENS)
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("attention_mask", blank)
+    return _marked(K.table_span_mask(documents, word_patterns(spark, sf_dir), ["doc_id"], end=LATIN_END))
+
+
 _DECODED = f"""first AS (SELECT doc_id, regexp_extract(text, '{first_tokens_pattern(E.MAX_TOKENS - 1)}') AS p FROM documents)
 , decoded AS (SELECT doc_id, {_tokens_sql("p")} AS kept,
   '{E.BOS_MARK}' || p || repeat('{E.PAD_MARK}', {E.MAX_TOKENS - 1} - {_tokens_sql("p")}) AS text FROM first),"""
@@ -248,7 +309,7 @@ _DECODED = f"""first AS (SELECT doc_id, regexp_extract(text, '{first_tokens_patt
 @query(_mask_sql(f"size - {_tokens_sql('pattern')}", "decoded", _DECODED, "kept"))
 def tokenize_mask(spark, sf_dir):
     """Ids and mask from one tokenisation of the text that the ids stand for."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return _marked(E.tokenize_mask(documents, patterns=LATIN_PATTERNS, end=LATIN_END))
 
 

@@ -9,7 +9,7 @@ from colloquy.functions.text import is_blank, lines
 from colloquy.functions.text import py_strip as strip_column
 from colloquy.operators import pieces
 from colloquy.operators import transcripts as X
-from colloquy.plans.inputs import PAIRS, SPOKEN, dialogue_turns, table
+from colloquy.plans.inputs import PAIRS, SPOKEN, dialogue_turns, spread, table
 from colloquy.plans.registry import query
 
 # What each reading of the log keeps of a text.
@@ -183,7 +183,7 @@ FROM (SELECT doc_id, unnest(string_split(replace(text, ' ', '　 '), chr(10))) A
 def py_strip(spark, sf_dir):
     """Strip every line of every document, with ideographic spaces put in."""
     padded = lines(F.replace("text", F.lit(" "), F.lit("　 ")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(padded, strip_column).alias("_l"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.transform(padded, strip_column).alias("_l"))
     return docs.select(
         "doc_id",
         F.size("_l").alias("n_lines"),

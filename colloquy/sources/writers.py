@@ -36,10 +36,13 @@ def scored_dialogues(pairs: DataFrame, ratings: DataFrame, key: str = "dialogue_
     )
 
 
-def nest_dialogues(scored: DataFrame, metadata: DataFrame, key: str = "dialogue_id") -> DataFrame:
+def nest_dialogues(
+    scored: DataFrame, metadata: DataFrame, key: str = "dialogue_id", chunk_pairs: int | None = None
+) -> DataFrame:
     """Documents ``(metadata, pairs)`` as ``read_scored_dialogues`` reads them.
 
-    ``metadata`` holds one struct per dialogue. A dialogue is one document.
+    ``metadata`` holds one struct per dialogue. A dialogue is one document; with ``chunk_pairs`` it is as many as it needs, each with the
+    same metadata and up to that many pairs, so no cell holds a long dialogue.
     """
     pair = F.struct(
         F.col("pair_id").cast("bigint").alias("pair_id"),
@@ -47,10 +50,8 @@ def nest_dialogues(scored: DataFrame, metadata: DataFrame, key: str = "dialogue_
         F.struct(F.col("response").alias("content")).alias("gemma"),
         "evaluation",
     )
-    documents = (
-        scored.groupBy(key)
-        .agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
-    )
+    chunk = F.lit(0) if chunk_pairs is None else F.floor((F.col("pair_id") - 1) / chunk_pairs)
+    documents = scored.groupBy(key, chunk.alias("_chunk")).agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
     return documents.join(metadata.select(key, "metadata"), key).select("metadata", "pairs")
 
 
