@@ -31,8 +31,11 @@ from colloquy.llm.words import split, text_slices
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
-#: Distinct words that a worker remembers between batches; beyond it, it starts anew.
+#: Distinct words that a worker remembers between batches; beyond half of it, only those used since are taken along.
 REMEMBERED = 700_000
+SLICE = 4 << 20
+#: Where lower-casing or cutting words beforehand could change ids: marks that compose, and special tokens.
+AS_IT_IS = r"<\||\pM"
 
 # Writer settings of the file format.
 LAYOUT = {
@@ -51,8 +54,9 @@ class WordEncoder:
     """Ids of whole texts by a vocabulary that splits at white space and drops it.
 
     The ids of a text are those of its white-space separated chunks, one after the other, so each
-    distinct chunk of a batch is encoded once. The vocabulary also ends a token between a letter and a
-    following comma or full stop, and chunks are cut there as well.
+    distinct chunk of a batch is encoded once. The vocabulary also lower-cases, and ends a token between a
+    letter and a following punctuation mark; so letters A-Z are lower-cased and chunks cut there beforehand, which leaves fewer
+    distinct ones. Batches that hold combining marks or the start of a special token are cut at commas and full stops only.
     """
 
     def __init__(self, path: str):
@@ -63,29 +67,46 @@ class WordEncoder:
         # Ids of a word as packed integers, two bytes each where the vocabulary allows.
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of the texts, each closed by ``end_id``."""
-        offsets, codes, distinct = split(pc.replace_substring_regex(texts, r"([A-Za-z])([,.])", r"\1 \2"))
-        words = distinct.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [word for word in words if word not in self.known]
-        for start in range(0, len(new), 10_000):
-            some = new[start : start + 10_000]
-            for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = array(self.kind, coded.ids).tobytes()
-        each = list(map(self.known.__getitem__, words))
+        if pc.any(pc.match_substring_regex(texts, AS_IT_IS)).as_py():
+            texts = pc.replace_substring_regex(texts, r"([A-Za-z])([,.])", r"\1 \2")
+        else:
+            letters = r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])"
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), letters + r"([!-&(-/:-@\[-`{-~])", r"\1 \2")
+        offsets, codes, distinct = split(texts)
+        each = self._of_words(distinct.to_pylist())
         kind = np.dtype(self.kind)
         lengths = np.fromiter(map(len, each), np.int64, len(each)) // kind.itemsize
         starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(each), kind).astype(np.int32)
+        flat = np.frombuffer(b"".join(each), kind)
         sizes = lengths[codes]
         until = np.concatenate(([0], np.cumsum(sizes)))
-        ids = flat[np.repeat(starts[codes] - until[:-1], sizes) + np.arange(until[-1])]
         ends = until[offsets[1:]]
-        closed = np.insert(ids, ends, end_id)
-        return np.concatenate(([0], ends + np.arange(1, len(ends) + 1))), closed
+        from_ = np.repeat((starts[codes] - until[:-1]).astype(np.int32), sizes)
+        ids = flat[from_ + np.arange(until[-1], dtype=np.int32)].astype(np.int32)
+        return np.concatenate(([0], ends + np.arange(1, len(ends) + 1))), np.insert(ids, ends, end_id)
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct words."""
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for word in words:
+            if word not in known:
+                if (ids := older.get(word)) is None:
+                    new.append(word)
+                else:
+                    known[word] = ids
+        # Words in order of their letters take the same paths through the merges one after the other.
+        new.sort()
+        for start in range(0, len(new), 10_000):
+            some = new[start : start + 10_000]
+            for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[word] = array(self.kind, coded.ids).tobytes()
+        return list(map(known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -98,7 +119,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, end_id: int = END_ID) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             offsets, ids = own.encode(batch.column("text"), end_id)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays(
