@@ -14,7 +14,8 @@ are joined again, with all candidates of the words that named one. Equal sets (t
 copies form no pairs: a batch sends the first line of each of its sets to the set's part; the others are copies at
 once, and go to parts by their place, however often a line occurs. A word that more than ``HOT`` lines hold is dealt to cells, two parts of its lines each.
 
-Nulls: a null text has no lines and stays null; a null ``doc_id`` comes last. Repeated rows (same id and text) are one
+Nulls: a null text has no lines and stays null; a null ``doc_id`` comes last. Different texts that share an id, null ones
+too, are ordered by their hash. Repeated rows (same id and text) are one
 document and get the same result. Empty tables give empty tables. All columns travel in a struct, so names cannot clash.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.store import written
-from colloquy.llm.words import SPACES, WORD, hashes, split, text_slices
+from colloquy.llm.words import SPACES, WORD, chunk_lanes, split, text_slices
 
 BUCKETS = 1 << 20
 HOT = 1 << 16
@@ -44,8 +45,9 @@ _CHUNK = 1 << 14
 _PAIRS = 1 << 21
 
 #: A word that is posted: its key, the set's hash, parities, first line in the batch and size, and the word's place in the set.
+#: ``tie`` is the hash of the text where different texts may share the id, else zero.
 POSTING = np.dtype(
-    [("key", "<u4"), ("set", "<u8"), ("low", "<u8"), ("high", "<u8"), ("id", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4")]
+    [("key", "<u4"), ("set", "<u8"), ("low", "<u8"), ("high", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4")]
 )
 #: A line: both hashes of its set, and where it is.
 LINE = np.dtype([("set", "<u8"), ("other", "<u8"), ("id", "<i8"), ("hash", "<i8"), ("line", "<i4")])
@@ -84,7 +86,7 @@ def word_table(docs: DataFrame) -> np.ndarray:
         table = np.zeros(BUCKETS, np.int64)
         for batch in text_slices(batches, limit=SLICE):
             _, codes, words = split(batch.column("text"))
-            np.add.at(table, hashes(words) % np.uint64(BUCKETS), np.bincount(codes, minlength=len(words)))
+            np.add.at(table, chunk_lanes(words)[0] % np.uint64(BUCKETS), np.bincount(codes, minlength=len(words)))
         starts = list(range(0, BUCKETS, _CHUNK))
         parts = [np.minimum(table[s : s + _CHUNK], 2**31 - 1).astype("<i4").tobytes() for s in starts]
         yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=["start", "counts"])
@@ -105,15 +107,15 @@ def similar_at_least(a, b):
     return (4 * (a + b) + 8) // 9
 
 
-def line_sets(texts: pa.Array, table: np.ndarray, ids: np.ndarray):
+def line_sets(texts: pa.Array, table: np.ndarray, ids: np.ndarray, ties: np.ndarray):
     """Lines with words of a batch: index of text, line number, set hashes, and the postings of their sets."""
     lines = pc.split_pattern(texts, "\n")
     starts = lines.offsets.to_numpy().astype(np.int64)
     starts = starts - starts[0]
     offsets, codes, words = split(lines.flatten())
-    word_hash = hashes(words)
+    word_hash, word_other = chunk_lanes(words)
     counts = table[word_hash % np.uint64(BUCKETS)]
-    by_rank = np.lexsort((word_hash, counts))
+    by_rank = np.lexsort((word_other, word_hash, counts))
     rank = np.empty(len(words), np.int64)
     rank[by_rank] = np.arange(len(words))
     of_line = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -127,7 +129,7 @@ def line_sets(texts: pa.Array, table: np.ndarray, ids: np.ndarray):
     real, sizes = of_line[first], np.diff(first, append=len(of_line))
     h = word_hash[own]
     one = np.add.reduceat(_mix(h, 0x9E3779B97F4A7C15), first)
-    two = np.add.reduceat(_mix(h, 0xC2B2AE3D27D4EB4F), first)
+    two = np.add.reduceat(_mix(word_other[own], 0xC2B2AE3D27D4EB4F), first)
     bit = _mix(h, 0x165667B19E3779F9)
     flag = np.uint64(1) << (bit & np.uint64(63))
     upper = (bit >> np.uint64(6)) & np.uint64(1) == 1
@@ -136,9 +138,9 @@ def line_sets(texts: pa.Array, table: np.ndarray, ids: np.ndarray):
     text = np.searchsorted(starts, real, side="right") - 1
     number = real - starts[text]
     # A batch posts each of its sets once. Sets of fewer than four words are similar to equal ones only.
-    order = np.lexsort((number, ids[text], one))
+    order = np.lexsort((number, ties[text], ids[text], two, one))
     once = np.zeros(len(real), bool)
-    once[order[np.diff(one[order], prepend=~one[order[:1]]) != 0]] = True
+    once[order[_changes(one[order], two[order])]] = True
     place = np.arange(len(own)) - np.repeat(first, sizes)
     posted = np.where(once & (sizes >= 4), sizes - (4 * sizes + 4) // 5, -1)
     post = np.flatnonzero(place <= np.repeat(posted, sizes))
@@ -146,7 +148,7 @@ def line_sets(texts: pa.Array, table: np.ndarray, ids: np.ndarray):
     small = sizes <= FOLDED
     low, high = np.where(small, low ^ high, low), np.where(small, np.uint64(0), high)
     posting = np.empty(len(post), POSTING)
-    for name, values in (("set", one), ("low", low), ("high", high), ("size", sizes), ("id", ids[text]), ("line", number)):
+    for name, values in (("set", one), ("low", low), ("high", high), ("size", sizes), ("id", ids[text]), ("tie", ties[text]), ("line", number)):
         posting[name] = values[which]
     posting["place"] = place[post]
     posting["key"] = (h[post] >> np.uint64(32)).astype(np.uint32)
@@ -171,6 +173,14 @@ def _celled(posting: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate((posting[rest], dealt))
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before; the first one does."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
 def firsts(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lines by set and place, each place once, and whether each is the first of its set."""
     line = line[np.lexsort((line["line"], line["hash"], line["id"], line["other"], line["set"]))]
@@ -186,13 +196,13 @@ def candidates(posting: np.ndarray, every: np.ndarray | None = None) -> tuple[np
     The candidate's first line is the earlier one. Each set and word has the earliest candidate only; sets in
     the filter ``every`` have all, and others none, if it is given.
     """
-    order = np.lexsort((posting["line"], posting["id"], posting["set"], posting["key"]))
-    posting = posting[order]
-    new = np.ones(len(posting), bool)
-    new[1:] = (posting["key"][1:] != posting["key"][:-1]) | (posting["set"][1:] != posting["set"][:-1])
-    posting = posting[new]
     # Earlier lines first within a word; ``start`` is the first posting of the word.
-    posting = posting[np.lexsort((posting["line"], posting["id"], posting["key"]))]
+    posting = posting[np.lexsort(tuple(posting[n] for n in ("line", "tie", "id", "key") if n != "tie" or posting[n].any()))]
+    # The first of a set's postings with a word is the earliest; sorting by one number of both keeps their order.
+    both = _mix(posting["set"] + posting["key"] * np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F)
+    order = np.argsort(both, kind="stable")
+    new = _changes(posting["key"][order], posting["set"][order])
+    posting = posting[np.sort(order[new])]
     key, size, place = posting["key"], posting["size"].astype(np.int64), posting["place"].astype(np.int64)
     low, high = posting["low"].copy(), posting["high"].copy()
     n = len(posting)
@@ -298,11 +308,15 @@ class Join:
 
     def __init__(self, keyed: DataFrame):
         self.rows = keyed.select("_id", "_hash", "_text")
-        texts = self.rows.select(F.col("_text").alias("text"))
-        size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+        ids = self.rows.groupBy("_id").agg(
+            F.min("_hash").alias("least"), F.max("_hash").alias("most"), F.sum(F.octet_length("_text")).alias("bytes")
+        )
+        ids = written(ids, "line-ids")
+        size = ids.agg(F.sum("bytes").alias("b")).first()["b"] or 0
         self.parts = max(1, size // PART_BYTES)
         self.share = keyed.sparkSession.sparkContext.broadcast
-        self.table = self.share(word_table(texts))
+        self.shared = self.share(bit_filter(ids.filter("least < most"), "_id"))
+        self.table = self.share(word_table(self.rows.select(F.col("_text").alias("text"))))
 
     def lines_and_pairs(self) -> DataFrame:
         """Lines (``kind`` 1: both set hashes in ``x``, ``y``, which some copies lack, place, and whether first of their set), and pairs (``kind`` 0: set,
@@ -315,7 +329,7 @@ class Join:
 
     def dealt(self, words=None) -> DataFrame:
         """Blobs by ``kind`` and ``part``: postings (0), the first line of each set of a batch (1), and copies of those (2)."""
-        parts, table = self.parts, self.table
+        parts, table, shared = self.parts, self.table, self.shared
 
         def part_of(key: np.ndarray) -> np.ndarray:
             return (_mix(key.astype(np.uint64), 0x85EBCA77C2B2AE63) % np.uint64(parts)).astype(np.int64)
@@ -323,7 +337,8 @@ class Join:
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in text_slices(batches, "_text", SLICE):
                 ids, text_hash = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_id", "_hash"))
-                if (found := line_sets(batch.column("_text"), table.value, ids)) is None:
+                ties = np.where(_in(shared.value, ids), text_hash, 0)
+                if (found := line_sets(batch.column("_text"), table.value, ids, ties)) is None:
                     continue
                 text, number, one, two, posting = found
                 if words is not None:

@@ -87,27 +87,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+#: Bytes up to which a word is hashed eight at a time for all words at once.
+SHORT = 256
 
 
 def lanes(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The two halves of a 128-bit hash (XXH3) of each word's UTF-8 bytes."""
+    if not len(distinct):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     raw = b"".join(map(xxhash.xxh3_128_digest, distinct.cast(pa.binary()).to_pylist()))
     both = np.frombuffer(raw, "<u8").reshape(-1, 2)
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def hashes(distinct: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word's UTF-8 bytes: a polynomial over scrambled bytes, from prefix sums over all words."""
+def chunk_lanes(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word's UTF-8 bytes, scrambled anew after every eight bytes; XXH3's halves for long words."""
     if not len(distinct):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     _, places, data = distinct.cast(pa.string()).buffers()
     offsets = np.frombuffer(places, np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
-    values = _OF_BYTE[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]]
-    offsets = offsets - offsets[0]
-    powers, inverse = np.full(len(values) + 1, _BASE, np.uint64), np.full(len(values) + 1, pow(_BASE, -1, 2**64), np.uint64)
-    powers[0] = inverse[0] = 1
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * np.cumprod(powers)[:-1])))
-    total = (sums[offsets[1:]] - sums[offsets[:-1]]) * np.cumprod(inverse)[offsets[:-1]]
-    return mixed(total ^ mixed(np.diff(offsets).astype(np.uint64)))
+    raw = np.frombuffer(data, np.uint8, offsets[-1])[offsets[0] :]
+    raw, offsets = np.concatenate((raw, np.zeros(8, np.uint8))), offsets - offsets[0]
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    sizes = np.diff(offsets)
+    one, two = mixed(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), mixed(sizes.astype(np.uint64) + np.uint64(0xC2B2AE3D27D4EB4F))
+    left, done = np.flatnonzero((sizes > 0) & (sizes <= SHORT)), 0
+    while len(left):
+        rest = sizes[left] - done
+        unused = (8 * (8 - np.minimum(rest, 8))).astype(np.uint64)
+        chunk = (eights[offsets[left] + done] << unused) >> unused
+        one[left] = mixed(one[left] ^ chunk) + np.uint64(0x165667B19E3779F9)
+        two[left] = mixed(two[left] + mixed(chunk * np.uint64(0x27D4EB2F165667C5)))
+        left, done = left[rest > 8], done + 8
+    for i in np.flatnonzero(sizes > SHORT):
+        one[i], two[i] = np.frombuffer(xxhash.xxh3_128_digest(raw[offsets[i] : offsets[i + 1]].tobytes()), "<u8")
+    return one, two

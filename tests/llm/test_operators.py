@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -20,6 +21,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from colloquy.llm import ann, byte_bpe, class_lm, line_dedup, mixing, quality, secrets, simhash, substring_dedup, token_files
 from colloquy.llm.store import shared_folder
+from colloquy.llm.words import chunk_lanes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, n_words int, fp int, block string"
 
@@ -305,6 +307,39 @@ def test_copies_of_a_line_are_spread(spark):
         assert kept[i] == "\n".join(x for n, x in enumerate(lines) if x != footer or (i, n) == (0, 1))
 
 
+def test_lines_of_texts_with_one_id(spark):
+    words = [f"w{i}" for i in range(10)]
+    rows = [(i, " ".join(words[:9] + [f"{tail}{i}"])) for i in (7, None) for tail in "abcdef"]
+    found = line_dedup.deduped(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    kept = [r for r in found if r["n_removed"] == 0]
+    assert len(found) == 12 and [r["row"]["doc_id"] for r in kept] == [7]
+    # Two words, of which a polynomial hash modulo a power of two makes one.
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(i, f"{word} one two") for i, word in enumerate((one, one.translate(str.maketrans("ab", "ba"))))]
+    found = line_dedup.deduped(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [r["n_removed"] for r in found] == [0, 0]
+
+
+def test_hashes_of_words():
+    rng = random.Random(2)
+    words = list({"".join(rng.choice("abé") for _ in range(rng.choice([1, 3, 7, 8, 9, 16, 17, 255, 256, 257, 3000]))) for _ in range(3000)})
+    one, two = chunk_lanes(pa.array(words))
+    assert len(set(one.tolist())) == len(set(two.tolist())) == len(words)
+    for i in range(0, len(words), 7):
+        alone = chunk_lanes(pa.array(["x", words[i], "y"]).slice(1, 1))
+        assert (alone[0][0], alone[1][0]) == (one[i], two[i])
+
+
+def test_ids_of_odd_words():
+    own, odd = token_files.encoder(token_files.VOCABULARY), [
+        "<|ENDOFTEXT|> Word,", "a<|endoftext|>B", "J\u030c, x", "\u0130, K!", "É, è. ñ? don't we'LL; ab\x01c", "=\u0338 A-B_C`D", "ß§¶ µm ªb ÿ.", "日本, Ａ！", "", "  ", "q\x1c\x85r\u200b,",
+    ]
+    for mode in [odd, *([t] for t in odd)]:
+        offsets, ids = own.encode(pa.array(mode), 1)
+        for k, text in enumerate(mode):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
 def test_substring_dedup(docs, empty, texts):
     counts = Counter(tuple(w[j : j + 35]) for w in (words_of(t) for _, t in texts) for j in range(len(w) - 34))
     rows = substring_dedup.deduped(docs).select("row.doc_id", "n_words", "n_removed", "kept_text").collect()
