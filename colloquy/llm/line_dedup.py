@@ -447,8 +447,16 @@ def deduped(docs: DataFrame) -> DataFrame:
     """``row`` (all columns), ``n_lines``, ``n_removed`` and ``kept_text`` of each document."""
     keyed = _keyed(docs)
     gone = repeated_lines(keyed).groupBy("_id", "_hash").agg(F.collect_list("line").alias("gone"))
-    # The texts are shuffled once, within their rows.
-    rows = keyed.select("row", "_id", "_hash").join(gone, ["_id", "_hash"], "left")
+    gone = written(gone, "line-lists")
+    # Texts are shuffled once, within their rows, and only those that a filter takes for cut ones; it has ``BITS`` / 64 rows at most.
+    slot = F.pmod(F.xxhash64("_id", "_hash"), F.lit(BITS))
+    marks = gone.select(slot.alias("slot")).selectExpr("slot div 64 as word", "shiftleft(1L, cast(slot % 64 as int)) as bit")
+    marks = marks.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows = keyed.select("row", "_id", "_hash", slot.alias("slot")).withColumn("word", F.expr("slot div 64"))
+    rows = rows.join(F.broadcast(marks), "word", "left")
+    cut = F.coalesce(F.expr("shiftright(bits, cast(slot % 64 as int)) & 1"), F.lit(0)) == 1
+    joined = rows.filter(cut).join(gone, ["_id", "_hash"], "left").select("row", "gone")
+    rows = joined.union(rows.filter(~cut).select("row", F.lit(None).cast("array<int>").alias("gone")))
     text = F.col("row.text")
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     out = rows.select("row", "gone", F.inline(F.array(F.struct(lines.alias("lines")))))
