@@ -170,8 +170,9 @@ def links(home: np.ndarray, probes: np.ndarray, reach: int = MOST_BITS) -> tuple
             for start in range(0, len(own), LEAF):
                 some = own[start : start + LEAF]
                 a, b = np.nonzero(np.bitwise_count(prints[some][:, None] ^ prints[every][None, :]) <= reach)
-                a, b = some[a], every[b]
-                real = (a < b) | (b >= len(home))
+                a, b, probe = some[a], every[b], b >= len(own)
+                # Two at home meet twice, once from either side; a probe meets each of them once, whatever its number.
+                real = (a < b) | probe
                 left.append(a[real])
                 right.append(b[real])
             continue
