@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -29,6 +29,7 @@ PART = (
     "final_loss double, final_at bigint, final_step bigint"
 )
 _NAMES = [field.split()[0] for field in PART.split(", ")]
+_PART = Row(*_NAMES)
 _FINAL = ["final_loss", "final_at", "final_step"]
 _NULLABLE = {"final_at": "Int64", "final_step": "Int64", "last_step": "Int64"}
 
@@ -75,6 +76,36 @@ def _fold(key: str, idle: int):
     return fold
 
 
+def _later(one: Row, other: Row) -> bool:
+    """Whether the last loss of ``one`` is at or behind that of ``other``; a null step is behind all others."""
+    if one.final_at is None or other.final_at is None:
+        return one.final_at is not None
+    places = [(part.final_at, part.final_step is None, part.final_step or 0) for part in (one, other)]
+    return places[0] >= places[1]
+
+
+def _least_and_most(*values) -> tuple:
+    known = [v for v in values if v is not None]
+    return (min(known), max(known)) if known else (None, None)
+
+
+def merge_rows(parts: list[Row], idle: int) -> list[Row]:
+    """``merge_parts`` for the parts of one run, as rows with the columns of ``PART``: a frame for each run costs far more than its rows."""
+    merged: list[Row] = []
+    for part in sorted(parts, key=lambda p: (p.started, p.ended)):
+        if not merged or part.started - merged[-1].ended > idle:
+            merged.append(part)
+            continue
+        held = merged[-1]
+        final = part if _later(part, held) else held
+        merged[-1] = _PART(
+            held.started, max(held.ended, part.ended), held.n_events + part.n_events, _least_and_most(held.last_step, part.last_step)[1],
+            _least_and_most(held.min_loss, part.min_loss)[0], _least_and_most(held.max_loss, part.max_loss)[1],
+            final.final_loss, final.final_at, final.final_step,
+        )
+    return merged
+
+
 class IdleRuns(StatefulProcessor):
     """Open sessions of a run in a list state, and a timer for the one that closes first."""
 
@@ -86,34 +117,39 @@ class IdleRuns(StatefulProcessor):
         self.handle = handle
         self.open = handle.getListState("open", PART)
 
-    def _held(self) -> pd.DataFrame:
-        return pd.DataFrame([tuple(row) for row in self.open.get()], columns=_NAMES).astype(_NULLABLE)
+    def _held(self) -> list[Row]:
+        return [_PART(*row) for row in self.open.get()]
 
-    def _keep(self, sessions: pd.DataFrame) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if sessions.empty:
+    def _timer(self, sessions: list[Row]) -> int | None:
+        """The first whole millisecond beyond the end of the session that closes first."""
+        return (min(s.ended for s in sessions) + self.idle) // 1000 + 1 if sessions else None
+
+    def _keep(self, sessions: list[Row], before: list[Row]) -> None:
+        old, new = self._timer(before), self._timer(sessions)
+        if old is not None and old != new:
+            self.handle.deleteTimer(old)
+        if new is None:
             self.open.clear()
             return
-        self.open.put([tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in row) for row in sessions.itertuples(index=False)])
-        # The first whole millisecond beyond the session's end.
-        self.handle.registerTimer((int(sessions["ended"].min()) + self.idle) // 1000 + 1)
+        self.open.put([tuple(s) for s in sessions])
+        if old != new:
+            self.handle.registerTimer(new)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = [part for part in (self._held(), *(batch[_NAMES].astype(_NULLABLE) for batch in rows)) if not part.empty]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self._held()
+        parts = [_PART(*(row[name] for name in _NAMES)) for row in rows]
         if parts:
-            self._keep(merge_parts(pd.concat(parts, ignore_index=True), [], self.idle))
+            self._keep(merge_rows(held + parts, self.idle), held)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self._held()
         # All that the watermark has passed, as a timer set now would wait for the next batch.
         passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        closed = (held["ended"] + self.idle) // 1000 < passed
-        self._keep(held[~closed])
-        done = held.loc[closed, _NAMES[:-2]].copy()
-        done.insert(0, self.key, key[0])
-        yield done
+        done = [s for s in held if (s.ended + self.idle) // 1000 < passed]
+        self._keep([s for s in held if (s.ended + self.idle) // 1000 >= passed], held)
+        for session in done:
+            yield Row(self.key, *_NAMES[:-2])(key[0], *session[:-2])
 
     def close(self) -> None:
         pass
@@ -131,7 +167,7 @@ def idle_runs(log: DataFrame, idle: str = "1 hour", delay: str = "1 hour", key:
     closed = (
         parts.withWatermark("seen", delay)
         .groupBy(key)
-        .transformWithStateInPandas(
+        .transformWithState(
             IdleRuns(key, gap), f"`{key}` {kind}, {PART.rsplit(', ', 2)[0]}", outputMode="Append", timeMode="EventTime"
         )
     )

@@ -112,3 +112,18 @@ def test_windows_close_at_the_end_of_a_log(session, tmp_path):
         J.stream_windows(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
         counts.append(session.read.parquet(f"{tmp_path}/out").filter(F.col("run_id").isNotNull()).count())
     assert counts == [2, 3] and session.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_rows_merge_as_frames():
+    """The state of a run is merged row by row, with the result of the frames."""
+    rng = random.Random(4)
+    for _ in range(40):
+        parts = []
+        for step in range(rng.randrange(1, 12)):
+            started, lossy = rng.randrange(60), rng.random() < 0.7
+            loss = float(rng.randrange(9))
+            parts.append((started, started + rng.randrange(9), rng.randrange(1, 4), rng.choice([step, None]), *([loss, loss, loss, started, step] if lossy else [None] * 5)))
+        frame = pd.DataFrame(parts, columns=T._NAMES).astype(T._NULLABLE)
+        want = T.merge_parts(frame, [], 5).astype(object)
+        got = T.merge_rows([T._PART(*part) for part in parts], 5)
+        assert [tuple(row) for row in got] == [tuple(row) for row in want.where(want.notna(), None).values.tolist()]
