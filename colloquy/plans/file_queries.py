@@ -44,7 +44,7 @@ def _transcripts(spark, sf_dir):
 def transcript_files(spark, sf_dir):
     """One text file per document."""
     path = shared_path(spark, "transcripts")
-    _transcripts(spark, sf_dir).write.option("maxRecordsPerFile", 1).text(path)
+    W.write_file_each(_transcripts(spark, sf_dir), path)
     files = S.read_transcripts(spark, path)
     number = F.regexp_extract("content", r"(?m)^- Initial Question ID: (\d+)$", 1).try_cast("bigint")
     parsed = X.with_turns(files.withColumn("dialogue_id", number))
@@ -55,7 +55,7 @@ def transcript_files(spark, sf_dir):
 def transcript_line_files(spark, sf_dir):
     """The same files read line by line, in splits, as files that fit no cell are."""
     path = shared_path(spark, "transcript-lines")
-    _transcripts(spark, sf_dir).write.option("maxRecordsPerFile", 1).text(path)
+    W.write_file_each(_transcripts(spark, sf_dir), path)
     lines = S.read_log_lines(spark, path)
     number = F.regexp_extract("content", r"^- Initial Question ID: (\d+)\s*$", 1).try_cast("bigint")
     names = lines.select("file_name", number.alias("dialogue_id")).filter("dialogue_id is not null")
@@ -69,7 +69,7 @@ def stream_transcript_files(spark, sf_dir):
     folder, out, checkpoint = (shared_path(spark, n) for n in ("incoming", "incoming-turns", "incoming-checkpoint"))
     docs = _transcripts(spark, sf_dir)
     for part in (0, 1):
-        docs.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == part).write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+        W.write_file_each(docs.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == part), folder)
         files = S.stream_transcripts(spark, folder, 10_000)
         number = F.regexp_extract("content", r"(?m)^- Initial Question ID: (\d+)$", 1).try_cast("bigint")
         J.stream_turns(files.withColumn("dialogue_id", number), out, checkpoint, "dialogue_id").awaitTermination()
@@ -88,7 +88,7 @@ def file_manifest(spark, sf_dir):
     number = F.regexp_extract("content", r"(?m)^- Initial Question ID: (\d+)$", 1).try_cast("bigint")
     own = F.regexp_extract("value", r"(?m)^- Initial Question ID: (\d+)\r?$", 1).try_cast("bigint")
     for run, part in ((1, own % 3 != 0), (2, own % 3 == 0)):
-        docs.filter(part).write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+        W.write_file_each(docs.filter(part), folder)
         path = shared_path(spark, "changes")
         manifest.changes(folder).write.parquet(path)
         changes = spark.read.parquet(path)

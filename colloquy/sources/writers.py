@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 
 from colloquy.operators.ratings import RATING_KEYS, latest_ratings
 from colloquy.schemas import METRICS
+from colloquy.session import stored
+
+#: Files that a task writes where each row is a file of its own: making one takes far longer than its bytes do.
+FILES_PER_TASK = 500
+
+
+def _dealt(documents: DataFrame) -> DataFrame:
+    """Documents computed once and dealt to as many tasks as their files need; their bytes alone would call for few."""
+    documents = stored(documents, "documents")
+    tasks = max(-(-documents.count() // FILES_PER_TASK), documents.sparkSession.sparkContext.defaultParallelism)
+    return documents.repartition(tasks)
+
+
+def write_file_each(texts: DataFrame, path: str) -> None:
+    """Each row of a single text column added to the folder as a file of its own."""
+    _dealt(texts).write.mode("append").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_chat_corpus(examples: DataFrame, path: str) -> None:
@@ -57,7 +73,7 @@ def nest_dialogues(
 
 def write_scored_dialogues(documents: DataFrame, path: str, one_per_file: bool = False) -> None:
     """Nested documents as JSON lines, or as one JSON file each."""
-    writer = documents.write.mode("overwrite")
+    writer = (_dealt(documents) if one_per_file else documents).write.mode("overwrite")
     (writer.option("maxRecordsPerFile", 1) if one_per_file else writer).json(path)
 
 
