@@ -127,3 +127,11 @@ def test_rows_merge_as_frames():
         want = T.merge_parts(frame, [], 5).astype(object)
         got = T.merge_rows([T._PART(*part) for part in parts], 5)
         assert [tuple(row) for row in got] == [tuple(row) for row in want.where(want.notna(), None).values.tolist()]
+
+
+def test_null_run_beside_others(session, tmp_path):
+    """Rows without a run are a run of their own and take no other run's rows."""
+    rows = [(key, START + timedelta(minutes=m), m, 1.0) for key in [None, *range(1, 31)] for m in (0, 5, 9)]
+    run(session, tmp_path, "null", rows, "1 hour")
+    closed, _ = run(session, tmp_path, "null", [], "1 hour", START + timedelta(days=9))
+    assert closed == sorted([(key, START, START + timedelta(minutes=9), 3, 9, 1.0, 1.0, 1.0) for key in [None, *range(1, 31)]], key=str)
