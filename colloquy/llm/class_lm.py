@@ -9,9 +9,10 @@ Exchange: a round gathers, over all training texts, how often each clustered wor
 half of the words (by turns) move to the class that raises the likelihood of the class bigrams most, given the classes
 of the round before. The best assignment seen is kept.
 
-Counts of all distinct words stay in a Spark table. Texts are dealt to blocks of about ``BLOCK_BYTES``; a block asks for
-each of its distinct words once, and the answers come back to the block, so neither a word nor a document is a join key
-with many rows, and no vocabulary is broadcast but the clustered words.
+Counts of all distinct words stay in a Spark table, dealt to parts by a hash of the word. Texts are dealt to blocks of
+about ``BLOCK_BYTES``; a block asks each part once, with all its distinct words there, and gets their counts back in the
+order of their hashes. So neither a word nor a document is a join key with many rows, words travel as one row for each
+block and part, and no vocabulary is broadcast but the clustered words.
 
 Nulls: a null text is an empty one and has the end token only; a null ``doc_id`` counts as empty text in the hold-out
 rule, which holds it out. Repeated rows count and are scored each. A text of any length is one row of its block. Without training
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.store import written
-from colloquy.llm.words import split, text_slices
+from colloquy.llm.words import chunk_lanes, split, text_slices
 
 CLASSES = 48
 FLOOR = 2e-5
@@ -39,6 +40,10 @@ ROUNDS = 5
 ADDED = 0.1
 BLOCK_BYTES = 3 << 20
 SLICE = 2 << 20
+#: Bytes of text whose words one task counts and looks up.
+PART_BYTES = 8 << 20
+#: Distinct words of which a task holds the counts before it hands them on.
+HELD = 1 << 18
 #: The end of a text; no word can hold a line feed.
 END = "\n"
 SHAPES = 8
@@ -84,29 +89,82 @@ def _classes(words: pa.Array, known: dict[str, int]) -> np.ndarray:
     return np.where(own >= 0, own, shapes(words))
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """``word``, ``n``: how often each word occurs in the training texts, and the end of a text."""
+def by_part(words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words by their hash: their order, where each part begins in it, and the numbers of the parts."""
+    one, _ = chunk_lanes(words)
+    order = np.argsort(one, kind="stable")
+    if (one[order][1:] == one[order][:-1]).any():
+        order = np.lexsort((pc.rank(words).to_numpy(), one))
+    part = (((one[order] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    return order, starts, part[starts]
+
+
+def _joined_words(words: pa.Array, order: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The words of each part in one string; no word can hold a space."""
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), words.take(pa.array(order)))
+    return pc.binary_join(lists, " ")
+
+
+def _real(words: pa.Array) -> pa.Array:
+    return words.filter(pc.greater(pc.binary_length(words), 0))
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    summed = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return pa.table({"word": summed.column("word"), "n": summed.column("n_sum")})
+
+
+def word_counts(train: DataFrame, parts: int = 1) -> DataFrame:
+    """``part``, ``word``, ``n``: how often each word occurs in the training texts, and the end of a text."""
+
+    def packed(counts: pa.Table) -> pa.RecordBatch:
+        words, n = counts.column("word").combine_chunks(), counts.column("n").to_numpy()
+        order, starts, part = by_part(words, parts)
+        blobs = [x.tobytes() for x in np.split(n[order], starts[1:])]
+        columns = [pa.array(part), _joined_words(words, order, starts), pa.array(blobs, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "words", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in text_slices(batches, limit=SLICE):
             _, codes, words = _lower(batch.column("text"))
-            seen = pa.array(np.bincount(codes, minlength=len(words)), pa.int64())
-            yield pa.RecordBatch.from_arrays([words, seen], names=["word", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([batch.num_rows], pa.int64())], names=["word", "n"])
+            seen = np.bincount(codes, minlength=len(words))
+            own = pa.table({"word": words, "n": pa.array(seen, pa.int64())}).filter(pa.array(seen > 0))
+            held += [own, pa.table({"word": pa.array([END], words.type), "n": pa.array([batch.num_rows], pa.int64())})]
+            if sum(t.num_rows for t in held) > 2 * HELD:
+                held = [_summed(held)]
+                if held[0].num_rows > HELD:
+                    yield packed(held.pop())
+        if held:
+            yield packed(_summed(held))
+
+    def add(table: pa.Table) -> pa.Table:
+        words = pc.split_pattern(table.column("words").combine_chunks(), " ").flatten()
+        n = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64)
+        summed = _summed([pa.table({"word": words, "n": pa.array(n)})])
+        part = pa.array(np.full(summed.num_rows, table.column("part")[0].as_py()))
+        return pa.table({"part": part, "word": summed.column("word"), "n": summed.column("n")})
 
-    return train.select("text").mapInArrow(run, "word string, n bigint").filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+    packs = train.select("text").mapInArrow(run, "part bigint, words string, counts binary")
+    return packs.groupBy("part").applyInArrow(add, "part bigint, word string, n bigint")
+
+
+def _kind(clustered: int) -> str:
+    """What holds the number of a clustered word or a shape."""
+    return "<u2" if clustered + SHAPES <= 1 << 16 else "<i4"
 
 
 def _units(train: DataFrame, known: dict[str, int]) -> DataFrame:
     """Each text as the numbers of its clustered words, or of shapes after those; the end leads every text."""
-    total = len(known)
+    total, kind = len(known), _kind(len(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=SLICE):
             offsets, codes, words = _lower(batch.column("text"))
             own = np.fromiter((known.get(word, -1) for word in words.to_pylist()), np.int64, len(words))
             own = np.where(own >= 0, own, total + shapes(words) - CLASSES - 1) if len(words) else own
-            flat = np.insert(own[codes], offsets[:-1], known[END]).astype("<i4")
+            flat = np.insert(own[codes], offsets[:-1], known[END]).astype(kind)
             yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["units"])
 
     return train.select("text").mapInArrow(run, "units binary")
@@ -117,13 +175,13 @@ def _contexts(units: DataFrame, of: np.ndarray, clustered: int, end: int, total:
 
     The last chunk holds the sums for shapes.
     """
-    size = len(of)
+    size, kind = len(of), _kind(clustered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after, before = np.zeros(size * total, np.int64), np.zeros(size * total, np.int64)
         for batch in batches:
             for raw in batch.column("units"):
-                own = np.append(np.frombuffer(raw.as_buffer(), "<i4"), end).astype(np.int64)
+                own = np.append(np.frombuffer(raw.as_buffer(), kind).astype(np.int64), end)
                 left, right = own[:-1], own[1:]
                 after += np.bincount(right * total + of[left], minlength=size * total)
                 before += np.bincount(left * total + of[right], minlength=size * total)
@@ -242,13 +300,29 @@ def train(docs: DataFrame, counts: DataFrame, floor: float = FLOOR, rounds: int
     return Model(known, transition, class_tokens, class_words, tokens, distinct, ends)
 
 
-def _block_scores(model: Model, texts: pa.Array, answers: pa.Table) -> tuple[np.ndarray, ...]:
+def asked(texts: pa.Array, parts: int) -> tuple[np.ndarray, pa.Array]:
+    """The parts of a block's distinct words, and the words of each."""
+    words = _real(_lower(texts)[2])
+    order, starts, part = by_part(words, parts)
+    return part, _joined_words(words, order, starts)
+
+
+def looked_up(questions: pa.Array, words: pa.Array, n: np.ndarray) -> list[bytes]:
+    """The counts of the words in each question, in as many bytes each as the largest one takes."""
+    lists = pc.split_pattern(questions, " ")
+    at = pc.index_in(lists.flatten(), words).fill_null(len(words)).to_numpy()
+    found, cuts = np.append(n, 0)[at], lists.offsets.to_numpy()
+    return [(own := found[a:b]).astype(np.min_scalar_type(own.max())).tobytes() for a, b in zip(cuts[:-1] - cuts[0], cuts[1:] - cuts[0])]
+
+
+def _block_scores(model: Model, texts: pa.Array, parts: int, answers: dict[int, bytes]) -> tuple[np.ndarray, ...]:
     offsets, codes, words = _lower(texts)
-    at = pc.index_in(words, answers.column("word").combine_chunks()).to_numpy(zero_copy_only=False) if len(words) else np.empty(0)
-    found = ~np.isnan(at.astype(float)) if len(words) else np.empty(0, bool)
+    real = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False))
+    order, starts, part = by_part(words.take(pa.array(real)), parts)
     n = np.zeros(len(words) + 1)
-    given = answers.column("n").to_numpy()
-    n[:-1][found] = given[at[found].astype(np.int64)]
+    for which, own in zip(part.tolist(), np.split(real[order], starts[1:])):
+        raw = answers[which]
+        n[own] = np.frombuffer(raw, f"<u{len(raw) // len(own)}")
     n[-1] = model.end_count
     own = np.append(_classes(words, model.words), model.end_class)
     flat = np.insert(codes.astype(np.int64), offsets[1:], len(words))
@@ -269,32 +343,33 @@ def scored(docs: DataFrame, floor: float = FLOOR, rounds: int = ROUNDS) -> DataF
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text.alias("text"))
     learn = rows.filter(~F.col("held_out")).select("text")
-    counts = written(word_counts(learn), "lm-counts")
-    model = spark.sparkContext.broadcast(train(learn, counts, floor, rounds))
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks = max(1, size // BLOCK_BYTES)
+    blocks, parts = max(1, size // BLOCK_BYTES), max(1, size // PART_BYTES)
+    counts = written(word_counts(learn, parts), "lm-counts")
+    model = spark.sparkContext.broadcast(train(learn, counts, floor, rounds))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each distinct word of a block; a block's rows come together, and a word may be asked for again."""
-        for batch in text_slices(batches, limit=SLICE):
-            order = pc.sort_indices(batch.column("block"))
-            batch = batch.take(order)
-            own = batch.column("block").to_numpy()
-            for cut in np.split(np.arange(len(own)), np.flatnonzero(np.diff(own)) + 1):
-                _, _, words = _lower(batch.column("text").slice(int(cut[0]), len(cut)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), own[cut[0]])), words], names=["block", "word"])
+    def ask(table: pa.Table) -> pa.Table:
+        part, words = asked(table.column("text").combine_chunks(), parts)
+        return pa.table({"block": pa.array(np.full(len(part), table.column("block")[0].as_py())), "part": pa.array(part), "words": words})
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "counts": pa.array([], pa.binary())})
+        found = looked_up(left.column("words").combine_chunks(), right.column("word").combine_chunks(), right.column("n").to_numpy())
+        return pa.table({"block": left.column("block"), "part": left.column("part"), "counts": pa.array(found, pa.binary())})
 
     # All columns go along, so that both sides read one shuffle of the texts.
-    asked = dealt.sortWithinPartitions("block").mapInArrow(ask, "block bigint, word string")
-    answers = asked.filter("word <> ''").join(counts, "word").select("block", "word", "n")
+    questions = dealt.groupBy("block").applyInArrow(ask, "block bigint, part bigint, words string")
+    answers = questions.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(look_up, "block bigint, part bigint, counts binary")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         own = model.value
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, types)})
         texts = left.column("text").combine_chunks()
-        n_tokens, n_known, base, score = _block_scores(own, texts, right)
+        given = dict(zip(right.column("part").to_pylist(), right.column("counts").to_pylist()))
+        n_tokens, n_known, base, score = _block_scores(own, texts, parts, given)
         ppl = np.power(10.0, -score / n_tokens)
         columns = [left.column("doc_id"), left.column("held_out"), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(base), own.tokens)), pa.array(base), pa.array(score), pa.array(ppl)]
         return pa.table(dict(zip(names, columns)))
