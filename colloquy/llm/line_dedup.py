@@ -7,7 +7,8 @@ text or another. Lines without words stay. The rule looks at the input only, so
 Words are ordered by rarity: by a table of ``BUCKETS`` counters over all texts, then by their hash. Only the rarest words
 of a line, which a similar line must share, are posted, as packed records in a blob for each batch and bucket of
 words. A bucket's postings are sorted by word and length; pairs are formed within a word and the lengths that can be
-similar, and pass the positional filter and a filter on 64 or 128 parities of the sets, both of which lose no similar pair.
+similar, and pass the positional filter and a filter on 64, 128 or 256 parities of the sets, both of which lose no similar
+pair. Larger sets have more parities: unlike sets fill too few so evenly that they would seem similar.
 A line needs one earlier line only: for each word it first names one candidate, the earliest that passes, so a group
 of near copies makes as many pairs as lines. Candidates are verified on their words. Lines whose candidates all failed
 are joined again, with all candidates of the words that named one. Equal sets (told by 128 bits) are one class from the start, so
@@ -30,15 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.store import written
-from colloquy.llm.words import SPACES, WORD, chunk_lanes, split, text_slices
+from colloquy.llm.words import SPACES, chunk_lanes, split, text_slices
 
 BUCKETS = 1 << 20
 HOT = 1 << 16
 #: Bytes of text whose postings one task joins.
 PART_BYTES = 4 << 20
 SLICE = 3 << 20
-#: Sets up to this size have 64 parities; larger ones have 128.
-FOLDED = 128
+#: Sets up to ``FOLDED`` words have 64 parities, those up to ``WIDE`` have 128, larger ones 256.
+FOLDED, WIDE = 64, 192
+PARITIES = ("p0", "p1", "p2", "p3")
 #: Bits of the filters that tell which sets or words a further pass needs; they may let through more.
 BITS = 1 << 24
 _CHUNK = 1 << 14
@@ -47,7 +49,7 @@ _PAIRS = 1 << 21
 #: A word that is posted: its key, the set's hash, parities, first line in the batch and size, and the word's place in the set.
 #: ``tie`` is the hash of the text where different texts may share the id, else zero.
 POSTING = np.dtype(
-    [("key", "<u4"), ("set", "<u8"), ("low", "<u8"), ("high", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4")]
+    [("key", "<u4"), ("set", "<u8"), *((p, "<u8") for p in PARITIES), ("id", "<i8"), ("tie", "<i8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4")]
 )
 #: A line: both hashes of its set, and where it is.
 LINE = np.dtype([("set", "<u8"), ("other", "<u8"), ("id", "<i8"), ("hash", "<i8"), ("line", "<i4")])
@@ -107,18 +109,57 @@ def similar_at_least(a, b):
     return (4 * (a + b) + 8) // 9
 
 
-def line_sets(texts: pa.Array, table: np.ndarray, ids: np.ndarray, ties: np.ndarray):
-    """Lines with words of a batch: index of text, line number, set hashes, and the postings of their sets."""
+def by_rarity(counts: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The order of words by count, then by their hashes; most are told apart by one number of 24 and 40 bits."""
+    counts = np.minimum(counts, (1 << 24) - 1).astype(np.uint64)
+    both = (counts << np.uint64(40)) | (one >> np.uint64(24))
+    order = np.argsort(both)
+    if (both[order][1:] == both[order][:-1]).any():
+        order = np.lexsort((two, one, counts))
+    return order
+
+
+def folded(parities: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
+    """Parities of sets, or of what two sets differ in, as those of sets of these sizes; unused ones are zero."""
+    p0, p1, p2, p3 = parities
+    zero, wide, small = np.uint64(0), sizes > WIDE, sizes <= FOLDED
+    p0, p1, p2, p3 = np.where(wide, p0, p0 ^ p2), np.where(wide, p1, p1 ^ p3), np.where(wide, p2, zero), np.where(wide, p3, zero)
+    return [np.where(small, p0 ^ p1, p0), np.where(small, zero, p1), p2, p3]
+
+
+def may_post(offsets: np.ndarray, codes: np.ndarray, wanted: np.ndarray, common: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Lines that may post a wanted word or a common one; ``wanted``, ``common`` and ``mark`` (one bit) are those of each word.
+
+    A line posts a common word only if at most a fifth of its distinct words are others, of which there are as many as marks at least.
+    """
+    own = np.flatnonzero(np.diff(offsets))
+    starts, usual, found = offsets[:-1][own], common[codes], np.zeros(len(offsets) - 1, bool)
+    if len(own):
+        others = np.bitwise_count(np.bitwise_or.reduceat(np.where(usual, np.uint64(0), mark[codes]), starts)).astype(np.int64)
+        some = usual.any() and (np.add.reduceat(usual.astype(np.int64), starts) >= np.maximum(4 * others, 1))
+        found[own] = np.logical_or.reduceat((wanted & ~common)[codes], starts) | some
+    return found
+
+
+def line_sets(texts: pa.Array, table: np.ndarray, ids: np.ndarray, ties: np.ndarray, wanted: np.ndarray | None = None):
+    """Lines with words of a batch: index of text, line number, set hashes, and the postings of their sets.
+
+    With a filter of ``wanted`` words, lines that post none of them may be left out.
+    """
     lines = pc.split_pattern(texts, "\n")
     starts = lines.offsets.to_numpy().astype(np.int64)
     starts = starts - starts[0]
     offsets, codes, words = split(lines.flatten())
     word_hash, word_other = chunk_lanes(words)
     counts = table[word_hash % np.uint64(BUCKETS)]
-    by_rank = np.lexsort((word_other, word_hash, counts))
+    by_rank = by_rarity(counts, word_hash, word_other)
     rank = np.empty(len(words), np.int64)
     rank[by_rank] = np.arange(len(words))
     of_line = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    if wanted is not None and len(words):
+        mark = np.uint64(1) << (_mix(word_hash, 0x165667B19E3779F9) & np.uint64(63))
+        some = may_post(offsets, codes, _in(wanted, word_hash >> np.uint64(32)), counts > HOT, mark)[of_line]
+        of_line, codes = of_line[some], codes[some]
     keys = np.sort(of_line * max(1, len(words)) + rank[codes])
     keys = keys[np.diff(keys, prepend=-1) > 0]
     if not len(keys):
@@ -132,9 +173,8 @@ def line_sets(texts: pa.Array, table: np.ndarray, ids: np.ndarray, ties: np.ndar
     two = np.add.reduceat(_mix(word_other[own], 0xC2B2AE3D27D4EB4F), first)
     bit = _mix(h, 0x165667B19E3779F9)
     flag = np.uint64(1) << (bit & np.uint64(63))
-    upper = (bit >> np.uint64(6)) & np.uint64(1) == 1
-    low = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), flag), first)
-    high = np.bitwise_xor.reduceat(np.where(upper, flag, np.uint64(0)), first)
+    quarter = (bit >> np.uint64(6)) & np.uint64(3)
+    parities = [np.bitwise_xor.reduceat(np.where(quarter == np.uint64(k), flag, np.uint64(0)), first) for k in range(4)]
     text = np.searchsorted(starts, real, side="right") - 1
     number = real - starts[text]
     # A batch posts each of its sets once. Sets of fewer than four words are similar to equal ones only.
@@ -145,10 +185,8 @@ def line_sets(texts: pa.Array, table: np.ndarray, ids: np.ndarray, ties: np.ndar
     posted = np.where(once & (sizes >= 4), sizes - (4 * sizes + 4) // 5, -1)
     post = np.flatnonzero(place <= np.repeat(posted, sizes))
     which = np.repeat(np.arange(len(real)), sizes)[post]
-    small = sizes <= FOLDED
-    low, high = np.where(small, low ^ high, low), np.where(small, np.uint64(0), high)
     posting = np.empty(len(post), POSTING)
-    for name, values in (("set", one), ("low", low), ("high", high), ("size", sizes), ("id", ids[text]), ("tie", ties[text]), ("line", number)):
+    for name, values in (("set", one), *zip(PARITIES, folded(parities, sizes)), ("size", sizes), ("id", ids[text]), ("tie", ties[text]), ("line", number)):
         posting[name] = values[which]
     posting["place"] = place[post]
     posting["key"] = (h[post] >> np.uint64(32)).astype(np.uint32)
@@ -190,6 +228,21 @@ def firsts(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return line, first
 
 
+def _by_word(posting: np.ndarray) -> np.ndarray:
+    """The order of postings by word, then place of the line."""
+    key, ids, line = posting["key"], posting["id"], posting["line"].astype(np.int64)
+    if not len(posting):
+        return np.empty(0, np.int64)
+    least, lines = int(ids.min()), int(line.max()) + 1
+    places = (int(ids.max()) - least + 1) * lines
+    if posting["tie"].any() or places > 1 << 62:
+        return np.lexsort((line, posting["tie"], ids, key))
+    place = (ids - least) * lines + line
+    if places > 1 << 32:
+        return np.lexsort((place, key))
+    return np.argsort((key.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64), kind="stable")
+
+
 def candidates(posting: np.ndarray, every: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (set, candidate) that share a posted word and pass the length, positional and parity filters, and the words.
 
@@ -197,14 +250,14 @@ def candidates(posting: np.ndarray, every: np.ndarray | None = None) -> tuple[np
     the filter ``every`` have all, and others none, if it is given.
     """
     # Earlier lines first within a word; ``start`` is the first posting of the word.
-    posting = posting[np.lexsort(tuple(posting[n] for n in ("line", "tie", "id", "key") if n != "tie" or posting[n].any()))]
-    # The first of a set's postings with a word is the earliest; sorting by one number of both keeps their order.
+    posting = posting[_by_word(posting)]
+    # The first of a set's postings with a word is the earliest.
     both = _mix(posting["set"] + posting["key"] * np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F)
-    order = np.argsort(both, kind="stable")
-    new = _changes(posting["key"][order], posting["set"][order])
-    posting = posting[np.sort(order[new])]
+    order = np.argsort(both)
+    new = np.flatnonzero(_changes(posting["key"][order], posting["set"][order]))
+    posting = posting[np.sort(np.minimum.reduceat(order, new))] if len(new) else posting
     key, size, place = posting["key"], posting["size"].astype(np.int64), posting["place"].astype(np.int64)
-    low, high = posting["low"].copy(), posting["high"].copy()
+    parities = [posting[p].copy() for p in PARITIES]
     n = len(posting)
     start = np.searchsorted(key, key, side="left") if n else np.empty(0, np.int64)
     open_ = np.flatnonzero(np.arange(n) > start)
@@ -225,11 +278,9 @@ def candidates(posting: np.ndarray, every: np.ndarray | None = None) -> tuple[np
             need = similar_at_least(size[a], size[b])
             good = np.minimum(size[a] - place[a], size[b] - place[b]) >= need
             a, b, need = a[good], b[good], need[good]
-            # Where the smaller set has 64 parities only, so does the pair.
-            x, y = low[a] ^ low[b], high[a] ^ high[b]
-            folded = np.minimum(size[a], size[b]) <= FOLDED
-            x, y = np.where(folded, x ^ y, x), np.where(folded, np.uint64(0), y)
-            apart = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y)
+            # A pair has as many parities as its smaller set.
+            differ = folded([p[a] ^ p[b] for p in parities], np.minimum(size[a], size[b]))
+            apart = sum(np.bitwise_count(x).astype(np.int64) for x in differ)
             good = apart <= size[a] + size[b] - 2 * need
             found.append(np.stack((a[good], b[good]), axis=1))
         reach = reach + some
@@ -338,7 +389,7 @@ class Join:
             for batch in text_slices(batches, "_text", SLICE):
                 ids, text_hash = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_id", "_hash"))
                 ties = np.where(_in(shared.value, ids), text_hash, 0)
-                if (found := line_sets(batch.column("_text"), table.value, ids, ties)) is None:
+                if (found := line_sets(batch.column("_text"), table.value, ids, ties, None if words is None else words.value)) is None:
                     continue
                 text, number, one, two, posting = found
                 if words is not None:
@@ -376,7 +427,8 @@ class Join:
         return self.dealt(words).groupBy("kind", "part").applyInArrow(join, schema)
 
     def lines(self, places: np.ndarray) -> DataFrame:
-        """``id``, ``hash``, ``line`` and ``words`` of the lines whose place is in a filter; the texts are cut into lines only."""
+        """``id``, ``hash``, ``line``, ``words`` (distinct, joined by spaces) and their number ``size`` of the lines whose place
+        is in a filter; the texts are cut into lines only."""
         bits = self.share(places)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,10 +440,11 @@ class Join:
                 ids, text_hash = (batch.column(n).to_numpy(zero_copy_only=False)[text] for n in ("_id", "_hash"))
                 some = np.flatnonzero(_in(bits.value, place_keys(ids, text_hash, number)))
                 columns = [pa.array(x[some], pa.int64()) for x in (ids, text_hash, number)]
-                yield pa.RecordBatch.from_arrays([*columns, cut.flatten().take(pa.array(some))], names=["id", "hash", "line", "text"])
+                words, size = _sets_of(cut.flatten().take(pa.array(some)))
+                yield pa.RecordBatch.from_arrays([*columns, words, pa.array(size)], names=["id", "hash", "line", "words", "size"])
 
-        found = self.rows.mapInArrow(run, "id bigint, hash bigint, line bigint, text string").dropDuplicates(["id", "hash", "line"])
-        return found.select("id", "hash", "line", _set_of(F.col("text")).alias("words"))
+        schema = "id bigint, hash bigint, line bigint, words string, size bigint"
+        return self.rows.mapInArrow(run, schema).dropDuplicates(["id", "hash", "line"])
 
 
 def _blobs(kind: int, records: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
@@ -409,8 +462,14 @@ def _as_rows(kind: int, x: np.ndarray | pa.Array, y: np.ndarray | pa.Array, id_,
     return pa.table(dict(zip(("kind", "x", "y", "id", "hash", "line", "first"), columns)))
 
 
-def _set_of(line: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
+def _sets_of(lines: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of each line in one string, and their number."""
+    offsets, codes, words = split(lines)
+    of_line = np.repeat(np.arange(len(lines)), np.diff(offsets))
+    of_line, own = np.divmod(np.unique(of_line * max(1, len(words)) + codes), max(1, len(words)))
+    size = np.bincount(of_line, minlength=len(lines))
+    sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), words.take(pa.array(own)))
+    return pc.binary_join(sets, " "), size
 
 
 def _verified(pairs: DataFrame, heads: DataFrame, join: Join) -> DataFrame:
@@ -418,11 +477,11 @@ def _verified(pairs: DataFrame, heads: DataFrame, join: Join) -> DataFrame:
     ends = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
     needed = written(heads.join(ends, "set").select("set", "at", "at.*"), "line-heads")
     lines = join.lines(bit_filter(needed, "id", "hash", "line"))
-    known = written(needed.join(lines, ["id", "hash", "line"]).select("set", "at", "words"), "line-words")
-    left = known.select(F.col("set").alias("x"), F.col("at").alias("p"), F.col("words").alias("v"))
-    right = known.select(F.col("set").alias("y"), F.col("at").alias("q"), F.col("words").alias("w"))
-    same = F.size(F.array_intersect("v", "w"))
-    near = pairs.join(left, "x").join(right, "y").filter((9 * same >= 4 * (F.size("v") + F.size("w"))) & (F.col("q") < F.col("p")))
+    known = written(needed.join(lines, ["id", "hash", "line"]).select("set", "at", "words", "size"), "line-words")
+    left = known.select(F.col("set").alias("x"), F.col("at").alias("p"), F.col("words").alias("v"), F.col("size").alias("m"))
+    right = known.select(F.col("set").alias("y"), F.col("at").alias("q"), F.col("words").alias("w"), F.col("size").alias("n"))
+    same = F.size(F.array_intersect(F.split("v", " "), F.split("w", " ")))
+    near = pairs.join(left, "x").join(right, "y").filter((F.col("q") < F.col("p")) & (9 * same >= 4 * (F.col("m") + F.col("n"))))
     return near.select("x", "p").distinct()
 
 
