@@ -11,7 +11,8 @@ similar, and pass the positional filter and a filter on 64, 128 or 256 parities
 pair. Larger sets have more parities: unlike sets fill too few so evenly that they would seem similar.
 A line needs one earlier line only: for each word it first names one candidate, the earliest that passes, so a group
 of near copies makes as many pairs as lines. Candidates are verified on their words. Lines whose candidates all failed
-are joined again, with all candidates of the words that named one. Equal sets (told by 128 bits) are one class from the start, so
+are joined again, with all candidates of the words that named one; the postings that they may meet are stored for it by the first join, so texts
+are not cut into words again. Equal sets (told by 128 bits) are one class from the start, so
 copies form no pairs: a batch sends the first line of each of its sets to the set's part; the others are copies at
 once, and go to parts by their place, however often a line occurs. A word that more than ``HOT`` lines hold is dealt to cells, two parts of its lines each.
 
@@ -22,7 +23,7 @@ document and get the same result. Empty tables give empty tables. All columns tr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.store import written
-from colloquy.llm.words import SPACES, chunk_lanes, split, text_slices
+from colloquy.llm.words import SPACES, Words, chunk_lanes, split, text_slices  # noqa: F401 (tests take chunk_lanes from here)
 
 BUCKETS = 1 << 20
 HOT = 1 << 16
@@ -57,19 +58,26 @@ LINE = np.dtype([("set", "<u8"), ("other", "<u8"), ("id", "<i8"), ("hash", "<i8"
 COPY = np.dtype([("id", "<i8"), ("hash", "<i8"), ("line", "<i4")])
 
 
-def packed(records: np.ndarray) -> bytes:
-    """Records column by column, which compresses better than row by row."""
-    return b"".join(records[name].tobytes() for name in records.dtype.names)
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Records column by column, which compresses better than row by row; each without the zeros that it begins with."""
+    zeros = []
+    for column in columns:
+        begin = 0 if column[0] else int(np.argmax(column != 0))
+        zeros.append(begin if column[begin] else len(column))
+    head = np.array([len(columns[0]), *zeros], "<i4")
+    return b"".join((head, *(c[z:] for c, z in zip(columns, zeros))))
 
 
 def unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
-    out = np.empty(sum(map(len, blobs)) // kind.itemsize, kind)
-    at = 0
-    for raw in blobs:
-        n, offset = len(raw) // kind.itemsize, 0
-        for name in kind.names:
-            out[name][at : at + n] = np.frombuffer(raw, kind[name], n, offset)
-            offset += n * kind[name].itemsize
+    heads = [np.frombuffer(raw, "<i4", 1 + len(kind.names)).tolist() for raw in blobs]
+    out = np.zeros(sum(n for n, *_ in heads), kind)
+    fields, at = [(out[name], kind[name]) for name in kind.names], 0
+    for raw, (n, *zeros) in zip(blobs, heads):
+        offset = 4 * (1 + len(zeros))
+        for (field, own), begin in zip(fields, zeros):
+            if begin < n:
+                field[at + begin : at + n] = np.frombuffer(raw, own, n - begin, offset)
+                offset += (n - begin) * own.itemsize
         at += n
     return out
 
@@ -86,9 +94,8 @@ def word_table(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, np.int64)
-        for batch in text_slices(batches, limit=SLICE):
-            _, codes, words = split(batch.column("text"))
-            np.add.at(table, chunk_lanes(words)[0] % np.uint64(BUCKETS), np.bincount(codes, minlength=len(words)))
+        for batch in text_slices(batches, limit=SLICE // 4):
+            np.add.at(table, (Words(batch.column("text")).hashes() % np.uint64(BUCKETS)).astype(np.int64), 1)
         starts = list(range(0, BUCKETS, _CHUNK))
         parts = [np.minimum(table[s : s + _CHUNK], 2**31 - 1).astype("<i4").tobytes() for s in starts]
         yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=["start", "counts"])
@@ -141,74 +148,76 @@ def may_post(offsets: np.ndarray, codes: np.ndarray, wanted: np.ndarray, common:
     return found
 
 
-def line_sets(texts: pa.Array, table: np.ndarray, ids: np.ndarray, ties: np.ndarray, wanted: np.ndarray | None = None):
+def line_sets(texts: pa.Array, table: np.ndarray, ids: np.ndarray, ties: np.ndarray, wanted: np.ndarray | None = None, part_of: Callable | None = None):
     """Lines with words of a batch: index of text, line number, set hashes, and the postings of their sets.
 
-    With a filter of ``wanted`` words, lines that post none of them may be left out.
+    With a filter of ``wanted`` words, lines that post none of them may be left out. With ``part_of`` keys, postings come in the order of parts.
     """
-    lines = pc.split_pattern(texts, "\n")
-    starts = lines.offsets.to_numpy().astype(np.int64)
-    starts = starts - starts[0]
-    offsets, codes, words = split(lines.flatten())
-    word_hash, word_other = chunk_lanes(words)
+    found = Words(texts)
+    starts, offsets = found.heads, found.offsets
+    codes, word_hash, word_other = found.coded()
     counts = table[word_hash % np.uint64(BUCKETS)]
     by_rank = by_rarity(counts, word_hash, word_other)
-    rank = np.empty(len(words), np.int64)
-    rank[by_rank] = np.arange(len(words))
+    rank = np.empty(len(by_rank), np.int64)
+    rank[by_rank] = np.arange(len(by_rank))
     of_line = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    if wanted is not None and len(words):
-        mark = np.uint64(1) << (_mix(word_hash, 0x165667B19E3779F9) & np.uint64(63))
-        some = may_post(offsets, codes, _in(wanted, word_hash >> np.uint64(32)), counts > HOT, mark)[of_line]
+    bit = _mix(word_hash, 0x165667B19E3779F9)
+    flag = np.uint64(1) << (bit & np.uint64(63))
+    if wanted is not None:
+        some = may_post(offsets, codes, _in(wanted, word_hash >> np.uint64(32)), counts > HOT, flag)[of_line]
         of_line, codes = of_line[some], codes[some]
-    keys = np.sort(of_line * max(1, len(words)) + rank[codes])
+    bits = len(by_rank).bit_length()
+    keys = np.sort((of_line << bits) | rank[codes])
     keys = keys[np.diff(keys, prepend=-1) > 0]
     if not len(keys):
         return None
-    of_line, own = np.divmod(keys, len(words))
-    own = by_rank[own]
+    of_line, own = keys >> bits, by_rank[keys & ((1 << bits) - 1)]
     first = np.flatnonzero(np.diff(of_line, prepend=-1))
     real, sizes = of_line[first], np.diff(first, append=len(of_line))
-    h = word_hash[own]
-    one = np.add.reduceat(_mix(h, 0x9E3779B97F4A7C15), first)
-    two = np.add.reduceat(_mix(word_other[own], 0xC2B2AE3D27D4EB4F), first)
-    bit = _mix(h, 0x165667B19E3779F9)
-    flag = np.uint64(1) << (bit & np.uint64(63))
+    one = np.add.reduceat(_mix(word_hash, 0x9E3779B97F4A7C15)[own], first)
+    two = np.add.reduceat(_mix(word_other, 0xC2B2AE3D27D4EB4F)[own], first)
     quarter = (bit >> np.uint64(6)) & np.uint64(3)
-    parities = [np.bitwise_xor.reduceat(np.where(quarter == np.uint64(k), flag, np.uint64(0)), first) for k in range(4)]
+    parities = [np.bitwise_xor.reduceat(np.where(quarter == np.uint64(k), flag, np.uint64(0))[own], first) for k in range(4)]
     text = np.searchsorted(starts, real, side="right") - 1
     number = real - starts[text]
     # A batch posts each of its sets once. Sets of fewer than four words are similar to equal ones only.
     order = np.lexsort((number, ties[text], ids[text], two, one))
     once = np.zeros(len(real), bool)
     once[order[_changes(one[order], two[order])]] = True
-    place = np.arange(len(own)) - np.repeat(first, sizes)
-    posted = np.where(once & (sizes >= 4), sizes - (4 * sizes + 4) // 5, -1)
-    post = np.flatnonzero(place <= np.repeat(posted, sizes))
-    which = np.repeat(np.arange(len(real)), sizes)[post]
-    posting = np.empty(len(post), POSTING)
+    posted = np.where(once & (sizes >= 4), sizes - (4 * sizes + 4) // 5 + 1, 0)
+    which = np.repeat(np.arange(len(real)), posted)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(posted) - posted, posted)
+    post = own[first[which] + place]
+    key, again = _celled((word_hash[post] >> np.uint64(32)).astype(np.uint32), one[which], counts[post])
+    which, place = which[again], place[again]
+    if part_of:
+        order = _by_part(part_of(key), sizes[which])
+        key, which, place = key[order], which[order], place[order]
+    posting = np.empty(len(key), POSTING)
     for name, values in (("set", one), *zip(PARITIES, folded(parities, sizes)), ("size", sizes), ("id", ids[text]), ("tie", ties[text]), ("line", number)):
         posting[name] = values[which]
-    posting["place"] = place[post]
-    posting["key"] = (h[post] >> np.uint64(32)).astype(np.uint32)
-    return text, number, one, two, _celled(posting, counts[own[post]])
+    posting["key"], posting["place"] = key, place
+    return text, number, one, two, posting
 
 
-def _celled(posting: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Postings of very common words go to the cells of their part with every part."""
-    hot = np.flatnonzero(counts > HOT)
+def _celled(key: np.ndarray, own_set: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of very common words go to the cells of their part with every part: the keys, and the posting of each."""
+    hot, rest = np.flatnonzero(counts > HOT), np.flatnonzero(counts <= HOT)
     if not len(hot):
-        return posting
+        return key, rest
     parts = -(-counts[hot] // HOT)
     again = np.repeat(hot, parts)
     other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
-    own = (posting["set"][again] % np.repeat(parts, parts).astype(np.uint64)).astype(np.int64)
+    own = (own_set[again] % np.repeat(parts, parts).astype(np.uint64)).astype(np.int64)
     cell = np.minimum(own, other) * 65_537 + np.maximum(own, other) + 1
-    dealt = posting[again]
-    mixed = _mix(dealt["key"].astype(np.uint64) + (cell.astype(np.uint64) << np.uint64(32)), 0x27D4EB2F165667C5)
-    dealt["key"] = (mixed >> np.uint64(32)).astype(np.uint32)
-    rest = np.ones(len(posting), bool)
-    rest[hot] = False
-    return np.concatenate((posting[rest], dealt))
+    dealt = _mix(key[again].astype(np.uint64) + (cell.astype(np.uint64) << np.uint64(32)), 0x27D4EB2F165667C5)
+    return np.concatenate((key[rest], (dealt >> np.uint64(32)).astype(np.uint32))), np.concatenate((rest, again))
+
+
+def _by_part(part: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The order of postings by part, small sets first: their records begin with zeros for the parities that they do not have."""
+    by = 3 * part + (sizes > FOLDED) + (sizes > WIDE)
+    return np.argsort(by.astype(np.uint16) if len(by) and by.max() < 1 << 16 else by, kind="stable")
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -249,6 +258,18 @@ def candidates(posting: np.ndarray, every: np.ndarray | None = None) -> tuple[np
     The candidate's first line is the earlier one. Each set and word has the earliest candidate only; sets in
     the filter ``every`` have all, and others none, if it is given.
     """
+    posting, pairs = _candidates(posting, every)
+    return np.stack((posting["set"][pairs[:, 0]], posting["set"][pairs[:, 1]]), axis=1), posting["key"][pairs[:, 0]]
+
+
+def _candidates(posting: np.ndarray, every: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The postings of words that have several, by word and place, and the pairs as their numbers, later one first."""
+    # A word of one posting makes no pairs.
+    order = np.argsort(posting["key"])
+    again = np.flatnonzero(~_changes(posting["key"][order]))
+    alone = np.ones(len(order), bool)
+    alone[again] = alone[again - 1] = False
+    posting = posting[order[~alone]]
     # Earlier lines first within a word; ``start`` is the first posting of the word.
     posting = posting[_by_word(posting)]
     # The first of a set's postings with a word is the earliest.
@@ -297,7 +318,21 @@ def candidates(posting: np.ndarray, every: np.ndarray | None = None) -> tuple[np
     if every is None:
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         pairs = pairs[np.diff(pairs[:, 0], prepend=-1) != 0]
-    return np.stack((posting["set"][pairs[:, 0]], posting["set"][pairs[:, 1]]), axis=1), key[pairs[:, 0]]
+    return posting, pairs
+
+
+def _met(posting: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Of ``_candidates``, the postings that may be in further pairs of the sets that named one by the same word: none is later than the last of
+    these, nor of a length that is similar to none."""
+    key, size = posting["key"], posting["size"].astype(np.int64)
+    own = np.sort(pairs[:, 0])
+    first = np.flatnonzero(_changes(key[own]))
+    words, last = key[own[first]], own[np.append(first[1:], len(own)) - 1]
+    least, most = np.minimum.reduceat(size[own], first), np.maximum.reduceat(size[own], first)
+    word = np.minimum(np.searchsorted(words, key), len(words) - 1)
+    some = (words[word] == key) & (np.arange(len(key)) <= last[word]) & (5 * size >= 4 * least[word]) & (4 * size <= 5 * most[word])
+    some = np.flatnonzero(some)
+    return posting[some[np.argsort(size[some], kind="stable")]]
 
 
 def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -370,15 +405,25 @@ class Join:
         self.table = self.share(word_table(self.rows.select(F.col("_text").alias("text"))))
 
     def lines_and_pairs(self) -> DataFrame:
-        """Lines (``kind`` 1: both set hashes in ``x``, ``y``, which some copies lack, place, and whether first of their set), and pairs (``kind`` 0: set,
-        candidate, and the word in ``id``)."""
-        return self._joined(None, None)
+        """Lines (``kind`` 1: both set hashes in ``x``, ``y``, which some copies lack, place, and whether first of their set), pairs (``kind`` 0: set,
+        candidate, and the word in ``id``), and the postings of a part that those sets may meet by those words (``kind`` 2, ``blob``)."""
+        return self._joined()
+
+    def all_pairs(self, found: DataFrame, sets: np.ndarray, words: np.ndarray) -> DataFrame:
+        """All candidates of the sets in a filter, by the words in another, of those that have named one in ``found``."""
+        sets, words = self.share(sets), self.share(words)
 
-    def all_pairs(self, sets: np.ndarray, words: np.ndarray) -> DataFrame:
-        """All candidates of the sets in a filter, by the words in another."""
-        return self._joined(self.share(sets), self.share(words))
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch.column("blob"):
+                    posting = unpacked([blob.as_buffer()], POSTING)
+                    posting = posting[_in(words.value, posting["key"].astype(np.uint64))]
+                    pair = np.unique(candidates(posting, sets.value)[0].view(np.int64), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, k])) for k in range(2)], names=["x", "y"])
 
-    def dealt(self, words=None) -> DataFrame:
+        return found.filter("kind = 2").select("blob").mapInArrow(join, "x bigint, y bigint")
+
+    def dealt(self) -> DataFrame:
         """Blobs by ``kind`` and ``part``: postings (0), the first line of each set of a batch (1), and copies of those (2)."""
         parts, table, shared = self.parts, self.table, self.shared
 
@@ -389,13 +434,9 @@ class Join:
             for batch in text_slices(batches, "_text", SLICE):
                 ids, text_hash = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_id", "_hash"))
                 ties = np.where(_in(shared.value, ids), text_hash, 0)
-                if (found := line_sets(batch.column("_text"), table.value, ids, ties, None if words is None else words.value)) is None:
+                if (found := line_sets(batch.column("_text"), table.value, ids, ties, None, part_of)) is None:
                     continue
                 text, number, one, two, posting = found
-                if words is not None:
-                    posting = posting[_in(words.value, posting["key"])]
-                    yield _blobs(0, posting, part_of(posting["key"]))
-                    continue
                 line = np.empty(len(text), LINE)
                 line["set"], line["other"], line["line"], line["id"], line["hash"] = one, two, number, ids[text], text_hash[text]
                 yield _blobs(0, posting, part_of(posting["key"]))
@@ -407,14 +448,21 @@ class Join:
 
         return self.rows.mapInArrow(post, "kind int, part bigint, blob binary")
 
-    def _joined(self, sets, words) -> DataFrame:
+    def _joined(self) -> DataFrame:
         def join(table: pa.Table) -> pa.Table:
-            raw = table.column("blob").to_pylist()
+            raw = [blob.as_buffer() for blob in table.column("blob")]
             kind = table.column("kind")[0].as_py()
             if kind == 0:
-                pair, key = candidates(unpacked(raw, POSTING), None if sets is None else sets.value)
-                pair, none = pair.view(np.int64), pa.nulls(len(pair), pa.int64())
-                return _as_rows(0, pair[:, 0], pair[:, 1], pa.array(key.astype(np.int64)), none, none, pa.nulls(len(pair), pa.bool_()))
+                posting, pairs = _candidates(unpacked(raw, POSTING))
+                x, y = (posting["set"][pairs[:, k]].view(np.int64) for k in range(2))
+                word, none = pa.array(posting["key"][pairs[:, 0]].astype(np.int64)), pa.nulls(len(x), pa.int64())
+                out = _as_rows(0, x, y, word, none, none, pa.nulls(len(x), pa.bool_()))
+                if not len(x):
+                    return out
+                named = _met(posting, pairs)
+                blob = pa.array([packed([np.ascontiguousarray(named[n]) for n in named.dtype.names])], pa.binary())
+                none, no = pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_())
+                return pa.concat_tables([out, _as_rows(2, none, none, none, none, none, no, blob)])
             if kind == 2:
                 copy = unpacked(raw, COPY)
                 places, none = [pa.array(copy[n].astype(np.int64)) for n in COPY.names], pa.nulls(len(copy), pa.int64())
@@ -423,8 +471,8 @@ class Join:
             places = [pa.array(line[n].astype(np.int64)) for n in COPY.names]
             return _as_rows(1, line["set"].view(np.int64), line["other"].view(np.int64), *places, pa.array(first))
 
-        schema = "kind int, x bigint, y bigint, id bigint, hash bigint, line bigint, first boolean"
-        return self.dealt(words).groupBy("kind", "part").applyInArrow(join, schema)
+        schema = "kind int, x bigint, y bigint, id bigint, hash bigint, line bigint, first boolean, blob binary"
+        return self.dealt().groupBy("kind", "part").applyInArrow(join, schema)
 
     def lines(self, places: np.ndarray) -> DataFrame:
         """``id``, ``hash``, ``line``, ``words`` (distinct, joined by spaces) and their number ``size`` of the lines whose place
@@ -448,18 +496,20 @@ class Join:
 
 
 def _blobs(kind: int, records: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(part, kind="stable")
-    records, part = records[order], part[order]
+    if (part[1:] < part[:-1]).any():
+        order = np.argsort(part, kind="stable")
+        records, part = records[order], part[order]
+    columns = [np.ascontiguousarray(records[name]) for name in records.dtype.names]
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
-    raw = [packed(r) for r in np.split(records, cuts[1:])] if len(records) else []
+    raw = [packed([c[low:high] for c in columns]) for low, high in zip(cuts, [*cuts[1:], len(part)])]
     columns = [pa.array([kind] * len(raw), pa.int32()), pa.array(part[cuts], pa.int64()), pa.array(raw, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["kind", "part", "blob"])
 
 
-def _as_rows(kind: int, x: np.ndarray | pa.Array, y: np.ndarray | pa.Array, id_, hash_, line, first) -> pa.Table:
+def _as_rows(kind: int, x: np.ndarray | pa.Array, y: np.ndarray | pa.Array, id_, hash_, line, first, blob: pa.Array | None = None) -> pa.Table:
     x, y = (pa.array(np.ascontiguousarray(v)) if isinstance(v, np.ndarray) else v for v in (x, y))
-    columns = [pa.array(np.full(len(x), kind, np.int32)), x, y, id_, hash_, line, first]
-    return pa.table(dict(zip(("kind", "x", "y", "id", "hash", "line", "first"), columns)))
+    columns = [pa.array(np.full(len(x), kind, np.int32)), x, y, id_, hash_, line, first, pa.nulls(len(x), pa.binary()) if blob is None else blob]
+    return pa.table(dict(zip(("kind", "x", "y", "id", "hash", "line", "first", "blob"), columns)))
 
 
 def _sets_of(lines: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -496,7 +546,7 @@ def repeated_lines(keyed: DataFrame) -> DataFrame:
     # Two sets of one hash share ``x``: both stay open unless both are gone, and a verdict twice does no harm.
     open_ = written(named.join(gone, "x", "left_anti").select("x", "word").distinct(), "line-open")
     sets, words = bit_filter(open_, "x"), bit_filter(open_, "word")
-    more = join.all_pairs(sets, words).select("x", "y").distinct().join(named.select("x", "y"), ["x", "y"], "left_anti")
+    more = join.all_pairs(found, sets, words).distinct().join(named.select("x", "y"), ["x", "y"], "left_anti")
     later = gone.union(_verified(written(more, "line-more"), heads, join)).select("p.id", "p.hash", "p.line")
     gone = copies.union(later).distinct()
     return gone.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("line").cast("int").alias("line"))
@@ -515,20 +565,22 @@ def deduped(docs: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(marks), "word", "left")
     cut = F.coalesce(F.expr("shiftright(bits, cast(slot % 64 as int)) & 1"), F.lit(0)) == 1
     joined = rows.filter(cut).join(gone, ["_id", "_hash"], "left").select("row", "gone")
-    rows = joined.union(rows.filter(~cut).select("row", F.lit(None).cast("array<int>").alias("gone")))
     text = F.col("row.text")
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    out = rows.select("row", "gone", F.inline(F.array(F.struct(lines.alias("lines")))))
+    out = joined.select("row", "gone", F.inline(F.array(F.struct(lines.alias("lines")))))
     out = out.withColumn("n_lines", F.size("lines").cast("bigint"))
     numbers = F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("gone"))
     kept = F.transform(numbers, lambda i: F.get(F.col("lines"), i))
     removed = F.coalesce(F.size("gone"), F.lit(0))
-    return out.select(
+    some = out.select(
         "row",
         F.when(text.isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("bigint").alias("n_lines"),
         F.when(F.col("gone").isNull(), F.lit(0)).otherwise(removed).cast("bigint").alias("n_removed"),
         F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    whole = rows.filter(~cut).select("row", F.coalesce(feeds + 1, F.lit(0)).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"), text.alias("kept_text"))
+    return some.union(whole)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
